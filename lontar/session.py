@@ -18,6 +18,7 @@ def build_session(master: str = "local[*]", partitions: int = 8, **conf: str) ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
