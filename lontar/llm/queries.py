@@ -7,10 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.llm import cooccur, splitting
+from lontar.llm import cooccur, encoding, plainform, splitting
 from lontar.util import table
 
 
+def _damage_values(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "surah").select(F.lit("surah").alias("tab"), F.col("verse_id").alias("row_id"), F.col("text").alias("val"))
+    return a.unionByName(table(spark, d, "intro_sections").select(F.lit("intro_sections").alias("tab"), F.col("section_id").alias("row_id"), F.col("body").alias("val")))
+
+
+def _form_values(spark: SparkSession, d: str) -> DataFrame:
+    both = F.expr("stack(2, 'ar', ar, 'text', text) AS (field, val)")
+    a = table(spark, d, "surah").select(F.lit("surah").alias("tab"), F.col("verse_id").alias("row_id"), both)
+    return a.unionByName(table(spark, d, "intro_sections").select(F.lit("intro_sections").alias("tab"), F.col("section_id").alias("row_id"), F.lit("title").alias("field"), F.col("title").alias("val")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = plainform.plain_forms(_form_values(spark, d).where("val IS NOT NULL"), "val", only_changed=True).select("tab", "row_id", "field").distinct()
+    garbled = p2_found(spark, d).where("tab = 'surah'").withColumn("field", F.lit("text"))
+    return found.join(garbled, ["tab", "row_id", "field"], "left_anti")
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Headings and verses by plain form: how many different spellings and rows each has."""
+    forms = plainform.plain_forms(_form_values(spark, d).where("val IS NOT NULL"), "val").dropDuplicates(["tab", "row_id", "field"])
+    return forms.groupBy("tab", "field", "form").agg(F.countDistinct("val").alias("spellings"), F.count("*").alias("n_rows"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.damaged(_damage_values(spark, d), "val").select("tab", "row_id").distinct()
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.damaged(_damage_values(spark, d), "val").dropDuplicates(["tab", "row_id"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cooccur.frequent(cooccur.associations(cooccur.reference_baskets(table(spark, d, "peta_shards")))).select("a", "b")
 
@@ -31,7 +62,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece_no = 0").select("tab", "row_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_bonds": p3_bonds, "p6_found": p6_found, "p6_pieces": p6_pieces}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_bonds": p3_bonds, "p6_found": p6_found, "p6_pieces": p6_pieces}
 
 _BASKETS = """
 WITH shards AS (SELECT DISTINCT ON (shard_id) * FROM peta_shards),
