@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.llm import cooccur, encoding, plainform, splitting
+from lontar.llm import abuse, cooccur, encoding, leakage, packing, plainform, spans, splitting
 from lontar.util import table
 
 
@@ -62,7 +62,60 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece_no = 0").select("tab", "row_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_bonds": p3_bonds, "p6_found": p6_found, "p6_pieces": p6_pieces}
+SPAN_TABLES = ("translations", "dump_rows")
+
+
+def _span_records(spark: SparkSession, d: str) -> DataFrame:
+    """Both tables under one record number: the key times two, plus one for dump_rows."""
+    a = table(spark, d, "translations").select((F.col("tr_id") * 2).alias("rec"), "text", "loaded_at")
+    return a.unionByName(table(spark, d, "dump_rows").select((F.col("dump_id") * 2 + 1).alias("rec"), F.col("prose").alias("text"), "loaded_at"))
+
+
+def _span_keys(df: DataFrame) -> DataFrame:
+    tab = F.when(F.col("rec") % 2 == 0, SPAN_TABLES[0]).otherwise(SPAN_TABLES[1])
+    return df.select(tab.alias("tab"), F.floor(F.col("rec") / 2).cast("bigint").alias("row_id"), *[c for c in df.columns if c != "rec"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _span_keys(spans.shared_windows(_span_records(spark, d), "loaded_at").select("rec").distinct())
+
+
+def p4_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Per record: its words, how many of them stand elsewhere, and the stretches (first word, words)."""
+    return _span_keys(spans.stretches(spans.shared_windows(_span_records(spark, d), "loaded_at")))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(packing.token_counts(table(spark, d, "documents")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of the windows that the seeds find, the exact ones."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("substitutions = 0").select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per test item that leaked: the documents that hold it, exactly or with a word substituted, and the most of it in one."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct(F.when(F.col("substitutions") == 0, F.col("doc_id"))).alias("n_exact"), F.max("item_words").alias("most_words"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where("flagged").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p10_scores(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (p1_found, p1_classes, p2_found, p2_restored, p3_found, p3_bonds, p4_found, p4_stretches, p6_found, p6_pieces, p8_containers, p9_found, p9_items, p10_found, p10_scores, p10_rates)
+}
 
 _BASKETS = """
 WITH shards AS (SELECT DISTINCT ON (shard_id) * FROM peta_shards),
@@ -83,6 +136,18 @@ SQL = {
     "p3_bonds": _BASKETS
     + """, k AS (SELECT least(a, b) AS a, greatest(a, b) AS b, arg_max(n, (release, n)) AS n_published FROM bonds WHERE a <> b GROUP BY 1, 2)
 SELECT k.a, k.b, k.n_published, coalesce(q.n_ab, 0) AS n_ab, round(q.n_ab::DOUBLE * q.n / (q.n_a::DOUBLE * q.n_b), 6) AS lift FROM k LEFT JOIN q ON q.a = k.a AND q.b = k.b""",
+    "p4_found": """
+WITH recs AS (SELECT DISTINCT 'translations' AS tab, tr_id AS row_id, text AS t FROM translations WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 'dump_rows', dump_id, prose FROM dump_rows WHERE prose IS NOT NULL),
+w AS (SELECT tab, row_id, list_filter(regexp_split_to_array(t, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '') AS w FROM recs),
+g AS (SELECT tab, row_id, w, unnest(generate_series(1, len(w) - 19)) AS p FROM w WHERE len(w) >= 20),
+h AS (SELECT tab, row_id, array_to_string(w[p:p + 19], ' ') AS win FROM g),
+s AS (SELECT win FROM h GROUP BY win HAVING count(DISTINCT (tab, row_id)) > 1)
+SELECT DISTINCT tab, row_id FROM h WHERE win IN (SELECT win FROM s)""",
+    "p9_found": """
+WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+g AS (SELECT item_id, array_to_string(w, ' ') AS win FROM i WHERE len(w) BETWEEN 1 AND 9 UNION SELECT item_id, array_to_string(w[p:p + 9], ' ') FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 9)) AS p FROM i WHERE len(w) >= 10))
+SELECT DISTINCT doc_id, item_id FROM d, g WHERE contains(t, ' ' || win || ' ')""",
     "p6_found": "SELECT DISTINCT 'narration_scripts' AS tab, script_id AS row_id FROM narration_scripts WHERE strlen(full_text) > 3000 UNION ALL SELECT DISTINCT 'intro_sections', section_id FROM intro_sections WHERE strlen(body) > 3000",
 }
 
