@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lontar.plans import nested
+from lontar.plans import nested, relational, text
 
-MODULES = (nested,)
+MODULES = (nested, text, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -53,6 +53,7 @@ s AS (SELECT shard_id, published_at, slug, {_LONE.format("(j->'$.subtopics')")}
 s1 AS (SELECT shard_id, published_at, slug, CASE WHEN len(l) = 0 THEN NULL ELSE unnest(generate_series(0, len(l) - 1)) END AS subtopic_no, l FROM (SELECT * FROM s WHERE len(l) > 0) UNION ALL SELECT shard_id, published_at, slug, -1, l FROM s WHERE len(l) = 0),
 e AS (SELECT shard_id, published_at, slug, subtopic_no, CASE WHEN subtopic_no < 0 THEN [] ELSE {_LONE.format("(l[subtopic_no + 1]->'$.entries')")} END AS l FROM s1),
 e1 AS (SELECT shard_id, published_at, slug, subtopic_no, unnest(generate_series(0, len(l) - 1)) AS entry_no, l FROM e WHERE len(l) > 0 UNION ALL SELECT shard_id, published_at, slug, subtopic_no, -1, l FROM e WHERE len(l) = 0),
+entries AS (SELECT shard_id, slug, subtopic_no, entry_no, l[entry_no + 1]->>'$.ref' AS ref FROM e1 WHERE entry_no >= 0),
 r AS (SELECT shard_id, published_at, slug, subtopic_no, entry_no, CASE WHEN entry_no < 0 THEN [] ELSE {_LONE.format("(l[entry_no + 1]->'$.refs')")} END AS l FROM e1),
 r1 AS (SELECT shard_id, published_at, slug, subtopic_no, entry_no, unnest(generate_series(0, len(l) - 1)) AS ref_no, l FROM r WHERE len(l) > 0 UNION ALL SELECT shard_id, published_at, slug, subtopic_no, entry_no, -1, l FROM r WHERE len(l) = 0),
 b AS (SELECT shard_id, published_at, slug, subtopic_no, entry_no, ref_no, CASE WHEN ref_no < 0 THEN NULL ELSE l[ref_no + 1] END AS ref, CASE WHEN ref_no < 0 THEN [] ELSE {_LONE.format("(l[ref_no + 1]->'$.bridge')")} END AS l FROM r1),
