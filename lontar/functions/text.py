@@ -199,7 +199,7 @@ def variant_index(c: Column, n: int) -> Column:
 
 def sentences(c: Column) -> Column:
     """Pieces between sentence ends and line ends, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"[.!?\n]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def paragraphs(c: Column) -> Column:

@@ -169,8 +169,8 @@ SQL = {
       u AS (SELECT dump_id, verse_refs, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM r)
       SELECT dump_id, array_to_string(l, ' ') AS refs, len(l) AS n, len(list_filter(l, lambda x: NOT list_contains(coalesce(verse_refs, []), x))) AS not_listed FROM u""",
     "ref_parse": TREE_SQL + r""", x AS (SELECT DISTINCT ref, regexp_extract(ref, '^QS\. (.+), ([0-9]+):([0-9]+)(?:-([0-9]+))?$', ['nm', 's', 'f', 'l']) AS m FROM entries WHERE ref IS NOT NULL),
-      p AS (SELECT ref, nullif(m.nm, '') AS name, TRY_CAST(m.s AS INT) AS surah, TRY_CAST(m.f AS INT) AS first, coalesce(TRY_CAST(m.l AS INT), TRY_CAST(m.f AS INT)) AS last FROM x), b AS (SELECT n, max(ayahs) AS bound FROM surah_meta GROUP BY 1)
-      SELECT ref, name, surah, first, last, CASE WHEN surah IS NULL THEN 'unparsed' WHEN bound IS NULL THEN 'no_chapter' WHEN first < 1 OR last > bound THEN 'out_of_range' WHEN last < first THEN 'inverted' WHEN last > first THEN 'range' ELSE 'single' END AS kind FROM p LEFT JOIN b ON b.n = p.surah""",
+      pz AS (SELECT ref, nullif(m.nm, '') AS name, TRY_CAST(m.s AS INT) AS surah, TRY_CAST(m.f AS INT) AS first, coalesce(TRY_CAST(m.l AS INT), TRY_CAST(m.f AS INT)) AS last FROM x), bounds AS (SELECT n, max(ayahs) AS bound FROM surah_meta GROUP BY 1)
+      SELECT ref, name, surah, first, last, CASE WHEN surah IS NULL THEN 'unparsed' WHEN bound IS NULL THEN 'no_chapter' WHEN first < 1 OR last > bound THEN 'out_of_range' WHEN last < first THEN 'inverted' WHEN last > first THEN 'range' ELSE 'single' END AS kind FROM pz LEFT JOIN bounds ON bounds.n = pz.surah""",
     "marker_codec": r"""WITH c AS (SELECT doc_id, left(text, 40) || ' [H:' || regexp_replace(source, '[^a-z0-9-]', '-', 'g') || ':' || doc_id || '] [H:a:7]' AS t FROM documents),
       m AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '\[H:([a-z0-9-]+:[0-9]+)\]', 1), lambda x: replace(x, ':', '/')) AS l FROM c)
       SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS ids, length(trim(regexp_replace(t, '\s*\[H:[a-z0-9-]+:[0-9]+\]', '', 'g'))) AS rest FROM m""",
