@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SLOTS = ("dawn", "sunrise", "noon", "afternoon", "sunset", "night")
+
 
 def local_day(instant: Column, offset_minutes: Column) -> Column:
     """The civil day at an instant, given the offset from UTC."""
@@ -63,7 +65,7 @@ def shadow_altitude(lat: Column, declination: Column, factor: float) -> Column:
 
 
 def with_day_times(df: DataFrame, day: str, lat: str, lon: str, metres: str, offset: str, dawn: float = 20.0, dusk: float = 18.0, factor: float = 1.0) -> DataFrame:
-    """Adds times, array<struct<name, minute>>: six times in local minutes of the day, null minutes where there is none."""
+    """Adds a column for each of SLOTS: its time in local minutes of the day, null where there is none."""
     kept = df.columns
     out = with_steps(
         with_solar(df, day, offset),
@@ -75,15 +77,16 @@ def with_day_times(df: DataFrame, day: str, lat: str, lon: str, metres: str, off
         _shadow=lambda c: hour_angle(c(lat), c("declination"), c("_high")),
     )
     n = F.col("_noon")
-    slots = (("dawn", n - F.col("_first") * 4), ("sunrise", n - F.col("_rim") * 4), ("noon", n), ("afternoon", n + F.col("_shadow") * 4), ("sunset", n + F.col("_rim") * 4), ("night", n + F.col("_last") * 4))
-    return out.select(*kept, F.array(*[F.struct(F.lit(x).alias("name"), m.alias("minute")) for x, m in slots]).alias("times"))
+    slots = (n - F.col("_first") * 4, n - F.col("_rim") * 4, n, n + F.col("_shadow") * 4, n + F.col("_rim") * 4, n + F.col("_last") * 4)
+    return out.select(*kept, *[m.alias(x) for x, m in zip(SLOTS, slots, strict=True)])
 
 
-def next_after(times: Column, minute: Column) -> Column:
-    """Name of the first of the times not before a minute; tomorrow's first where none is left."""
-    later = F.filter(times, lambda x: x.minute.isNotNull() & (x.minute >= minute))
-    some = F.filter(times, lambda x: x.minute.isNotNull())
-    return F.coalesce(F.get(F.array_sort(F.transform(later, lambda x: F.struct(x.minute.alias("m"), x["name"].alias("n")))), F.lit(0)).n, F.get(some, F.lit(0))["name"])
+def next_after(minute: Column) -> Column:
+    """Name of the first of SLOTS not before a minute; tomorrow's first where none is left."""
+    out = F.coalesce(*[F.when(F.col(x).isNotNull(), x) for x in SLOTS])
+    for x in reversed(SLOTS):
+        out = F.when(F.col(x) >= minute, x).otherwise(out)
+    return out
 
 
 def daily_pick(day: Column, n: int) -> Column:

@@ -129,8 +129,8 @@ def solar_times(spark: SparkSession, d: str) -> DataFrame:
     """Six times of a day for every 10th degree of latitude over four days of a year."""
     g = spark.range(0, 13).select((F.col("id") * 10 - 60).cast("double").alias("lat")).crossJoin(spark.createDataFrame([("2024-01-05",), ("2024-03-20",), ("2024-06-21",), ("2024-12-01",)], "day string"))
     g = g.withColumns({"date": F.to_date("day"), "lon": F.lit(106.8), "metres": F.lit(8.0), "offset": F.lit(420)})
-    x = D.with_day_times(g, "date", "lat", "lon", "metres", "offset").select("lat", "day", F.explode("times").alias("t"))
-    return x.select("lat", "day", "t.name", F.round("t.minute", 3).alias("minute"))
+    x = D.with_day_times(g, "date", "lat", "lon", "metres", "offset").unpivot(["lat", "day"], list(D.SLOTS), "name", "minute")
+    return x.select("lat", "day", "name", F.round("minute", 3).alias("minute"))
 
 
 def daily_pick(spark: SparkSession, d: str) -> DataFrame:
