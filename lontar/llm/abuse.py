@@ -207,7 +207,7 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 def train(texts: list[str], labels: np.ndarray) -> Scorer:
     """Twice two half fits with held-out scores, then the final fit without the labels these contradict."""
     if len(texts) == 0 or labels.min() == labels.max():
-        return Scorer(np.zeros(BUCKETS, np.float32), -30.0, 0.5)
+        return Scorer(np.zeros(BUCKETS, np.float32), float("-inf"), 0.5)
     half = np.array([zlib.crc32(t.encode("utf-8", "replace")) % 2 for t in texts])
     parts = [np.flatnonzero(half == h) for h in (0, 1)]
     bags = [Bag([texts[i] for i in part]) for part in parts]

@@ -216,10 +216,10 @@ def shared_windows(records: DataFrame, time: str, window: int = WINDOW, fanout:
     shared = None
     for batch in year_batches(records, time):
         s = index.append(batch.select("rec", "text"))
+        shared = s if shared is None else shared.unionByName(s)
         if len(index.runs) > fanout:
-            s = cut(s)
+            shared = cut(shared)  # compaction drops the runs it reads
             index.compact()
-        shared = s if shared is None else shared.unionByName(s)
     shared = cut(shared.distinct())
     index.drop()
     n = shared.count()
