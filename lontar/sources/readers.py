@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -60,7 +62,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Whole files are read as one value each, as their lines must be numbered; give many files rather than a large one.
     """
-    f = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("l"))
+    f = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("l"))
     return f.select("path", F.posexplode("l").alias("i", "value")).select("path", (F.col("i") + 1).alias("line_no"), "value")
 
 
@@ -81,7 +83,7 @@ def attributes(tag: Column) -> Column:
 
 def tags(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(path, pos, attrs): the self-closing tags of a name with their attributes, in order of the file."""
-    f = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract_all("value", F.lit(rf"(<{name}\s[^>]*/>)"), F.lit(1)).alias("t"))
+    f = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract_all("value", F.lit(rf"(<{name}\s[^>]*/>)"), F.lit(1)).alias("t"))
     return f.select("path", F.posexplode("t").alias("pos", "tag")).select("path", "pos", attributes(F.col("tag")).alias("attrs"))
 
 
@@ -109,11 +111,18 @@ def milestones(df: DataFrame, index: str, n: int) -> DataFrame:
 
 
 def json_records(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(good, rejects(raw)): JSON records or, multi_line, whole documents; a truncated last line is a reject."""
-    full = f"{schema}, _raw string"
-    df = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").option("multiLine", str(multi_line).lower()).json(path)
-    df = df.withColumn("_bad", F.col("_raw").isNotNull())
-    return df.where("NOT _bad").drop("_raw", "_bad"), df.where("_bad").select(F.col("_raw").alias("raw"))
+    """(good, rejects(raw)): JSON lines or, multi_line, files of an object or an array; a truncated last line is a reject."""
+    text = spark.read.text(path, wholetext=multi_line).where("trim(value) <> ''")
+    bad = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}
+    if multi_line:
+        x = text.select("value", F.from_json("value", f"array<struct<{_struct(schema)}>>").alias("a"))
+        return x.select(F.explode("a").alias("r")).where("r IS NOT NULL").select("r.*"), x.where("a IS NULL").select(F.col("value").alias("raw"))
+    x = text.select(F.from_json("value", f"{schema}, _raw string", bad).alias("r"))
+    return x.where("r._raw IS NULL").select("r.*").drop("_raw"), x.where("r._raw IS NOT NULL").select(F.col("r._raw").alias("raw"))
+
+
+def _struct(schema: str) -> str:
+    return ", ".join(f"{name}: {kind}" for name, kind in (c.strip().split(" ", 1) for c in re.split(r",(?![^<]*>)", schema)))
 
 
 def nested_bundle(df: DataFrame) -> DataFrame:
@@ -160,7 +169,7 @@ def body(text: Column) -> Column:
 def sections(text: Column) -> Column:
     """array<struct<title, content>> of the ## sections."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), body(text)), r"\n(?=## )"), lambda p: p.startswith("## "))
-    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"\A## ([^\n]*)", 1)).alias("title"), F.trim(F.regexp_replace(p, r"\A## [^\n]*\n?", "")).alias("content")))
+    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"\A## ([^\n]*)", 1)).alias("title"), F.regexp_replace(F.regexp_replace(p, r"\A## [^\n]*\n?", ""), r"\A\s+|\s+\z", "").alias("content")))
 
 
 def numbered_items(text: Column) -> Column:
@@ -171,7 +180,7 @@ def numbered_items(text: Column) -> Column:
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of every .md file below a folder."""
-    f = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path)
+    f = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return f.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
