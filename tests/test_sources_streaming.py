@@ -67,7 +67,7 @@ def test_markdown(spark, tmp_path):
     assert (r[0], r[1], r[2]) == ("x-1", None, "private")
     assert [tuple(x) for x in r[3]] == [("Satu", "isi"), ("Dua", "1. a\n   lanjut\n2. b")] and r[4] == ["a lanjut", "b"]
     rep = spark.createDataFrame([("### ok 1\nx\n### ok 2",), ("### bad",)], "s string")
-    assert len(rep.limit(1).select(R.report_blocks(F.col("s"), r"^### ok \d")).first()[0]) == 2
+    assert len(rep.where("s LIKE '### ok%'").select(R.report_blocks(F.col("s"), r"^### ok \d")).first()[0]) == 2
     with pytest.raises(Exception, match="unreadable"):
         rep.select(R.report_blocks(F.col("s"), r"^### ok \d")).collect()
 
