@@ -47,16 +47,28 @@ def _overlap(previous: Column, overlap: int) -> Column:
     return F.when(at_word != "", at_word).otherwise(at_char)
 
 
-def pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """array<struct<body, lead>>: the bodies of a text and the overlap that leads each."""
-    view = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
-    back = lambda c: F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
-    bodies = F.regexp_extract_all(view, F.lit(_pattern(limit - overlap)), F.lit(0))
-    bodies = F.when(text.isNull(), F.array().cast("array<string>")).when(F.octet_length(text) <= limit, F.array(view)).otherwise(bodies)
-    return F.transform(
-        F.transform(bodies, lambda b, i: F.struct(b.alias("b"), F.when((i > 0) & F.lit(overlap > 0), _overlap(F.get(bodies, i - 1), overlap)).otherwise(F.lit("")).alias("l"))),
-        lambda x: F.struct(back(x.b).alias("body"), back(x.l).alias("lead")),
-    )
+def _view(text: Column) -> Column:
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
+def _text(view: Column) -> Column:
+    return F.decode(F.encode(view, "ISO-8859-1"), "UTF-8")
+
+
+def bodies(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
+    """Array of the bodies of a text in the byte view; null for a null text."""
+    found = F.regexp_extract_all(_view(text), F.lit(_pattern(limit - overlap)), F.lit(0))
+    return F.when(F.octet_length(text) <= limit, F.array(_view(text))).otherwise(found)
+
+
+def pieces(bodies: Column, overlap: int = OVERLAP) -> Column:
+    """array<struct<body, lead>> of the bodies, each with the overlap that leads it.
+
+    Give a materialised column: each body is paired with the one before it outside the lambda, which sees both once.
+    """
+    before = F.concat(F.array(F.lit("")), F.slice(bodies, 1, F.size(bodies) - 1))
+    lead = lambda b: F.when((b == "") | F.lit(overlap <= 0), F.lit("")).otherwise(_overlap(b, overlap))
+    return F.zip_with(bodies, before, lambda b, p: F.struct(_text(b).alias("body"), _text(lead(p)).alias("lead")))
 
 
 def split_texts(texts: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -65,6 +77,7 @@ def split_texts(texts: DataFrame, key: str, text: str, limit: int = LIMIT, overl
     piece = lead + body; the bodies of a text join to the text. One row of each key is used, however often delivered.
     """
     big = need(texts, [key, text]).where(F.octet_length(text) > limit).dropDuplicates([key])
-    p = big.select(key, pieces(F.col(text), limit, overlap).alias("_p")).select(key, F.size("_p").alias("n_pieces"), F.posexplode("_p").alias("piece_no", "_x"))
+    b = big.select(key, bodies(F.col(text), limit, overlap).alias("_b"))
+    p = b.select(key, pieces(F.col("_b"), overlap).alias("_p")).select(key, F.size("_p").alias("n_pieces"), F.posexplode("_p").alias("piece_no", "_x"))
     piece = F.concat("_x.lead", "_x.body")
     return p.select(key, "piece_no", "n_pieces", piece.alias("piece"), F.octet_length("_x.lead").alias("lead_bytes"), F.octet_length(piece).alias("n_bytes"))
