@@ -43,6 +43,7 @@ def _pattern(body: int) -> str:
 
 def _overlap(previous: Column, overlap: int) -> Column:
     """Up to the last `overlap` bytes of a body: from a word start, else from a character start."""
+    previous = F.right(previous, F.lit(overlap + 3))  # a space has up to three bytes
     at_word = F.regexp_extract(previous, rf"(?s)(?<={SPACE})(?!{SPACE}).{{1,{overlap}}}\z", 0)
     at_char = F.regexp_extract(previous, rf"(?s)(?![\x80-\xBF]).{{1,{overlap}}}\z", 0)
     return F.when(at_word != "", at_word).otherwise(at_char)
