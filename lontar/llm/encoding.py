@@ -16,6 +16,7 @@ values are none. Lost characters (U+FFFD) stay as they are in the restored text,
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -35,6 +36,7 @@ BOUND = "\x02\x02"
 MAX_DEPTH, BEAM, STEP = 4, 4, 2.0
 BAD = re.compile("[\x80-\x84\x86-\x9f�]")
 BUCKETS = 400
+SHORT = 40
 
 
 def byte_map(encoding: str) -> dict[str, int]:
@@ -58,6 +60,7 @@ class Chains:
         self.maps = {e: byte_map(e) for e in READ_AS}
         self.utf8 = {e: self._sequences(m) for e, m in self.maps.items()}
         self.plainly = {e: self._plainly(m) for e, m in self.maps.items()}
+        self.leads = {e: frozenset(c for c, b in m.items() if b >= 0xC2) for e, m in self.maps.items()}
         high = "".join(re.escape(c) for c in self.maps["cp1252"])
         self.run = re.compile(f"[{high}]{{2,}}")
         self.names = [*(f"utf8>{e}" for e in READ_AS), *(f"{e}>cp1252" for e in WRITTEN_IN)]
@@ -75,9 +78,11 @@ class Chains:
         c = self._chars(m, 0x80, 0xBF)
         return re.compile(f"(?:{self._chars(m, 0xC2, 0xDF)}{c}){{2}}|{self._chars(m, 0xE0, 0xEF)}{c}{c}|{self._chars(m, 0xC2, 0xC5)}{c}")
 
-    def stretches(self, text: str, name: str):
-        """(start, end, original) of each stretch the chain could explain."""
+    def stretches(self, text: str, name: str, chars: set[str]):
+        """(start, end, original) of each stretch the chain could explain; chars: those of the text."""
         first, second = name.split(">")
+        if self.leads[second].isdisjoint(chars):
+            return
         if first == "utf8":
             m = self.maps[second]
             for x in self.utf8[second].finditer(text):
@@ -106,7 +111,10 @@ class Chains:
         return "".join(chr(b) if b < 0x80 else inverse[b] for b in data)
 
     def is_clean(self, text: str) -> bool:
-        return text.isascii() or not (BAD.search(text) or any(p.search(text) for p in self.plainly.values()))
+        if text.isascii():
+            return True
+        chars = set(text)
+        return not (BAD.search(text) or any(p.search(text) for e, p in self.plainly.items() if not self.leads[e].isdisjoint(chars)))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -121,11 +129,17 @@ def slots(cp: np.ndarray) -> list[np.ndarray]:
     return [(((k + np.uint64(n)) * mix) >> np.uint64(64 - BITS[n])).astype(np.int64) for n, k in enumerate(keys)]
 
 
+def slot(key: int, n: int) -> int:
+    """As slots(), of one key."""
+    return (((key + n) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS[n])
+
+
 class NGramModel:
     """Interpolated character trigrams over hashed counts."""
 
     def __init__(self, tables: list[np.ndarray], weight: float = 2.0) -> None:
         self.t, self.weight, self.total = tables, weight, float(tables[0].sum()) + 1.0
+        self.views = [memoryview(np.ascontiguousarray(t, np.float64)) for t in tables]
         self.cache: dict[str, float] = {}
 
     def log_likelihood(self, text: str) -> float:
@@ -134,9 +148,21 @@ class NGramModel:
         if v is None:
             if len(self.cache) > 200_000:
                 self.cache.clear()
-            v = self.cache[text] = self._score(text)
+            v = self.cache[text] = self._score(text) if len(text) > SHORT else self._score_short(text)
         return v
 
+    def _score_short(self, text: str) -> float:
+        """As _score(), without arrays: quicker for a few characters."""
+        t1, t2, t3, w, out = *self.views, self.weight, 0.0
+        cp = list(map(ord, text))
+        for i in range(2, len(cp)):
+            a, b, c = cp[i - 2], cp[i - 1], cp[i]
+            ab = t2[slot((a << 21) + b, 1)]
+            p = (t1[slot(c, 0)] + 1e-2) / (self.total + 1e4)
+            p = (t2[slot((b << 21) + c, 1)] + w * p) / (t1[slot(b, 0)] + w)
+            out += math.log((min(t3[slot((a << 42) ^ (b << 21) ^ c, 2)], ab) + w * p) / (ab + w))
+        return out
+
     def whole(self, text: str) -> float:
         return self._score(BOUND + text + BOUND)
 
@@ -173,9 +199,10 @@ def restore(text: str, chains: Chains, model: NGramModel, margin: float) -> tupl
         for _, now, names in states:
             if now.isascii():
                 continue
+            chars = set(now)
             for name in chains.names:
                 most, at, out = float("-inf"), 0, []
-                for start, end, original in chains.stretches(now, name):
+                for start, end, original in chains.stretches(now, name, chars):
                     g = model.gain(now, start, end, original)
                     most = max(most, g)
                     if g > 0:

@@ -96,6 +96,12 @@ def test_double_damage_and_honest_text(trained):
         assert encoding.restore(t, chains, model, margin)[:2] == (t, [])
 
 
+def test_short_scores_agree(trained):
+    _, model, _ = trained
+    for t in ("", "a", "ab", "abc", "château", "📚 x", "книга di"):
+        assert math.isclose(model._score(t) if len(t) > 2 else 0.0, model._score_short(t), abs_tol=1e-9)
+
+
 def test_damaged_rows_and_edges(spark):
     rows = [(i, t, "x") for i, t in enumerate(clean_corpus())] + [(900, "chÃ¢teau di pasar", "x"), (900, "chÃ¢teau di pasar", "x"), (901, "ma�n", "x"), (902, None, "x"), (903, "", None), (904, "a" * 50_000, "x")]
     df = spark.createDataFrame(rows, "row_id bigint, val string, restored_by string")
