@@ -311,9 +311,12 @@ def _restorer(tables, margin):
 ship(__name__)
 
 
-def damaged(values: DataFrame, text: str) -> DataFrame:
-    """The damaged rows of values: its other columns, restored, chains (as accepted, in order) and complete."""
-    tables, margin = train(values, text)
+def damaged(values: DataFrame, text: str, corpus: DataFrame | None = None) -> DataFrame:
+    """The damaged rows of values: its other columns, restored, chains (as accepted, in order) and complete.
+
+    The model is trained on the same column of corpus, if that is given, else on values.
+    """
+    tables, margin = train(values if corpus is None else corpus, text)
     keys = [c for c in values.columns if c != text]
     sent = values.sparkSession.sparkContext.broadcast(tables)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema if f.name != text)

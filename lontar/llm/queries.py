@@ -24,7 +24,8 @@ def _form_values(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     found = plainform.plain_forms(_form_values(spark, d).where("val IS NOT NULL"), "val", only_changed=True).select("tab", "row_id", "field").distinct()
-    garbled = p2_found(spark, d).where("tab = 'surah'").withColumn("field", F.lit("text"))
+    values = _damage_values(spark, d)
+    garbled = encoding.damaged(values.where("tab = 'surah'"), "val", values).select("tab", "row_id", F.lit("text").alias("field")).distinct()
     return found.join(garbled, ["tab", "row_id", "field"], "left_anti")
 
 
