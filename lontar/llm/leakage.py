@@ -27,7 +27,7 @@ SPAN = 10
 MASKS = ((1, 0, 1, 0, 1, 0, 1, 0, 1, 0), (0, 1, 0, 1, 0, 1, 0, 1, 0, 1))
 MAX_BLOCK_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+")
-TABLE_BITS = 22
+SPARE = 32
 
 
 def words_of(text: str | None) -> list[str]:
@@ -57,8 +57,8 @@ class Seeds:
             for mask in self.masks(n):
                 h = self.hash(windows.T, mask, len(windows))
                 order = np.argsort(h, kind="stable")
-                seen = np.zeros(1 << TABLE_BITS, bool)
-                seen[self.slot(h)] = True
+                seen = np.zeros(1 << max(10, (len(h) * SPARE).bit_length()), bool)
+                seen[self.slot(h, len(seen))] = True
                 seeds.append((mask, h[order], order, seen))
             self.groups.append((n, np.array(places), windows, seeds))
 
@@ -72,8 +72,9 @@ class Seeds:
         return h
 
     @staticmethod
-    def slot(h: np.ndarray) -> np.ndarray:
-        return ((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    def slot(h: np.ndarray, size: int) -> np.ndarray:
+        """Places in a table of this size (a power of two) that tells most hashes without an item at once."""
+        return ((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
     def matches(self, texts: list[str | None], tolerance: int):
         """(text, item, position in the text, position in the item, length, substitutions) of every verified window."""
@@ -91,7 +92,7 @@ class Seeds:
             pairs = []
             for mask, sorted_h, order, seen in seeds:
                 h = self.hash(columns, mask, m)
-                at = np.flatnonzero(seen[self.slot(h)])
+                at = np.flatnonzero(seen[self.slot(h, len(seen))])
                 at = at[text[at] == text[at + n - 1]]
                 lo, hi = np.searchsorted(sorted_h, h[at]), np.searchsorted(sorted_h, h[at], "right")
                 k = hi - lo
