@@ -55,9 +55,16 @@ def votes(df: DataFrame, keys: list[str], candidate: str, position: str) -> Data
     return g.groupBy(*keys).agg(F.max_by(F.struct(candidate, "n"), F.struct("n", -F.col("_p"))).alias("_x")).select(*keys, f"_x.{candidate}", "_x.n")
 
 
-def set_digest(df: DataFrame, keys: list[str], line: Column) -> DataFrame:
-    """(keys, digest): SHA-256 of the sorted lines joined by |; the order of rows does not matter."""
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "|"), 256).alias("digest"))
+def set_digest(df: DataFrame, keys: list[str], line: Column, prefix: int = 4) -> DataFrame:
+    """(keys, digest, n): a digest of a set of lines that does not depend on the order of rows.
+
+    Each line is hashed; the sorted hashes of a prefix are hashed together, and those digests, by prefix, once more.
+    So a group of any size is at most 16 ** prefix short lists.
+    """
+    h = df.select(*keys, F.sha2(line, 256).alias("_h"))
+    part = h.groupBy(*keys, F.substring("_h", 1, prefix).alias("_p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), "|"), 256).alias("_d"), F.count("*").alias("_n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x._d)
+    return part.groupBy(*keys).agg(F.sha2(F.array_join(lines, "|"), 256).alias("digest"), F.sum("_n").alias("n"))
 
 
 def arm_lift(df: DataFrame, keys: list[str], arm: str, success: Column, treated: str, control: str, weak: float = 0.1, strong: float = 0.5) -> DataFrame:

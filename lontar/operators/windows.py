@@ -25,10 +25,15 @@ def tile_breaks(df: DataFrame, keys: list[str], start: str, end: str) -> DataFra
 
 
 def first_break(df: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """(keys, n, first_break): the first position at which the sorted numbers are not 1, 2, 3...; null where they are."""
-    w = W.partitionBy(*keys).orderBy(number)
-    v = df.withColumn("_r", F.row_number().over(w))
-    return v.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.when(~F.col(number).eqNullSafe(F.col("_r")), F.col("_r"))).alias("first_break"))
+    """(keys, n, first_break): the first position at which the sorted numbers are not 1, 2, 3...; null where they are.
+
+    Equal numbers are counted before the sort, so a group is as long as its different numbers.
+    """
+    c = df.groupBy(*keys, number).agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(W.partitionBy(*keys).orderBy(number).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumn("_p", before + 1)
+    at = F.when(~F.col(number).eqNullSafe(F.col("_p")), F.col("_p")).when(F.col("_k") > 1, F.col("_p") + 1)
+    return c.withColumn("_a", at).groupBy(*keys).agg(F.sum("_k").alias("n"), F.min("_a").alias("first_break"))
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -50,9 +55,26 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str
     return local.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
-def stable_boost(df: DataFrame, keys: list[str], boosted: Column, rank: str, name: str = "new_rank") -> DataFrame:
-    """Adds a rank with boosted rows first and the given rank otherwise; nothing is dropped."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(F.when(boosted, 0).otherwise(1), rank)))
+def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str = "rank") -> DataFrame:
+    """Adds the row number of each row within its key. bucket must rise with the order.
+
+    Rows are sorted per key and bucket only; the rows in the buckets before are counts, summed over the short list of
+    a key's buckets and joined back.
+    """
+    v = df.withColumn("_b", bucket).withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order)))
+    w = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    n = df.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    n = n.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_nb"), "_o")
+    same = F.col("_b").eqNullSafe(F.col("_nb"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return v.join(n, same).select(*[c for c in df.columns if c != name], (F.col("_r") + F.col("_o")).alias(name))
+
+
+def stable_boost(df: DataFrame, keys: list[str], boosted: Column, rank: str, name: str = "new_rank", size: int = 100_000) -> DataFrame:
+    """Adds a rank with boosted rows first and the given rank otherwise; nothing is dropped. Ranks are sorted in buckets of `size`."""
+    second = F.when(boosted, 0).otherwise(1)
+    return ranked(df, keys, [second, F.col(rank)], F.struct(second.alias("s"), F.floor(F.col(rank) / size).alias("r")), name)
 
 
 def carry(df: DataFrame, keys: list[str], order: list[str], bucket: Column, marked: Column, name: str, forward: bool = True) -> DataFrame:

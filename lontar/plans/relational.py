@@ -139,7 +139,8 @@ def recent_n_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stable_boost(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").withColumn("rank", F.expr("row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey)"))
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    p = O.ranked(p, ["p_size"], [F.col("p_retailprice").desc(), F.col("p_partkey")], F.floor(-F.col("p_retailprice") / 100))
     b = O.stable_boost(p, ["p_size"], F.col("p_brand") == "Brand#1", "rank")
     return b.select("p_partkey", F.col("rank").cast("bigint").alias("rank"), F.col("new_rank").cast("bigint").alias("new_rank"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
+from lontar.operators.aggregates import set_digest
 from lontar.plans.nested import TREE_SQL
 from lontar.util import blank_to_null, table
 
@@ -16,9 +17,9 @@ def text_normalize_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_digest(spark: SparkSession, d: str) -> DataFrame:
-    """Per source, a digest that does not depend on row order: of the sorted lines key:hash."""
-    c = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.concat_ws(":", F.col("doc_id").cast("string"), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16)).alias("line"))
-    return c.groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "|"), 256).alias("digest"), F.count("*").alias("n"))
+    """Per source, a digest of its documents that does not depend on their order."""
+    c = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "text")
+    return set_digest(c, ["source"], F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
 
 
 def token_spread(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +151,7 @@ _BODY = "CASE " + " ".join(f"WHEN length(word) > {len(p) + 2} AND starts_with(wo
 
 SQL = {
     "text_normalize_digest": f"SELECT doc_id, sha256(n) AS digest, left(sha256(n), 12) AS short, strlen(n) AS n_bytes FROM (SELECT doc_id, {_NORM.format('text')} AS n FROM documents)",
-    "corpus_digest": "SELECT coalesce(source, '') AS source, sha256(string_agg(line, '|' ORDER BY line)) AS digest, count(*) AS n FROM (SELECT source, doc_id || ':' || left(sha256(coalesce(text, '')), 16) AS line FROM documents) GROUP BY 1",
+    "corpus_digest": "WITH h AS (SELECT coalesce(source, '') AS source, sha256(doc_id || ':' || coalesce(text, '')) AS h FROM documents), p AS (SELECT source, left(h, 4) AS p, sha256(string_agg(h, '|' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1, 2) SELECT source, sha256(string_agg(d, '|' ORDER BY p)) AS digest, sum(n)::BIGINT AS n FROM p GROUP BY 1",
     "token_spread": f"SELECT word, count(*) AS df, count(DISTINCT source) AS sources FROM (SELECT doc_id, source, unnest({_SET.format('text')}) AS word FROM documents) GROUP BY word HAVING count(*) >= 5",
     "token_sets": f"""SELECT doc_id, len({_SET.format('text')}) AS space_words, len(list_filter(regexp_split_to_array({_NORM.format('text')}, '[ -]'), lambda x: x <> '')) AS all_words,
       len(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: length(x) > 2))) AS tokens,

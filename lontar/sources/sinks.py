@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lontar.operators.aggregates import set_digest
 from lontar.sources.readers import SourceError
 
 
-def artifact(name: str, df: DataFrame, order: list[str]) -> DataFrame:
-    """(name, sha256, bytes, rows): digest of a table, whatever its row order and partitions.
-
-    Each row is JSON with its keys in column order; the digest is that of the sorted row hashes, which are summed up
-    by prefix first, so no task holds the rows of a large table.
-    """
-    j = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).select(F.sha2("j", 256).alias("h"), F.octet_length("j").alias("n"))
-    part = j.groupBy(F.substring("h", 1, 4).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "|"), 256).alias("h"), F.sum("n").alias("n"), F.count("*").alias("k"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x.h), "|"), 256).alias("sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("k"), F.lit(0)).alias("rows")).select(F.lit(name).alias("name"), "sha256", "bytes", "rows")
+def artifact(name: str, df: DataFrame) -> DataFrame:
+    """(name, sha256, bytes, rows): digest of a table, whatever its row order and partitions; keys in column order, nulls included."""
+    j = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+    size = j.agg(F.coalesce(F.sum(F.octet_length("j")), F.lit(0)).alias("bytes"))
+    digest = set_digest(j.withColumn("one", F.lit(1)), ["one"], F.col("j"))
+    return size.join(digest, how="left").select(F.lit(name).alias("name"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("sha256"), "bytes", F.coalesce("n", F.lit(0)).alias("rows"))
 
 
 def manifest(artifacts: DataFrame) -> DataFrame:

@@ -106,6 +106,12 @@ def test_carry_is_independent_of_buckets(spark):
 def test_windows(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 4), ("b", 1), ("c", None)], "g string, n int")
     assert {r.g: r.first_break for r in O.first_break(df, ["g"], "n").collect()} == {"a": 3, "b": None, "c": 1}
+    r = spark.range(100).select((F.col("id") % 3).alias("g"), ((F.col("id") * 37) % 100).alias("x"))
+    for size in (5, 1000):
+        got = {(a.g, a.x): a["rank"] for a in O.ranked(r, ["g"], [F.col("x")], F.floor(F.col("x") / size)).collect()}
+        assert all(n == 1 + sum(1 for (h, y) in got if h == g and y < x) for (g, x), n in got.items())
+    b = O.stable_boost(O.ranked(r, ["g"], [F.col("x")], F.floor(F.col("x") / 9)), ["g"], F.col("x") > 90, "rank", size=4).where("g = 0").orderBy("new_rank").collect()
+    assert [a.new_rank for a in b] == list(range(1, len(b) + 1)) and [a.x > 90 for a in b] == sorted([a.x > 90 for a in b], reverse=True)
     t = spark.createDataFrame([(1, 1, 3), (1, 4, 9), (1, 11, 12)], "k int, s int, e int")
     assert [r.s for r in O.tile_breaks(t, ["k"], "s", "e").collect()] == [11]
     assert [r.end for r in O.tile_ends(t, ["k"], "s", F.lit(20), "end").orderBy("s").collect()] == [3, 10, 20]
