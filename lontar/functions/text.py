@@ -275,4 +275,45 @@ def longest_run(a: list[str], b: list[str]) -> int:
     return best
 
 
+
+
+
+def with_synonyms(words: Column, synonyms: dict[str, str]) -> Column:
+    """Words and, for those listed, the word they stand for; distinct, in order."""
+    m = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array_compact(F.array(w, F.try_element_at(m, w))))))
+
+
+def alias_hit(words: Column, alias: Column) -> Column:
+    """Whether all words of an alias are among the words, in any order and with an enclitic or none."""
+    bare = F.transform(words, lambda w: F.regexp_replace(w, "(?<=...)(?:nya|ku|mu|kah|lah)$", ""))
+    return F.size(F.array_except(F.split(alias, " "), F.concat(words, bare))) == 0
+
+
+def outside_phrases(c: Column, phrases: list[str], rounds: int = 3) -> Column:
+    """Words of a text that stand outside fixed phrases; removal repeats, as one may uncover another."""
+    s = F.concat(F.lit(" "), norm(c), F.lit(" "))
+    for _ in range(rounds):
+        for p in phrases:
+            s = F.replace(s, F.lit(f" {p} "), F.lit(" "))
+    return F.array_distinct(parts(s, r"\s+"))
+
+
+def linkify(c: Column, base: str) -> Column:
+    """References chapter:verse as Markdown links."""
+    return F.regexp_replace(c, r"(^|[^0-9A-Za-z_:])([0-9]{1,3}):([0-9]{1,3})(?=[^0-9A-Za-z_:]|$)", rf"$1[$2:$3]({base}/$2/$3)")
+
+
+def failure_class(c: Column) -> Column:
+    """Kind of a failure by its message; the first pattern that matches."""
+    m = F.lower(c)
+    return F.when(m.rlike("timed? ?out|deadline"), "timeout").when(m.rlike("429|rate limit"), "limited").when(m.rlike("40[13]|denied"), "denied").when(m.rlike("5[0-9][0-9]|unavailable"), "server").otherwise("other")
+
+
+def opens_dangling(c: Column, openers: list[str]) -> Column:
+    """Whether a text opens with a word that points back to something before it."""
+    first = F.regexp_extract(norm(c), r"^([^\s]+)", 1)
+    return first.isin(*openers)
+
+
 ship(__name__)

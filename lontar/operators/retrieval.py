@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lontar.functions import text as T
 from lontar.operators.windows import top_n
+from lontar.util import ship
 
 
 def lexicon_hits(questions: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -121,3 +122,42 @@ def cue_router(texts: DataFrame, key: str, text: str, cues: DataFrame) -> DataFr
 def first_lane(*lanes: tuple[str, Column], default: str = "silence") -> Column:
     """The first lane whose condition holds."""
     return F.coalesce(*[F.when(c, name) for name, c in lanes], F.lit(default))
+
+
+def embed(texts: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[float]]], done: DataFrame | None = None, batch: int = 32, cut: int = 4000) -> DataFrame:
+    """(key, hash, values): vectors of the first `cut` characters of texts whose hash is not done yet, in batches of a model.
+
+    The model is any function of a list of texts; one that returns another number of vectors than it got texts fails the job.
+    """
+    t = texts.select(key, F.left(F.coalesce(text, F.lit("")), F.lit(cut)).alias("_t")).withColumn("hash", F.sha2("_t", 256))
+    if done is not None:
+        t = t.join(done.select("hash"), "hash", "left_anti").select(key, "_t", "hash")
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for i in range(0, len(f), batch):
+                part = f["_t"].iloc[i : i + batch].tolist()
+                vectors = model(part)
+                if len(vectors) != len(part):
+                    raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+                out += [list(map(float, v)) for v in vectors]
+            yield f[[key, "hash"]].assign(values=out)
+
+    return t.mapInPandas(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, hash string, values array<double>")
+
+
+def single_quote(found: DataFrame, key: str, veto: Column, lang: str, limit: int = 3000) -> DataFrame:
+    """The first quotable text of each key with at most two entries: in the language, within the limit, not vetoed. found(key, ord, lang, text)."""
+    few = found.groupBy(key).agg(F.count("*").alias("_n")).where("_n <= 2").select(key)
+    ok = found.join(few, key, "left_semi").where((F.col("lang") == lang) & (F.length("text") <= limit) & ~veto)
+    return ok.groupBy(key).agg(F.min_by("text", "ord").alias("quote"))
+
+
+def split_shown(records: DataFrame, cited: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(shown, reference only): records that are cited and the others."""
+    c = cited.select(key).distinct()
+    return records.join(c, key, "left_semi"), records.join(c, key, "left_anti")
+
+
+ship(__name__)

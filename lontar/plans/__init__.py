@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lontar.plans import nested, quality, relational, search, text
+from lontar.plans import misc, nested, quality, relational, search, text
 
-MODULES = (nested, text, relational, search, quality)
+MODULES = (nested, text, relational, search, quality, misc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -49,9 +49,10 @@ def affix_reach(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_extract(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "dump_rows").select("dump_id", "prose", "verse_refs").dropDuplicates(["dump_id"])
-    r = T.refs(F.col("prose"))
-    return c.where("prose IS NOT NULL").select("dump_id", F.array_join(r, " ").alias("refs"), F.size(r).alias("n"), F.size(F.array_except(r, F.coalesce("verse_refs", F.array().cast("array<string>")))).alias("not_listed"))
+    """References written in documents, and how many of them are not the one the document is filed under."""
+    c = table(spark, d, "documents").where("text IS NOT NULL")
+    r = T.refs(F.col("text"))
+    return c.select("doc_id", F.array_join(r, " ").alias("refs"), F.size(r).alias("n"), F.size(F.filter(r, lambda x: ~x.eqNullSafe(F.col("ref")))).alias("others")).where("n > 0")
 
 
 def ref_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -165,10 +166,9 @@ SQL = {
       f0 AS (SELECT word, word AS x FROM b UNION SELECT word, body FROM b), f1 AS (SELECT word, x, {_sql_suffix('x')} AS y FROM f0), f2 AS (SELECT word, x, y, {_sql_suffix('y')} AS z FROM f1),
       f AS (SELECT word, x AS form FROM f2 UNION SELECT word, y FROM f2 UNION SELECT word, z FROM f2)
       SELECT word, form FROM f WHERE form IS NOT NULL AND form <> word AND form IN (SELECT word FROM w)""",
-    "ref_extract": r"""WITH c AS (SELECT DISTINCT ON (dump_id) dump_id, prose, verse_refs FROM dump_rows WHERE prose IS NOT NULL),
-      r AS (SELECT dump_id, verse_refs, list_transform(regexp_extract_all(regexp_replace(prose, '([0-9A-Za-z_])', '\1', 'g'), '(?:^|[^0-9A-Za-z_])([0-9]{1,3}\s*[:.]\s*[0-9]{1,3})\b', 1), lambda x: regexp_replace(replace(regexp_replace(x, '\s', '', 'g'), '.', ':'), '(^|:)0+([0-9])', '\1\2', 'g')) AS l FROM c),
-      u AS (SELECT dump_id, verse_refs, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM r)
-      SELECT dump_id, array_to_string(l, ' ') AS refs, len(l) AS n, len(list_filter(l, lambda x: NOT list_contains(coalesce(verse_refs, []), x))) AS not_listed FROM u""",
+    "ref_extract": r"""WITH r AS (SELECT doc_id, ref, list_transform(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_])([0-9]{1,3}\s*[:.]\s*[0-9]{1,3})\b', 1), lambda x: regexp_replace(replace(regexp_replace(x, '\s', '', 'g'), '.', ':'), '(^|:)0+([0-9])', '\1\2', 'g')) AS l FROM documents WHERE text IS NOT NULL),
+      u AS (SELECT doc_id, ref, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM r)
+      SELECT doc_id, array_to_string(l, ' ') AS refs, len(l) AS n, len(list_filter(l, lambda x: x IS DISTINCT FROM ref)) AS others FROM u WHERE len(l) > 0""",
     "ref_parse": TREE_SQL + r""", x AS (SELECT DISTINCT ref, regexp_extract(ref, '^QS\. (.+), ([0-9]+):([0-9]+)(?:-([0-9]+))?$', ['nm', 's', 'f', 'l']) AS m FROM entries WHERE ref IS NOT NULL),
       pz AS (SELECT ref, nullif(m.nm, '') AS name, TRY_CAST(m.s AS INT) AS surah, TRY_CAST(m.f AS INT) AS first, coalesce(TRY_CAST(m.l AS INT), TRY_CAST(m.f AS INT)) AS last FROM x), bounds AS (SELECT n, max(ayahs) AS bound FROM surah_meta GROUP BY 1)
       SELECT ref, name, surah, first, last, CASE WHEN surah IS NULL THEN 'unparsed' WHEN bound IS NULL THEN 'no_chapter' WHEN first < 1 OR last > bound THEN 'out_of_range' WHEN last < first THEN 'inverted' WHEN last > first THEN 'range' ELSE 'single' END AS kind FROM pz LEFT JOIN bounds ON bounds.n = pz.surah""",

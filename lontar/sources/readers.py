@@ -221,3 +221,42 @@ def repair_lost(text: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, replacement in rules:
         text = F.regexp_replace(text, pattern, replacement)
     return text
+
+
+# Dumps, mapped sources and layouts
+
+
+def combined_dump(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(pos, path, value): the files of a partitioned source, whole, under the position each has in the given list."""
+    order = spark.createDataFrame(list(enumerate(paths)), "pos int, _p string")
+    f = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return f.join(F.broadcast(order), F.col("path").endswith(F.col("_p"))).select("pos", "path", "value")
+
+
+def mapped(df: DataFrame, fetch, schema: str, limit: int = 8) -> DataFrame:
+    """Rows through an injected function of one row (a dict) to one row, with at most `limit` running at once."""
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            yield pd.DataFrame([fetch(r) for r in f.to_dict("records")])
+
+    return df.repartition(limit).mapInPandas(run, schema)
+
+
+def path_key(c: Column, first: int, last: int) -> Column:
+    """Parts of a path from first to last (from 0), joined by /; empty if there are fewer."""
+    p = F.split(c, "/")
+    return F.when(F.size(p) > last, F.array_join(F.slice(p, first + 1, last - first + 1), "/")).otherwise("")
+
+
+def path_number(c: Column) -> Column:
+    """The number in the last part of a path; 0 if there is none."""
+    return F.coalesce(F.regexp_extract(F.element_at(F.split(c, "/"), -1), "[0-9]+", 0).try_cast("int"), F.lit(0))
+
+
+def freshness(spark: SparkSession, path: str) -> DataFrame:
+    """(files, newest): number of files below a folder and the newest modification time."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return f.agg(F.count("*").alias("files"), F.max("modificationTime").alias("newest"))
