@@ -11,7 +11,8 @@ The model is trained on all clean records (no U+FFFD, no C1 control, no stretch
 counts live in tables of fixed size (hashed n-grams, 5 MB), which bounds what is collected and broadcast.
 
 Cases: a value with an accepted chain, or with U+FFFD or a C1 control, which no honest text holds. Null and empty
-values are none. Lost characters (U+FFFD) stay as they are in the restored text, which is then marked incomplete.
+values are none. Lost characters (U+FFFD) stay as they are in the restored text, which is then marked incomplete;
+from_versions() fills them from other versions of the same text.
 """
 
 from __future__ import annotations
@@ -308,9 +309,6 @@ def _restorer(tables, margin):
     return run
 
 
-ship(__name__)
-
-
 def damaged(values: DataFrame, text: str, corpus: DataFrame | None = None) -> DataFrame:
     """The damaged rows of values: its other columns, restored, chains (as accepted, in order) and complete.
 
@@ -321,3 +319,27 @@ def damaged(values: DataFrame, text: str, corpus: DataFrame | None = None) -> Da
     sent = values.sparkSession.sparkContext.broadcast(tables)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema if f.name != text)
     return values.select(*keys, text).mapInArrow(_restorer(sent, margin), f"{fields}, restored string, chains string, complete boolean")
+
+
+def from_versions(lost: DataFrame, clean: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
+    """(row, found): the wording of rows with lost characters where exactly one clean text of the same keys fits.
+
+    lost(*keys, *row, restored), clean(*keys, text). Each run of U+FFFD may stand for up to three characters each. Rows
+    and texts meet by keys and three undamaged words at the start or the end, so even a key that holds a third of all
+    rows yields few comparisons; rows damaged at both ends are left.
+    """
+    words = lambda c: F.split(c, " ")
+    head = lambda c: F.concat(F.lit("h "), F.array_join(F.slice(words(c), 1, 3), " "))
+    tail = lambda c: F.concat(F.lit("t "), F.array_join(F.slice(words(c), F.greatest(F.size(words(c)) - 2, F.lit(1)), 3), " "))
+    r, gone = F.col("restored"), "�"
+    end = F.when(~F.contains(head(r), F.lit(gone)), head(r)).when(~F.contains(tail(r), F.lit(gone)), tail(r))
+    plain = F.regexp_replace(r, r"([%_\\])", r"\\$1")
+    n = F.length(r) - F.length(F.replace(r, F.lit(gone), F.lit("")))
+    a = lost.select(*keys, *row, end.alias("_end"), F.regexp_replace(plain, f"{gone}+", "%").alias("_like"), (F.length(r) - n).alias("_lo"), (F.length(r) + 2 * n).alias("_hi")).where("_end IS NOT NULL")
+    t = F.col("text")
+    b = clean.where(t.isNotNull() & ~F.contains(t, F.lit(gone))).select(*keys, "text", F.explode(F.array(head(t), tail(t))).alias("_end")).distinct()
+    fits = a.join(b, [*keys, "_end"]).where(F.expr("text LIKE _like") & F.length("text").between(F.col("_lo"), F.col("_hi")))
+    return fits.groupBy(*row).agg(F.countDistinct("text").alias("_n"), F.min("text").alias("found")).where("_n = 1").select(*row, "found")
+
+
+ship(__name__)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontar.llm import abuse, cooccur, encoding, leakage, packing, plainform, spans, splitting
-from lontar.util import table
+from lontar.util import cut, table
 
 
 def _damage_values(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_restored(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.damaged(_damage_values(spark, d), "val").dropDuplicates(["tab", "row_id"])
+    """Damaged rows with what was written, as far as it can be had: by undoing the encodings, and for verses with lost
+    characters from the one wording of another version that fits."""
+    rows = cut(encoding.damaged(_damage_values(spark, d), "val").dropDuplicates(["tab", "row_id"]))
+    verses = table(spark, d, "surah").select(F.col("verse_id").alias("row_id"), "n", "a", "text")
+    bad = rows.where("tab = 'surah'").select("row_id")
+    lost = verses.join(rows.where("tab = 'surah' AND NOT complete").select("row_id", "restored"), "row_id").select("n", "a", "row_id", "restored").distinct()
+    found = encoding.from_versions(lost, verses.join(bad, "row_id", "left_anti"), ["n", "a"], ["row_id"]).withColumn("tab", F.lit("surah"))
+    j = rows.join(found, ["tab", "row_id"], "left")
+    chains = F.when(F.col("found").isNotNull(), F.trim(F.concat_ws(" ", "chains", F.lit("version")))).otherwise(F.col("chains"))
+    return j.select("tab", "row_id", F.coalesce("found", "restored").alias("restored"), chains.alias("chains"), (F.col("complete") | F.col("found").isNotNull()).alias("complete"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -110,6 +110,13 @@ def test_damaged_rows_and_edges(spark):
     assert encoding.damaged(df.limit(0), "val").count() == 0
 
 
+def test_lost_characters_from_versions(spark):
+    lost = spark.createDataFrame([(1, 1, 10, "satu dua tiga n�f 100%_ akhir"), (1, 1, 11, "� dua tiga empat lima"), (1, 1, 12, "�a b�"), (1, 2, 13, "satu dua tiga n�f"), (1, 1, 14, "dua kata �")], "n int, a int, row_id int, restored string")
+    clean = spark.createDataFrame([(1, 1, "satu dua tiga naïf 100%_ akhir"), (1, 1, "satu dua tiga naïf 100%_ akhir"), (1, 1, "satu dua tiga n-terlalu-panjang-f 100%_ akhir"), (1, 1, "x dua tiga empat lima"), (1, 1, "y dua tiga empat lima"), (1, 1, None), (1, 1, "a\\b"), (1, 3, "satu dua tiga naïf")], "n int, a int, text string")
+    assert {r.row_id: r.found for r in encoding.from_versions(lost, clean, ["n", "a"], ["row_id"]).collect()} == {10: "satu dua tiga naïf 100%_ akhir"}
+    assert encoding.from_versions(lost.limit(0), clean, ["n", "a"], ["row_id"]).count() == 0
+
+
 # 3 Pairs
 
 
