@@ -278,6 +278,15 @@ def longest_run(a: list[str], b: list[str]) -> int:
 
 
 
+def without_formula(c: Column, formula: str, first: Column, exempt: Column) -> Column:
+    """The text without a leading formula, on first rows outside exempt groups; one that does not begin with it, marks and letter variants aside, fails the job."""
+    n = len(formula.split())
+    words = F.split(c, " ")
+    opens = arabic_fold(F.array_join(F.slice(words, 1, n), " ")) == arabic_fold(F.lit(formula))
+    rest = F.array_join(F.slice(words, n + 1, F.greatest(F.size(words) - n, F.lit(0))), " ")
+    return F.when(~first | exempt, c).when(opens, rest).otherwise(F.raise_error(F.concat(F.lit("no formula: "), F.left(c, F.lit(40)))))
+
+
 def with_synonyms(words: Column, synonyms: dict[str, str]) -> Column:
     """Words and, for those listed, the word they stand for; distinct, in order."""
     m = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])

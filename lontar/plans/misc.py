@@ -78,6 +78,16 @@ def linked_refs(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", T.linkify(F.col("t"), "/q").alias("linked"))
 
 
+def formula_strip(spark: SparkSession, d: str) -> DataFrame:
+    """First verses, given a marked formula to begin with, without it again; chapters without one are exempt."""
+    m = table(spark, d, "surah_meta").groupBy("n").agg(F.min("bismillah").alias("b"))
+    v = table(spark, d, "surah").select("verse_id", "n", "a", "ar").distinct().join(F.broadcast(m), "n").where("ar IS NOT NULL")
+    led = (F.col("a") == 1) & F.col("b")
+    v = v.select("verse_id", "ar", "a", "b", F.when(led, F.concat(F.lit("بِسْمِ ٱلله "), "ar")).otherwise(F.col("ar")).alias("t"))
+    out = T.without_formula(F.col("t"), "بسم الله", F.col("a") == 1, ~F.col("b"))
+    return v.select("verse_id", F.md5(out).alias("digest"))
+
+
 def failure_classes(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_type = 'error'")
     m = F.concat(F.lit("HTTP "), (F.floor(F.col("value")) + 400).cast("string"))
@@ -137,7 +147,7 @@ ship(__name__)
 
 QUERIES = {
     f.__name__: f
-    for f in (closed_set_guard, fragment_openers, card_filter, natural_order, kind_order, collocation_words, alias_subset, synonym_words, linked_refs, failure_classes, centre_scale, standalone_pick, path_keys, ordinal_join, embed_missing, single_quotes, shown_records)
+    for f in (closed_set_guard, fragment_openers, card_filter, natural_order, kind_order, collocation_words, alias_subset, synonym_words, linked_refs, formula_strip, failure_classes, centre_scale, standalone_pick, path_keys, ordinal_join, embed_missing, single_quotes, shown_records)
 }
 
 _HYPHEN = "list_filter(regexp_split_to_array(" + _NORM + ", '[ -]'), lambda x: x <> '')"
@@ -161,6 +171,7 @@ SQL = {
     "alias_subset": f"""WITH q AS (SELECT item_id, {_HYPHEN.format('text')} AS w FROM eval_items), x AS (SELECT item_id, list_concat(w, list_transform(w, lambda x: regexp_replace(x, '^(.{{3,}}?)(?:nya|ku|mu|kah|lah)$', '\\1'))) AS w FROM q)
       SELECT item_id, alias FROM x, (VALUES ('hati tenang'), ('pasar ramai'), ('orang lemah')) a(alias) WHERE list_has_all(w, string_split(alias, ' '))""",
     "synonym_words": f"WITH t AS (SELECT item_id, {_SET.format('text')} AS w FROM eval_items), s AS (SELECT item_id, w, len(list_intersect(w, ['laut', 'sungai', 'hujan'])) > 0 AS has FROM t) SELECT item_id, len(w) + (has AND NOT list_contains(w, 'air'))::INT AS n, has OR list_contains(w, 'air') AS water FROM s",
+    "formula_strip": "SELECT DISTINCT verse_id, md5(ar) AS digest FROM surah WHERE ar IS NOT NULL AND n IN (SELECT n FROM surah_meta)",
     "linked_refs": "WITH t AS (SELECT doc_id, '[' || ref || '](/q/' || replace(ref, ':', '/') || ')' AS l FROM documents WHERE ref IS NOT NULL) SELECT doc_id, 'Lihat ' || l || ' (dan ' || l || '), bukan 1:2:3.' AS linked FROM t",
     "failure_classes": "WITH e AS (SELECT 'http ' || (floor(value)::BIGINT + 400) AS m FROM events WHERE event_type = 'error') SELECT CASE WHEN regexp_matches(m, 'timed? ?out|deadline') THEN 'timeout' WHEN regexp_matches(m, '429|rate limit') THEN 'limited' WHEN regexp_matches(m, '40[13]|denied') THEN 'denied' WHEN regexp_matches(m, '5[0-9][0-9]|unavailable') THEN 'server' ELSE 'other' END AS failure, count(*) AS n FROM e GROUP BY 1",
     "centre_scale": """WITH m AS (SELECT avg(s_acctbal) AS mx, avg(s_nationkey::DOUBLE) AS my FROM supplier), p AS (SELECT s_suppkey, s_acctbal - mx AS x, s_nationkey - my AS y FROM supplier, m), f AS (SELECT max(sqrt(x * x + y * y)) AS far FROM p)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from lontar.functions import arrays as X
 from lontar.functions import dates as D
 from lontar.functions import text as T
 from lontar.operators import aggregates as A
@@ -61,6 +62,31 @@ def test_text_functions(spark):
     assert one(spark, lambda c: T.variant_index(c, 7), "halo", "") == [abs(h - (1 << 32) if h >> 31 else h) % 7, 0]
 
 
+def test_more_text_functions(spark):
+    df = spark.createDataFrame([("sabar", "sabarlah"), ("sab", "sabar"), ("sab", "sab")], "a string, b string")
+    assert [r[0] for r in df.select(T.stem_reach(F.col("a"), F.col("b"))).collect()] == [True, False, True]
+    assert one(spark, lambda c: T.linkify(c, "/q"), "2:7, 1:2:3 (4:5)") == ["[2:7](/q/2/7), 1:2:3 ([4:5](/q/4/5))"]
+    assert one(spark, lambda c: T.outside_phrases(c, ["a b", "c d"]), "a b c c d d x") == [["x"]]
+    assert one(spark, T.failure_class, "Deadline exceeded", "HTTP 429", "x") == ["timeout", "limited", "other"]
+    strip = lambda c: T.without_formula(c, "بسم الله", F.lit(True), F.lit(False))
+    assert one(spark, strip, "بِسْمِ ٱلله قل هو") == ["قل هو"]
+    with pytest.raises(Exception, match="no formula"):
+        one(spark, strip, "قل هو الله")
+    m = spark.createDataFrame([({"a": "x", "b": "y", "c": "x"},)], "m map<string,string>").select(X.invert(F.col("m"))).first()[0]
+    assert [(r.value, r["keys"] if "keys" in r.asDict() else None) for r in m] == [("x", ["a", "c"]), ("y", ["b"])]
+    n = spark.createDataFrame([("v10",), ("v9",), ("v9.2",)], "s string")
+    assert [r[0] for r in n.orderBy(X.natural_key(F.col("s"))).collect()] == ["v9", "v9.2", "v10"]
+
+
+def test_embed_checks_the_model(spark):
+    t = spark.createDataFrame([(i, f"teks {i}") for i in range(70)], "k int, text string")
+    model = lambda texts: [[float(len(x))] for x in texts]
+    done = R.embed(t, "k", "text", model)
+    assert done.count() == 70 and R.embed(t, "k", "text", model, done.where("k < 60")).count() == 10
+    with pytest.raises(Exception, match="vectors for"):
+        R.embed(t, "k", "text", lambda texts: model(texts)[1:]).collect()
+
+
 def test_jaccard_empty_value(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(T.jaccard(F.col("a"), F.col("b"), 0.0)).collect()] == [1 / 3, 0.0]

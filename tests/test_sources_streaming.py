@@ -59,6 +59,17 @@ def test_json(spark, tmp_path):
         R.require_rows(b.limit(0), "bundle")
 
 
+def test_dumps_and_mapped_rows(spark, tmp_path):
+    paths = [write(tmp_path / f"p/{k}.json", str(k)) for k in (3, 1, 2)]
+    assert [r.value for r in R.combined_dump(spark, paths).orderBy("pos").collect()] == ["3", "1", "2"]
+    f = R.freshness(spark, str(tmp_path / "p")).first()
+    assert f.files == 3 and f.newest is not None
+    out = R.mapped(spark.range(20), lambda r: {"id": r["id"], "double": r["id"] * 2}, "id bigint, double bigint", 3)
+    assert {r.id: r.double for r in out.collect()} == {i: 2 * i for i in range(20)} and out.rdd.getNumPartitions() == 3
+    u = spark.createDataFrame([("a/b/c-12.md",), ("a",)], "u string").select(R.path_key(F.col("u"), 0, 1), R.path_number(F.col("u"))).collect()
+    assert [tuple(r) for r in u] == [("a/b", 12), ("", 0)]
+
+
 def test_markdown(spark, tmp_path):
     write(tmp_path / "m/a.md", '---\nid: "x-1"\ntitle: T\nrights:\n  usage: private\n  by: z\n---\n# H\n## Satu\nisi\n\n## Dua\n1. a\n   lanjut\n2. b\n')
     m = R.markdown(spark, str(tmp_path / "m"))
