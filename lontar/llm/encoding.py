@@ -312,8 +312,10 @@ def _restorer(tables, margin):
 def damaged(values: DataFrame, text: str, corpus: DataFrame | None = None) -> DataFrame:
     """The damaged rows of values: its other columns, restored, chains (as accepted, in order) and complete.
 
-    The model is trained on the same column of corpus, if that is given, else on values.
+    The model is trained on the same column of corpus, if that is given, else on values. A column of values that bears
+    the name of one of these results is left out.
     """
+    values = values.drop(*({"restored", "chains", "complete"} - {text}))
     tables, margin = train(values if corpus is None else corpus, text)
     keys = [c for c in values.columns if c != text]
     sent = values.sparkSession.sparkContext.broadcast(tables)

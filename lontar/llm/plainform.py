@@ -118,7 +118,7 @@ ship(__name__)
 
 
 def plain_forms(values: DataFrame, text: str, only_changed: bool = False) -> DataFrame:
-    """values + form. With only_changed, the rows whose text is not in plain form (nulls are in none)."""
-    keys = [c for c in values.columns if c != text]
+    """values + form. With only_changed, the rows whose text is not in plain form (nulls are in none). A column `form` of values is left out."""
+    keys = [c for c in values.columns if c not in (text, "form")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.select(*keys, text).schema)
     return values.select(*keys, text).mapInArrow(_former(only_changed), f"{fields}, form string")

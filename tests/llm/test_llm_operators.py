@@ -104,7 +104,7 @@ def test_short_scores_agree(trained):
 
 def test_damaged_rows_and_edges(spark):
     rows = [(i, t, "x") for i, t in enumerate(clean_corpus())] + [(900, "chÃ¢teau di pasar", "x"), (900, "chÃ¢teau di pasar", "x"), (901, "ma�n", "x"), (902, None, "x"), (903, "", None), (904, "a" * 50_000, "x")]
-    df = spark.createDataFrame(rows, "row_id bigint, val string, restored_by string")
+    df = spark.createDataFrame(rows, "row_id bigint, val string, restored string")
     got = {(r.row_id, r.restored, r.complete) for r in encoding.damaged(df, "val").collect()}
     assert got == {(900, "château di pasar", True), (901, "ma�n", False)}
     assert encoding.damaged(df.limit(0), "val").count() == 0
