@@ -31,12 +31,11 @@ def enum_place(c: Column, order: list[str]) -> Column:
 
 def centred(df: DataFrame, xs: list[str], radius: float) -> DataFrame:
     """Coordinates moved to their mean and scaled so that the farthest lies at the radius, rounded."""
-    mean = df.agg(*[F.avg(x).alias(f"_m{x}") for x in xs])
-    d = df.join(F.broadcast(mean))
-    length = F.sqrt(sum((F.col(x) - F.col(f"_m{x}")) * (F.col(x) - F.col(f"_m{x}")) for x in xs))
-    far = d.agg(F.max(length).alias("_far"))
-    scale = F.when(F.col("_far") > 0, radius / F.col("_far")).otherwise(0.0)
-    return d.join(F.broadcast(far)).select(*[c for c in df.columns if c not in xs], *[F.round((F.col(x) - F.col(f"_m{x}")) * scale).cast("bigint").alias(x) for x in xs])
+    mean = df.agg(*[F.avg(x) for x in xs]).first()
+    moved = [F.col(x) - F.lit(m) for x, m in zip(xs, mean, strict=True)]
+    far = df.agg(F.max(F.sqrt(sum(x * x for x in moved)))).first()[0]
+    scale = radius / far if far else 0.0
+    return df.select(*[c for c in df.columns if c not in xs], *[F.round(m * F.lit(scale)).cast("bigint").alias(x) for x, m in zip(xs, moved, strict=True)])
 
 
 def by_ordinal(lists: DataFrame, key: str, items: str, ordinals: DataFrame) -> DataFrame:

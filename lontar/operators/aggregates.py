@@ -28,10 +28,11 @@ def nearest_rank(df: DataFrame, keys: list[str], x: str, percents: list[int], ac
     margin = 10 / accuracy
     marks = [max(0.0, min(1.0, q / 100 + s * margin)) for q in percents for s in (-1, 1)]
     sketch = v.groupBy(*keys).agg(F.percentile_approx("_x", marks, accuracy).alias("_s"), F.count("*").alias("n")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_s", "n")
-    same = F.lit(True)
+    sketch, v = sketch.withColumn("_one", F.lit(1)), v.withColumn("_any", F.lit(1))
+    same = F.col("_any") == F.col("_one")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    j = v.join(F.broadcast(sketch) if not keys else sketch, same)
+    j = v.join(sketch, same)
     inside = j.select(*keys, "_x", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), F.col("_s")[2 * i].alias("lo"), F.col("_s")[2 * i + 1].alias("hi")) for i, q in enumerate(percents)])).alias("m"))
     below = F.col("_x") < F.col("m.lo")
     g = inside.where(F.col("_x") <= F.col("m.hi")).groupBy(*keys, "m.i", "m.q", "n", F.when(~below, F.col("_x")).alias("_x")).agg(F.count("*").alias("_c"))

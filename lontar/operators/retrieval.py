@@ -12,17 +12,31 @@ from lontar.operators.windows import top_n
 from lontar.util import ship
 
 
+def phrase_matches(texts: DataFrame, key: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """(key, *phrases): texts(key, text) with each phrase they have, its last word with one suffix or none.
+
+    Text and phrase meet by the phrase's first word, which in a phrase of one word may have lost a suffix, so no text
+    is compared with all phrases.
+    """
+    first = F.split_part(F.col(phrase), F.lit(" "), F.lit(1))
+    bare = lambda w: F.array_compact(F.array(w, *[F.when(w.endswith(s), F.substr(w, F.lit(1), F.length(w) - len(s))) for s in T.AFFIX_SUFFIXES]))
+    t = texts.select(key, T.norm(F.col("text")).alias("_n"))
+    words = t.select(key, F.explode(F.array_distinct(F.flatten(F.transform(T.parts(F.col("_n")), bare)))).alias("_w"))
+    p = phrases.withColumn("_f", first)
+    near = words.join(p, words["_w"] == p["_f"]).drop("_w", "_f").distinct()
+    return near.join(t, key).where(T.phrase_hit(F.concat(F.lit(" "), "_n", F.lit(" ")), F.col(phrase))).drop("_n")
+
+
 def lexicon_hits(questions: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(q_id, theme, terms): the terms of each theme that a question has, as a word or, of several words, as a phrase.
 
-    questions(q_id, text), lexicon(theme, term). Single words are an equi-join on the question's words; only phrases,
-    a small broadcast part of the lexicon, are matched as patterns.
+    questions(q_id, text), lexicon(theme, term). Single words are an equi-join on the question's words; phrases are
+    matched as patterns where their first word occurs.
     """
     q = questions.select("q_id", T.norm(F.col("text")).alias("_n"))
     words = q.select("q_id", F.explode(F.array_distinct(T.parts(F.col("_n"), "[ -]"))).alias("term"))
     single = words.join(lexicon.where(~F.contains("term", F.lit(" "))), "term").select("q_id", "theme", "term")
-    phrases = lexicon.where(F.contains("term", F.lit(" ")))
-    held = q.join(F.broadcast(phrases), T.phrase_hit(F.concat(F.lit(" "), F.col("_n"), F.lit(" ")), F.col("term"))).select("q_id", "theme", "term")
+    held = phrase_matches(questions.select("q_id", "text"), "q_id", lexicon.where(F.contains("term", F.lit(" "))), "term").select("q_id", "theme", "term")
     return single.unionByName(held).distinct().groupBy("q_id", "theme").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
@@ -63,7 +77,7 @@ def inverted_index(entries: DataFrame, least: int, stop: list[str], broad_above:
     """
     w = entries.select("slug", F.explode(T.word_set(F.col("text"))).alias("word"))
     own = entries.select(F.explode(F.split("slug", "-")).alias("word")).distinct()
-    w = w.where((F.length("word") >= 4) & ~F.col("word").isin(*stop)).join(F.broadcast(own), "word", "left_anti")
+    w = w.where((F.length("word") >= 4) & ~F.col("word").isin(*stop)).join(own, "word", "left_anti")
     g = w.groupBy("word", "slug").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     i = g.groupBy("word").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "slug"))).alias("l"))
     return i.select("word", F.when(F.size("l") > broad_above, "broad").otherwise("narrow").alias("tier"), F.col("l.slug").alias("slugs"), F.size("l").alias("n_slugs"))
@@ -81,8 +95,7 @@ def route(questions: DataFrame, index: DataFrame) -> DataFrame:
 
 def pinned(questions: DataFrame, pins: DataFrame, known: DataFrame) -> DataFrame:
     """(q_id, ref, ord): references pinned to a trigger phrase of the question, in order; unknown ones are dropped. pins(phrase, ord, ref), known(ref)."""
-    padded = F.concat(F.lit(" "), T.norm(F.col("text")), F.lit(" "))
-    return questions.select("q_id", "text").join(F.broadcast(pins), T.phrase_hit(padded, F.col("phrase"))).select("q_id", "ref", "ord").join(known.select("ref").distinct(), "ref", "left_semi").distinct()
+    return phrase_matches(questions.select("q_id", "text"), "q_id", pins, "phrase").select("q_id", "ref", "ord").join(known.select("ref").distinct(), "ref", "left_semi").distinct()
 
 
 def rank_entries(questions: DataFrame, entries: DataFrame, routes: DataFrame, k: int) -> DataFrame:
@@ -111,8 +124,10 @@ def dense(top: DataFrame, records: DataFrame, rerank: Callable[[DataFrame], Data
 
 def cue_router(texts: DataFrame, key: str, text: str, cues: DataFrame) -> DataFrame:
     """(key, area, n): the area with most different cues in the text, then the earliest one; null on a perfect tie. cues(area, cue)."""
-    padded = F.concat(F.lit(" "), T.norm(F.col(text)), F.lit(" "))
-    hit = texts.select(key, padded.alias("_t")).join(F.broadcast(cues), F.expr("contains(_t, concat(' ', cue, ' '))"))
+    t = texts.select(key, F.concat(F.lit(" "), T.norm(F.col(text)), F.lit(" ")).alias("_t"))
+    c = cues.distinct().withColumn("_w", F.split_part("cue", F.lit(" "), F.lit(1)))
+    near = t.select(key, F.explode(F.array_distinct(T.parts(F.col("_t")))).alias("_w")).join(c, "_w").select(key, "area", "cue")
+    hit = near.join(t, key).where(F.expr("contains(_t, concat(' ', cue, ' '))"))
     g = hit.groupBy(key, "area").agg(F.count("*").alias("n"), F.min(F.expr("instr(_t, concat(' ', cue, ' '))")).alias("_p"))
     best = g.groupBy(key).agg(F.max(F.struct("n", -F.col("_p"))).alias("_m"))
     tied = g.join(best, key).where(F.struct("n", -F.col("_p")) == F.col("_m")).groupBy(key).agg(F.count("*").alias("_k"), F.max("area").alias("area"), F.max("n").alias("n"))

@@ -38,8 +38,8 @@ def card_filter(spark: SparkSession, d: str) -> DataFrame:
     """Categories whose name holds a needle, and whether it is the only one."""
     c = table(spark, d, "peta_shards").select("slug", "category").distinct()
     hit = c.where(F.contains(F.lower("category"), F.lit("dan"))).select("slug")
-    n = hit.agg(F.count("*").alias("n"))
-    return hit.join(F.broadcast(n)).select("slug", "n", (F.col("n") == 1).alias("sole"))
+    n = hit.count()
+    return hit.select("slug", F.lit(n).cast("bigint").alias("n"), F.lit(n == 1).alias("sole"))
 
 
 def natural_order(spark: SparkSession, d: str) -> DataFrame:

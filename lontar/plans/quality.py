@@ -12,7 +12,7 @@ from lontar.operators import graph as P
 from lontar.operators.nested import flat_tables
 from lontar.plans.nested import TREE_SQL
 from lontar.streaming import state as S
-from lontar.util import table
+from lontar.util import scalar, table
 
 
 def dq_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -59,9 +59,9 @@ def audited_constants(spark: SparkSession, d: str) -> DataFrame:
 def coverage_reported(spark: SparkSession, d: str) -> DataFrame:
     """Share of verses each translator covers; reported, and a failure only at zero."""
     t = table(spark, d, "translations").where("text IS NOT NULL").select("translator", "ayah_id").distinct()
-    total = table(spark, d, "translations").select(F.countDistinct("ayah_id").alias("total"))
-    g = t.groupBy("translator").agg(F.count("*").alias("covered")).join(F.broadcast(total))
-    return g.select(F.coalesce("translator", F.lit("none")).alias("translator"), "covered", A.percent(F.col("covered"), F.col("total")).alias("percent"), (F.col("covered") == 0).alias("failed"))
+    total = F.lit(scalar(table(spark, d, "translations").select(F.countDistinct("ayah_id"))))
+    g = t.groupBy("translator").agg(F.count("*").alias("covered"))
+    return g.select(F.coalesce("translator", F.lit("none")).alias("translator"), "covered", A.percent(F.col("covered"), total).alias("percent"), (F.col("covered") == 0).alias("failed"))
 
 
 def _citations(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +127,8 @@ def apply_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 def solar_times(spark: SparkSession, d: str) -> DataFrame:
     """Six times of a day for every 10th degree of latitude over four days of a year."""
-    g = spark.range(0, 13).select((F.col("id") * 10 - 60).cast("double").alias("lat")).crossJoin(spark.createDataFrame([("2024-01-05",), ("2024-03-20",), ("2024-06-21",), ("2024-12-01",)], "day string"))
+    days = F.array(*map(F.lit, ("2024-01-05", "2024-03-20", "2024-06-21", "2024-12-01")))
+    g = spark.range(0, 13).select((F.col("id") * 10 - 60).cast("double").alias("lat"), F.explode(days).alias("day"))
     g = g.withColumns({"date": F.to_date("day"), "lon": F.lit(106.8), "metres": F.lit(8.0), "offset": F.lit(420)})
     x = D.with_day_times(g, "date", "lat", "lon", "metres", "offset").unpivot(["lat", "day"], list(D.SLOTS), "name", "minute")
     return x.select("lat", "day", "name", F.round("minute", 3).alias("minute"))

@@ -10,7 +10,7 @@ from lontar.operators import aggregates as A
 from lontar.operators import joins as J
 from lontar.operators import windows as O
 from lontar.plans.nested import TREE_SQL
-from lontar.util import table
+from lontar.util import scalar, table
 
 
 def _translations(spark: SparkSession, d: str) -> DataFrame:
@@ -74,12 +74,12 @@ def best_tier(spark: SparkSession, d: str) -> DataFrame:
 
 def coverage_union(spark: SparkSession, d: str) -> DataFrame:
     """Per language the ayahs that have a translation, a chapter verse, or either, and the share of those declared."""
-    m = table(spark, d, "surah_meta").groupBy("n").agg(F.max("ayahs").alias("k")).agg(F.sum("k").alias("declared"))
+    declared = scalar(table(spark, d, "surah_meta").groupBy("n").agg(F.max("ayahs").alias("k")).agg(F.sum("k")))
     a = _translations(spark, d).select("lang", "ayah_id").distinct().withColumn("t", F.lit(1)).withColumn("s", F.lit(0))
     b = table(spark, d, "surah").select(F.lit("id").alias("lang"), F.concat_ws(":", F.lit("ayah"), "n", "a").alias("ayah_id")).distinct().withColumn("t", F.lit(0)).withColumn("s", F.lit(1))
     u = a.unionByName(b).groupBy("lang", "ayah_id").agg(F.max("t").alias("t"), F.max("s").alias("s"))
     g = u.groupBy("lang").agg(F.sum("t").alias("translated"), F.sum("s").alias("served"), F.sum(F.col("t") * F.col("s")).alias("both"), F.count("*").alias("covered"))
-    return g.join(F.broadcast(m)).select("lang", "translated", "served", "both", "covered", A.percent(F.col("covered"), F.col("declared")).alias("percent"))
+    return g.select("lang", "translated", "served", "both", "covered", A.percent(F.col("covered"), F.lit(declared)).alias("percent"))
 
 
 def arm_lift(spark: SparkSession, d: str) -> DataFrame:

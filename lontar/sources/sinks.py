@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from lontar.operators.aggregates import set_digest
 from lontar.sources.readers import SourceError
+from lontar.util import scalar
 
 
 def artifact(name: str, df: DataFrame) -> DataFrame:
     """(name, sha256, bytes, rows): digest of a table, whatever its row order and partitions; keys in column order, nulls included."""
     j = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
-    size = j.agg(F.coalesce(F.sum(F.octet_length("j")), F.lit(0)).alias("bytes"))
-    digest = set_digest(j.withColumn("one", F.lit(1)), ["one"], F.col("j"))
-    return size.join(digest, how="left").select(F.lit(name).alias("name"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("sha256"), "bytes", F.coalesce("n", F.lit(0)).alias("rows"))
+    size = F.lit(scalar(j.agg(F.coalesce(F.sum(F.octet_length("j")), F.lit(0)))))
+    digest = set_digest(j.withColumn("one", F.lit(1)), ["one"], F.col("j")).agg(F.max("digest").alias("digest"), F.max("n").alias("n"))
+    return digest.select(F.lit(name).alias("name"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("sha256"), size.alias("bytes"), F.coalesce("n", F.lit(0)).alias("rows"))
 
 
 def manifest(artifacts: DataFrame) -> DataFrame:

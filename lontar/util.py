@@ -33,6 +33,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lontar/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def scalar(df: DataFrame):
+    """The one value of a one-row aggregate."""
+    return df.first()[0]
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) == "", None).otherwise(c)
 
