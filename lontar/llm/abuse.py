@@ -29,14 +29,15 @@ from lontar.util import need, ship
 
 MAX_ABUSIVE, MAX_HARMLESS = 1500, 3000
 BUCKETS, DIM = 1 << 16, 12
-PASSAGE, STRIDE, SHORT = 12, 4, 4
+PASSAGE, STRIDE, SHORT = 10, 4, 6
 EPOCHS, HALF_EPOCHS, RATE, DECAY, SHRINK = 60, 35, 0.05, 1e-4, 0.02
 WARM, FULL_PASS, SETTLED = 15, 10, 0.02
 #: A label is left out if the held-out logit is this far on the other side of the threshold (half as far for a harmless one).
 DOUBT = 2.0
 MAX_WORDS_KEPT = 500_000
-#: Single letters strung out by one separator, letters repeated, and signs that stand for letters.
+#: Single letters strung out by one separator, marks and invisible characters, letters repeated, and signs that stand for letters.
 STRUNG = re.compile(r"(?<!\w)\w([ .*_-])\w(?:\1\w)+(?!\w)")
+MARKS = re.compile("[\u0300-\u036f\u0610-\u061a\u0640\u064b-\u065f\u0670\u200b-\u200f\u2060\ufeff\u00ad]+")
 REPEATED = re.compile(r"(\w)\1\1+")
 TOKEN = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*|[.!?؟\n]")
 LEET = str.maketrans("013457@$", "oieastas")
@@ -44,8 +45,8 @@ ENDS = frozenset(".!?؟\n")
 
 
 def tokens(text: str) -> list[str]:
-    """Words in lower case, and the signs that end sentences."""
-    return TOKEN.findall(STRUNG.sub(lambda m: m[0].replace(m[1], ""), text.lower()))
+    """Words in lower case, without combining marks, and the signs that end sentences."""
+    return TOKEN.findall(STRUNG.sub(lambda m: m[0].replace(m[1], ""), MARKS.sub("", text.lower())))
 
 
 def grams(word: str) -> list[int]:
