@@ -1,13 +1,13 @@
 """Scores for abusive, hateful or sexual language.
 
-A word is the mean of the vectors of its hashed character n-grams (subword bag), a passage the mean of its words (over SHORT at least), and
-a linear softmax over two classes scores it; vectors and softmax are trained jointly in numpy. Unseen misspellings
-share n-grams with the words they come from. Abuse is often one sentence of a long sober text, so the unit of scoring is
-the passage: up to PASSAGE words of a sentence; a document scores as its worst passage. Training knows labels of
-documents only: the passages of harmless documents are harmless, those of an abusive one share one label by weights
-that follow the model (multiple instances). Reviewers err: the model is first fitted on each half and documents whose
-label the other half's model contradicts strongly are left out of the final fit. The threshold is the one with the best
-F1 on those held-out scores.
+A word is the mean of the vectors of its hashed character n-grams (subword bag), a passage the mean of its words (over
+SHORT at least), and a linear softmax over two classes scores it; vectors and softmax are trained jointly in numpy.
+Unseen misspellings share n-grams with the words they come from. Abuse is often one sentence of a long sober text, so
+the unit of scoring is the passage: up to PASSAGE words of a sentence; a document scores as its worst passage. Training
+knows labels of documents only: the passages of harmless documents are harmless, those of an abusive one share one label
+by weights that follow the model (multiple instances). Reviewers err: the model is first fitted on parts of the labels,
+and documents whose label the model of the other parts contradicts strongly are left out of the final fit. The threshold
+is the one with the best F1 on those held-out scores.
 
 Fitting uses a sample of labelled documents bounded by MAX_ABUSIVE and MAX_HARMLESS, in order of a hash of their ids;
 scoring reads every document whole. Labels of several reviewers count by majority; ties and nulls are no label. Null
@@ -34,6 +34,8 @@ EPOCHS, HALF_EPOCHS, RATE, DECAY, SHRINK = 60, 35, 0.05, 1e-4, 0.02
 WARM, FULL_PASS, SETTLED = 15, 10, 0.02
 #: A label is left out if the held-out logit is this far on the other side of the threshold (half as far for a harmless one).
 DOUBT = 2.0
+#: Below so many labelled documents there are more parts than two for held-out scores.
+FEW, FEW_FOLDS = 1000, 5
 MAX_WORDS_KEPT = 500_000
 #: Single letters strung out by one separator, marks and invisible characters, letters repeated, and signs that stand for letters.
 STRUNG = re.compile(r"(?<!\w)\w([ .*_-])\w(?:\1\w)+(?!\w)")
@@ -206,18 +208,19 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(texts: list[str], labels: np.ndarray) -> Scorer:
-    """Twice two half fits with held-out scores, then the final fit without the labels these contradict."""
+    """Twice fits on parts of the labels with held-out scores, then the final fit without the labels these contradict."""
     if len(texts) == 0 or labels.min() == labels.max():
         return Scorer(np.zeros(BUCKETS, np.float32), float("-inf"), 0.5)
-    half = np.array([zlib.crc32(t.encode("utf-8", "replace")) % 2 for t in texts])
-    parts = [np.flatnonzero(half == h) for h in (0, 1)]
-    bags = [Bag([texts[i] for i in part]) for part in parts]
+    folds = FEW_FOLDS if len(texts) < FEW else 2
+    fold = np.array([zlib.crc32(t.encode("utf-8", "replace")) % folds for t in texts])
+    parts = [(np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in range(folds)]
+    bags = [(Bag([texts[i] for i in a]), Bag([texts[i] for i in b])) for a, b in parts if len(a) and len(b)]
+    parts = [(a, b) for a, b in parts if len(a) and len(b)]
 
     def held_out(weights: np.ndarray, epochs: int) -> np.ndarray:
         out = np.zeros(len(texts))
-        for h in (0, 1):
-            if len(parts[h]) and len(parts[1 - h]):
-                out[parts[h]] = AbuseModel().fit(bags[1 - h], labels[parts[1 - h]], weights[parts[1 - h]], epochs).document_scores(bags[h])
+        for (a, b), (rest, part) in zip(parts, bags, strict=True):
+            out[b] = AbuseModel().fit(rest, labels[a], weights[a], epochs).document_scores(part)
         return out
 
     weights = np.ones(len(texts))
