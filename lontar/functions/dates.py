@@ -30,7 +30,10 @@ def with_steps(df: DataFrame, **steps) -> DataFrame:
 
 
 def with_solar(df: DataFrame, day: str, offset: str) -> DataFrame:
-    """Adds declination (degrees) and equation (of time, minutes) at local noon, after the standard low-precision series."""
+    """Adds declination (degrees) and equation (of time, minutes) at local noon, after the standard low-precision series.
+
+    Fixed values: the coefficients of that series.
+    """
     kept = df.columns
     out = with_steps(
         df,

@@ -45,15 +45,18 @@ def score_rows(questions: DataFrame, hits: DataFrame, rows: DataFrame, row_theme
 
     questions(q_id, text, ref), rows(row_id, text, ref), row_themes(row_id, theme). An explicit reference scores 100,
     else the row's best theme of the question ten per term (never the sum over themes); each shared content word adds
-    two, but shared words alone never qualify a row, so words are compared for qualified pairs only.
+    two, but shared words alone never qualify a row, so words are compared for qualified pairs only. Of the rows' texts
+    no more than the words that some question asks for is shuffled.
     """
     by_ref = questions.where("ref IS NOT NULL").select("q_id", "ref").join(rows.select("row_id", "ref"), "ref").select("q_id", "row_id", F.lit(100).alias("base"), F.lit(None).cast("string").alias("theme"))
     best = hits.select("q_id", "theme", (F.size("terms") * 10).alias("base")).join(row_themes, "theme").groupBy("q_id", "row_id").agg(F.max(F.struct("base", F.col("theme"))).alias("m"))
     qualified = by_ref.unionByName(best.select("q_id", "row_id", "m.base", "m.theme")).groupBy("q_id", "row_id").agg(F.max("base").alias("base"), F.max("theme").alias("theme"))
     content = lambda c: F.filter(T.word_set(c), lambda w: (F.length(w) > 3) & ~w.isin(*stop))
     q = questions.select("q_id", content(F.col("text")).alias("_q"))
-    r = rows.select("row_id", content(F.col("text")).alias("_r"))
-    s = qualified.join(q, "q_id").join(r, "row_id").select("q_id", "row_id", (F.col("base") + 2 * F.size(F.array_intersect("_q", "_r"))).alias("score"), "theme")
+    asked = q.select(F.explode("_q").alias("w")).distinct()
+    r = rows.select("row_id", F.explode(content(F.col("text"))).alias("w")).join(asked, "w", "left_semi").groupBy("row_id").agg(F.collect_set("w").alias("_r"))
+    shared = F.coalesce(F.size(F.array_intersect("_q", "_r")), F.lit(0))
+    s = qualified.join(q, "q_id").join(r, "row_id", "left").select("q_id", "row_id", (F.col("base") + 2 * F.when(F.col("_r").isNull(), 0).otherwise(shared)).alias("score"), "theme")
     return top_n(s, ["q_id"], [F.col("score").desc(), F.col("row_id")], k)
 
 
