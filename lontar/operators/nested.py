@@ -21,6 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from lontar.util import need, ship
 
@@ -121,51 +122,74 @@ class TreeAutomaton:
         return ("raw" if subs else "childless"), subs
 
 
-def _parse(batches):
-    automaton = TreeAutomaton()
-    for batch in batches:
-        i = batch.schema.get_field_index("raw_json")
-        out = [automaton.shard(x) for x in batch.column(i).to_pylist()]
-        rest = [batch.column(k) for k in range(batch.num_columns) if k != i]
-        names = [n for k, n in enumerate(batch.schema.names) if k != i]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array([s for s, _ in out], pa.string()), pa.array([t for _, t in out], pa.list_(A_SUBTOPIC))], [*names, "variant", "tree"])
+def _parser(dropped: tuple[tuple[str, ...], ...]):
+    """Arrow batches with raw_json parsed; members of subtopics, entries and refs in `dropped` are left null."""
+
+    def run(batches):
+        automaton = TreeAutomaton()
+        for batch in batches:
+            i = batch.schema.get_field_index("raw_json")
+            out = [automaton.shard(x) for x in batch.column(i).to_pylist()]
+            for _, tree in out if any(dropped) else ():
+                for s in tree:
+                    s.update(dict.fromkeys(dropped[0]))
+                    for e in s["entries"]:
+                        e.update(dict.fromkeys(dropped[1]))
+                        for r in e["refs"]:
+                            r.update(dict.fromkeys(dropped[2]))
+            rest = [batch.column(k) for k in range(batch.num_columns) if k != i]
+            names = [n for k, n in enumerate(batch.schema.names) if k != i]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([s for s, _ in out], pa.string()), pa.array([t for _, t in out], pa.list_(A_SUBTOPIC))], [*names, "variant", "tree"])
+
+    return run
 
 
 ship(__name__)
 
 
-def _typed_tree(c: Column) -> Column:
+def _dropped(kind: ArrayType) -> tuple[tuple[str, ...], ...]:
+    """Members of subtopics, entries and refs that the type of the typed column lacks."""
+    s = kind.elementType
+    e = s["entries"].dataType.elementType
+    r = e["refs"].dataType.elementType
+    gone = lambda t, names: tuple(n for n in names if n not in t.fieldNames())
+    return gone(s, ("subtopic",)), gone(e, ("text", "ref")), gone(r, ("surah", "ayah", "resolvable", "bridge")) + (("extra",) if "text" not in e.fieldNames() else ())
+
+
+def _typed_tree(c: Column, dropped: tuple[tuple[str, ...], ...]) -> Column:
+    def member(level: int, x: Column, name: str, kind: str = "string") -> Column:
+        return (F.lit(None).cast(kind) if name in dropped[level] else x[name]).alias(name)
+
     def ref(r: Column) -> Column:
-        return F.struct(
-            F.when(r.isNull(), "alien").when(r.surah.isNull() | r.ayah.isNull(), "partial").otherwise("plain").alias("variant"),
-            r.surah.alias("surah"), r.ayah.alias("ayah"), r.resolvable.alias("resolvable"), r.bridge.alias("bridge"), F.lit(None).cast("string").alias("extra"),
-        )
+        surah, ayah = member(2, r, "surah", "int"), member(2, r, "ayah", "int")
+        variant = F.when(r.isNull(), "alien").when(surah.isNull() | ayah.isNull(), "partial").otherwise("plain")
+        return F.struct(variant.alias("variant"), surah, ayah, member(2, r, "resolvable", "boolean"), member(2, r, "bridge", "array<string>"), F.lit(None).cast("string").alias("extra"))
 
     def entry(e: Column) -> Column:
-        empty = F.coalesce(F.size(e.refs), F.lit(0)) <= 0
-        return F.struct(
-            F.when(e.isNull(), "alien").when(empty, "childless").when(e.text.isNull() | e.ref.isNull(), "partial").otherwise("full").alias("variant"),
-            e.text.alias("text"), e.ref.alias("ref"), F.transform(e.refs, ref).alias("refs"),
-        )
+        empty, text, written = F.coalesce(F.size(e.refs), F.lit(0)) <= 0, member(1, e, "text"), member(1, e, "ref")
+        variant = F.when(e.isNull(), "alien").when(empty, "childless").when(text.isNull() | written.isNull(), "partial").otherwise("full")
+        return F.struct(variant.alias("variant"), text, written, F.transform(e.refs, ref).alias("refs"))
 
     def subtopic(s: Column) -> Column:
-        empty = F.coalesce(F.size(s.entries), F.lit(0)) <= 0
-        return F.struct(
-            F.when(s.isNull(), "alien").when(empty, "childless").when(s.subtopic.isNull(), "untitled").otherwise("full").alias("variant"),
-            s.subtopic.alias("subtopic"), F.transform(s.entries, entry).alias("entries"),
-        )
+        empty, title = F.coalesce(F.size(s.entries), F.lit(0)) <= 0, member(0, s, "subtopic")
+        variant = F.when(s.isNull(), "alien").when(empty, "childless").when(title.isNull(), "untitled").otherwise("full")
+        return F.struct(variant.alias("variant"), title, F.transform(s.entries, entry).alias("entries"))
 
     return F.transform(c, subtopic)
 
 
 def shard_trees(shards: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(shard_id, *keep, variant, tree): one row per shard, typed and raw ones in the same normalised form."""
+    """(shard_id, *keep, variant, tree): one row per shard, typed and raw ones in the same normalised form.
+
+    Members that the type of `subtopics` lacks (as the table was read with a narrower schema) are null in both.
+    """
+    dropped = _dropped(shards.schema["subtopics"].dataType)
     base = need(shards, ["shard_id", *keep, "subtopics", "raw_json"])
     is_raw = F.col("subtopics").isNull() & F.col("raw_json").isNotNull()
-    typed = base.where(~is_raw).select("shard_id", *keep, F.when(F.coalesce(F.size("subtopics"), F.lit(0)) > 0, "typed").otherwise("childless").alias("variant"), _typed_tree(F.col("subtopics")).alias("tree"))
+    typed = base.where(~is_raw).select("shard_id", *keep, F.when(F.coalesce(F.size("subtopics"), F.lit(0)) > 0, "typed").otherwise("childless").alias("variant"), _typed_tree(F.col("subtopics"), dropped).alias("tree"))
     raw = base.where(is_raw).select("shard_id", *keep, "raw_json")
     kept = raw.drop("raw_json").schema
-    parsed = raw.mapInArrow(_parse, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["variant string", f"tree {TREE}"]))
+    parsed = raw.mapInArrow(_parser(dropped), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["variant string", f"tree {TREE}"]))
     return typed.unionByName(parsed).dropDuplicates(["shard_id"])
 
 

@@ -9,8 +9,16 @@ from lontar.operators import nested, orphans
 from lontar.util import table
 
 
+#: The structure of the shards without their texts, so that the scan reads no more.
+NARROW = "shard_id BIGINT, slug STRING, published_at TIMESTAMP_NTZ, subtopics ARRAY<STRUCT<entries: ARRAY<STRUCT<refs: ARRAY<STRUCT<surah: INT, ayah: INT, bridge: ARRAY<STRING>>>>>>>, raw_json STRING"
+
+
+def narrow_shards(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.schema(NARROW).parquet(f"{d}/peta_shards.parquet")
+
+
 def shard_refs(spark: SparkSession, d: str) -> DataFrame:
-    t = nested.shard_trees(table(spark, d, "peta_shards"), ("published_at",))
+    t = nested.shard_trees(narrow_shards(spark, d), ("published_at",))
     t = t.select("shard_id", "published_at", F.posexplode("tree").alias("subtopic_no", "s"))
     t = t.select("shard_id", "published_at", "subtopic_no", F.posexplode("s.entries").alias("entry_no", "e"))
     t = t.select("shard_id", "published_at", "subtopic_no", "entry_no", F.posexplode("e.refs").alias("ref_no", "r"))
@@ -18,7 +26,7 @@ def shard_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.leaves(table(spark, d, "peta_shards"))
+    return nested.leaves(narrow_shards(spark, d))
 
 
 def p5_variants(spark: SparkSession, d: str) -> DataFrame:
