@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontar.llm import abuse, cooccur, encoding, leakage, packing, plainform, spans, splitting
+from lontar.plans.nested import narrow_shards
 from lontar.util import cut, table
 
 
@@ -53,11 +54,11 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return cooccur.frequent(cooccur.associations(cooccur.reference_baskets(table(spark, d, "peta_shards")))).select("a", "b")
+    return cooccur.frequent(cooccur.associations(cooccur.reference_baskets(narrow_shards(spark, d)))).select("a", "b")
 
 
 def p3_bonds(spark: SparkSession, d: str) -> DataFrame:
-    return cooccur.against_published(cooccur.associations(cooccur.reference_baskets(table(spark, d, "peta_shards"))), table(spark, d, "bonds"))
+    return cooccur.against_published(cooccur.associations(cooccur.reference_baskets(narrow_shards(spark, d))), table(spark, d, "bonds"))
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
