@@ -31,7 +31,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 GROUP_CONTAINERS = 1500
 FULL = 0.99
 ROUNDS = 2
-MAX_CHUNK = 100_000
 
 
 def _counter(vocabulary):

@@ -143,6 +143,9 @@ q AS (SELECT p.a, p.b, p.n_ab, ca.n AS n_a, cb.n AS n_b, (SELECT count(*) FROM b
 """
 
 SQL = {
+    "p1_classes": f"""WITH vals AS (SELECT DISTINCT 'surah' AS tab, verse_id AS row_id, 'ar' AS field, ar AS val FROM surah UNION ALL SELECT DISTINCT 'surah', verse_id, 'text', text FROM surah UNION ALL SELECT DISTINCT 'intro_sections', section_id, 'title', title FROM intro_sections),
+      batch AS MATERIALIZED (SELECT row_number() OVER () AS i, * FROM vals WHERE val IS NOT NULL), f AS ({plainform.form_sql("val", "batch")})
+      SELECT tab, field, form, count(DISTINCT val) AS spellings, count(*) AS n_rows FROM batch JOIN f USING (i) GROUP BY 1, 2, 3""",
     "p3_found": _BASKETS + "SELECT a, b FROM q WHERE n_ab >= 5 AND n_ab * n >= 4 * n_a * n_b",
     "p3_bonds": _BASKETS
     + """, k AS (SELECT least(a, b) AS a, greatest(a, b) AS b, arg_max(n, (release, n)) AS n_published FROM bonds WHERE a <> b GROUP BY 1, 2)
