@@ -275,9 +275,6 @@ def longest_run(a: list[str], b: list[str]) -> int:
     return best
 
 
-
-
-
 def without_formula(c: Column, formula: str, first: Column, exempt: Column) -> Column:
     """The text without a leading formula, on first rows outside exempt groups; one that does not begin with it, marks and letter variants aside, fails the job."""
     n = len(formula.split())

@@ -8,8 +8,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lontar.functions.text import longest_run  # noqa: F401  (re-exported for text evidence of edges)
-
 
 def bridges(citations: DataFrame, node: str, group: str) -> DataFrame:
     """(node, group, bridge): for each citation the other groups that cite the same node, sorted."""
