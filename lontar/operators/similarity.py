@@ -29,18 +29,21 @@ def longest_runs(queries: DataFrame, q_key: str, texts: DataFrame, t_key: str, w
     return runs.groupBy(q_key, t_key).agg(F.max("run").alias("run"))
 
 
-def rare_stem_hits(queries: DataFrame, q_key: str, texts: DataFrame, t_key: str, max_df: int, least: int) -> DataFrame:
+def rare_stem_hits(queries: DataFrame, q_key: str, texts: DataFrame, t_key: str, max_df: tuple[int, int], least: int) -> DataFrame:
     """(q_key, t_key, hit, rare, cover): texts that share at least `least` rare stems with a query.
 
-    rare: stems of the query that occur in 1 to max_df texts; hit: those the text has; cover: their share.
+    rare: stems of the query that occur in at least one text and at most max_df, (n, per): n of every `per` texts, of
+    as many as there are; hit: those the text has; cover: their share.
     """
     t = texts.select(t_key, F.explode(F.array_distinct(T.stems_of(F.col("text")))).alias("stem"))
     q = queries.select(q_key, F.explode(F.array_distinct(T.stems_of(F.col("text")))).alias("stem"))
-    rare = t.groupBy("stem").agg(F.count("*").alias("df")).where(F.col("df") <= max_df).select("stem")
+    n, per = max_df
+    size = texts.agg(F.count("*").alias("_all"))
+    rare = t.groupBy("stem").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).where(F.col("df") * per <= F.col("_all") * n).select("stem")
     q = q.join(rare, "stem", "left_semi")
-    n = q.groupBy(q_key).agg(F.count("*").alias("rare"))
+    own = q.groupBy(q_key).agg(F.count("*").alias("rare"))
     h = t.join(q, "stem").groupBy(q_key, t_key).agg(F.count("*").alias("hit")).where(F.col("hit") >= least)
-    return h.join(n, q_key).select(q_key, t_key, "hit", "rare", (F.col("hit") / F.col("rare")).alias("cover"))
+    return h.join(own, q_key).select(q_key, t_key, "hit", "rare", (F.col("hit") / F.col("rare")).alias("cover"))
 
 
 def overlap_share(quoted: Column, real: Column, at_least: float = 0.6, min_words: int = 6) -> Column:
