@@ -63,11 +63,15 @@ def score_rows(questions: DataFrame, hits: DataFrame, rows: DataFrame, row_theme
 def rare_word_top(questions: DataFrame, rows: DataFrame, max_sources: int, k: int) -> DataFrame:
     """(q_id, row_id, score, rank): rows by how many of the question's words they hold that occur in few sources.
 
-    rows(row_id, source, text). Words in more than max_sources sources are dropped before the join.
+    rows(row_id, source, text). Words in more than max_sources sources are a second, broad tier, which scores the
+    questions that have no rare word.
     """
     w = rows.select("row_id", "source", F.explode(T.word_set(F.col("text"))).alias("word"))
-    rare = w.groupBy("word").agg(F.countDistinct("source").alias("_s")).where(F.col("_s") <= max_sources).select("word")
-    asked = questions.select("q_id", F.explode(T.word_set(F.col("text"))).alias("word")).join(rare, "word", "left_semi")
+    asked = questions.select("q_id", F.explode(T.word_set(F.col("text"))).alias("word"))
+    held = w.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.countDistinct("source").alias("_s"))
+    asked = asked.join(held.select("word", (F.col("_s") > max_sources).alias("_broad")), "word")
+    tier = asked.groupBy("q_id").agg(F.min("_broad").alias("_broad"))
+    asked = asked.join(tier, ["q_id", "_broad"]).select("q_id", "word")
     s = w.select("row_id", "word").join(asked, "word").groupBy("q_id", "row_id").agg(F.count("*").alias("score"))
     return top_n(s, ["q_id"], [F.col("score").desc(), F.col("row_id")], k)
 

@@ -43,7 +43,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_top2(spark: SparkSession, d: str) -> DataFrame:
-    """The two documents that hold most of a question's words that are rare across sources, per question."""
+    """The two documents that hold most of a question's words that are rare across sources, or of all its words if none is rare, per question."""
     t = R.rare_word_top(_questions(spark, d), _documents(spark, d), 3, 2)
     return t.select("q_id", F.col("row_id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 

@@ -20,3 +20,9 @@ def test_rare_is_a_share_of_the_texts(spark, tmp_path):
     texts = ["kolam teratai biru"] * 10 + ["lebar tanaman merah"] * 13 + ["lain"] * 977
     got = run(spark, tmp_path, "echo_rare_terms", documents=(docs(*texts), DOCS), eval_items=([(1, "kolam teratai biru", None), (2, "lebar tanaman merah", None)], ITEMS))
     assert sorted((r.item_id, r.doc_id, r.hit, r.rare) for r in got) == [(1, i, 3, 3) for i in range(10)]
+
+
+def test_questions_without_rare_words_keep_their_top_two(spark, tmp_path):
+    rows = [(i, f"s{i % 5}", "k", t, None, 1) for i, t in enumerate(["air"] * 5 + ["air laut"] * 5 + ["air laut emas"])]
+    got = run(spark, tmp_path, "lexical_top2", documents=(rows, DOCS), eval_items=([(1, "air laut", None), (2, "laut emas", None), (3, "tiada", None)], ITEMS))
+    assert sorted((r.q_id, r.rank, r.doc_id, r.score) for r in got) == [(1, 1, 5, 2), (1, 2, 6, 2), (2, 1, 10, 1)]
