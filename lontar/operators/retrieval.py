@@ -76,7 +76,7 @@ def rare_word_top(questions: DataFrame, rows: DataFrame, max_sources: int, k: in
     return top_n(s, ["q_id"], [F.col("score").desc(), F.col("row_id")], k)
 
 
-def inverted_index(entries: DataFrame, least: int, stop: list[str], broad_above: int = 3) -> DataFrame:
+def inverted_index(entries: DataFrame, stop: list[str], broad_above: int = 3) -> DataFrame:
     """(word, tier, slugs, n_slugs): categories of each word by presence (once per entry) descending, then slug.
 
     entries(entry_id, slug, text). Words in more than broad_above categories form the second, broad tier; words under
@@ -85,7 +85,7 @@ def inverted_index(entries: DataFrame, least: int, stop: list[str], broad_above:
     w = entries.select("slug", F.explode(T.word_set(F.col("text"))).alias("word"))
     own = entries.select(F.explode(F.split("slug", "-")).alias("word")).distinct()
     w = w.where((F.length("word") >= 4) & ~F.col("word").isin(*stop)).join(own, "word", "left_anti")
-    g = w.groupBy("word", "slug").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    g = w.groupBy("word", "slug").agg(F.count("*").alias("n"))
     i = g.groupBy("word").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "slug"))).alias("l"))
     return i.select("word", F.when(F.size("l") > broad_above, "broad").otherwise("narrow").alias("tier"), F.col("l.slug").alias("slugs"), F.size("l").alias("n_slugs"))
 
@@ -96,7 +96,7 @@ def route(questions: DataFrame, index: DataFrame) -> DataFrame:
     narrow = F.max(F.when(F.col("tier") == "narrow", 1).otherwise(0))
     has = w.groupBy("q_id").agg(narrow.alias("_h"))
     w = w.join(has, "q_id").where((F.col("_h") == 0) | (F.col("tier") == "narrow"))
-    v = w.select("q_id", F.explode(F.slice("slugs", 1, 12)).alias("slug")).groupBy("q_id", "slug").agg(F.count("*").alias("votes"))
+    v = w.select("q_id", F.explode("slugs").alias("slug")).groupBy("q_id", "slug").agg(F.count("*").alias("votes"))
     return top_n(v, ["q_id"], [F.col("votes").desc(), F.col("slug")], 1).select("q_id", "slug", "votes")
 
 
@@ -108,10 +108,11 @@ def pinned(questions: DataFrame, pins: DataFrame, known: DataFrame) -> DataFrame
 def rank_entries(questions: DataFrame, entries: DataFrame, routes: DataFrame, k: int) -> DataFrame:
     """(q_id, entry_id, score, rank): entries by matched question words, those of the routed category first; each verse once.
 
-    entries(entry_id, slug, verse, text), routes(q_id, slug).
+    entries(entry_id, slug, verse, text), routes(q_id, slug). As in the reference, an entry without a first reference
+    (verse null) counts in the index but is not ranked.
     """
     q = questions.select("q_id", F.explode(T.word_set(F.col("text"))).alias("word")).where(F.length("word") >= 4)
-    e = entries.select("entry_id", "slug", "verse", F.explode(T.word_set(F.col("text"))).alias("word"))
+    e = entries.where("verse IS NOT NULL").select("entry_id", "slug", "verse", F.explode(T.word_set(F.col("text"))).alias("word"))
     s = e.join(q, "word").groupBy("q_id", "entry_id", "slug", "verse").agg(F.count("*").alias("score"))
     s = s.join(routes.select("q_id", F.col("slug").alias("_own")), "q_id").withColumn("borrowed", F.when(F.col("slug") == F.col("_own"), 0).otherwise(1)).drop("_own")
     order = lambda: [F.col("score").desc(), F.col("borrowed"), F.col("entry_id")]

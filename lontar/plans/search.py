@@ -65,22 +65,22 @@ def lexicon_scores(spark: SparkSession, d: str) -> DataFrame:
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     t = flat_tables(table(spark, d, "peta_shards"), ("slug",))
     first = t["refs"].where("ref_no = 0").select("shard_id", "subtopic_no", "entry_no", F.concat_ws(":", "surah", "ayah").alias("verse"))
-    e = t["entries"].where("text IS NOT NULL").join(t["shards"].select("shard_id", "slug"), "shard_id").join(first, ["shard_id", "subtopic_no", "entry_no"])
+    e = t["entries"].where("text IS NOT NULL").join(t["shards"].select("shard_id", "slug"), "shard_id").join(first, ["shard_id", "subtopic_no", "entry_no"], "left")
     return e.select((F.col("shard_id") * 1_000_000 + F.col("subtopic_no") * 1000 + F.col("entry_no")).alias("entry_id"), "slug", "verse", "text")
 
 
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    i = R.inverted_index(_entries(spark, d), 2, T.STOP_WORDS)
-    return i.select("word", "tier", F.array_join(F.slice("slugs", 1, 12), ",").alias("slugs"), "n_slugs")
+    i = R.inverted_index(_entries(spark, d), T.STOP_WORDS)
+    return i.select("word", "tier", F.array_join("slugs", ",").alias("slugs"), "n_slugs")
 
 
 def two_tier_route(spark: SparkSession, d: str) -> DataFrame:
-    return R.route(_questions(spark, d), R.inverted_index(_entries(spark, d), 2, T.STOP_WORDS))
+    return R.route(_questions(spark, d), R.inverted_index(_entries(spark, d), T.STOP_WORDS))
 
 
 def entry_ranking(spark: SparkSession, d: str) -> DataFrame:
     e = _entries(spark, d)
-    routes = R.route(_questions(spark, d), R.inverted_index(e, 2, T.STOP_WORDS))
+    routes = R.route(_questions(spark, d), R.inverted_index(e, T.STOP_WORDS))
     r = R.rank_entries(_questions(spark, d), e, routes, 8)
     return r.select("q_id", "entry_id", "score", F.col("rank").cast("bigint").alias("rank"))
 

@@ -1,6 +1,7 @@
 """Queries on small inputs whose answer a cut would lose."""
 
 import __spark_entry__ as entry
+from lontar.operators import retrieval as R
 
 DOCS = "doc_id bigint, source string, kind string, text string, ref string, n_chars bigint"
 ITEMS = "item_id bigint, text string, ref string"
@@ -26,3 +27,25 @@ def test_questions_without_rare_words_keep_their_top_two(spark, tmp_path):
     rows = [(i, f"s{i % 5}", "k", t, None, 1) for i, t in enumerate(["air"] * 5 + ["air laut"] * 5 + ["air laut emas"])]
     got = run(spark, tmp_path, "lexical_top2", documents=(rows, DOCS), eval_items=([(1, "air laut", None), (2, "laut emas", None), (3, "tiada", None)], ITEMS))
     assert sorted((r.q_id, r.rank, r.doc_id, r.score) for r in got) == [(1, 1, 5, 2), (1, 2, 6, 2), (2, 1, 10, 1)]
+
+
+ENTRIES = "entry_id bigint, slug string, verse string, text string"
+
+
+def test_index_and_route_use_every_category(spark):
+    e = [(i, f"c{i:02}", f"1:{i}", "samudra") for i in range(14)] + [(20 + i, f"c{i:02}", None, "pelangi") for i in (12, 13, 14, 15)] + [(30, "z", None, "jarang")]
+    entries = spark.createDataFrame(e, ENTRIES)
+    index = {r.word: r for r in R.inverted_index(entries, []).collect()}
+    assert index["samudra"].slugs == [f"c{i:02}" for i in range(14)] and index["jarang"].slugs == ["z"]
+    q = spark.createDataFrame([(1, "samudra pelangi")], "q_id bigint, text string")
+    routes = R.route(q, R.inverted_index(entries, []))
+    assert [tuple(r) for r in routes.collect()] == [(1, "c12", 2)]
+    ranked = R.rank_entries(q, entries, routes, 3).orderBy("rank").collect()
+    assert [(r.entry_id, r.borrowed) for r in ranked] == [(12, 0), (0, 1), (1, 1)]
+
+
+def test_entries_without_references_reach_the_index(spark, tmp_path):
+    schema = spark.read.parquet("/root/testdata/sf0.001/peta_shards.parquet").schema
+    entries = [("samudra", None, []), ("pelangi", None, [(1, 2, True, [])])]
+    got = run(spark, tmp_path, "inverted_index", peta_shards=([(1, "a-b", "A", None, None, None, [("s", entries)], None)], schema))
+    assert sorted((r.word, r.tier, r.slugs, r.n_slugs) for r in got) == [("pelangi", "narrow", "a-b", 1), ("samudra", "narrow", "a-b", 1)]
