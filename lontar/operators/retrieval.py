@@ -91,13 +91,13 @@ def inverted_index(entries: DataFrame, stop: list[str], broad_above: int = 3) ->
 
 
 def route(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """(q_id, slug, votes): the category most words of a question point to; narrow words first, ties to the slug."""
-    w = questions.select("q_id", F.explode(T.word_set(F.col("text"))).alias("word")).join(index, "word")
-    narrow = F.max(F.when(F.col("tier") == "narrow", 1).otherwise(0))
-    has = w.groupBy("q_id").agg(narrow.alias("_h"))
-    w = w.join(has, "q_id").where((F.col("_h") == 0) | (F.col("tier") == "narrow"))
-    v = w.select("q_id", F.explode("slugs").alias("slug")).groupBy("q_id", "slug").agg(F.count("*").alias("votes"))
-    return top_n(v, ["q_id"], [F.col("votes").desc(), F.col("slug")], 1).select("q_id", "slug", "votes")
+    """(q_id, slug, votes): the category most words of a question point to; ties to the earlier word, then to its stronger category.
+
+    The tier of a word is its own: a broad word votes beside narrow ones.
+    """
+    w = questions.select("q_id", F.posexplode(T.word_set(F.col("text"))).alias("_i", "word")).join(index, "word")
+    v = w.select("q_id", "_i", F.posexplode("slugs").alias("_j", "slug")).groupBy("q_id", "slug").agg(F.count("*").alias("votes"), F.min(F.struct("_i", "_j")).alias("_first"))
+    return top_n(v, ["q_id"], [F.col("votes").desc(), F.col("_first")], 1).select("q_id", "slug", "votes")
 
 
 def pinned(questions: DataFrame, pins: DataFrame, known: DataFrame) -> DataFrame:

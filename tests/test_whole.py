@@ -49,3 +49,10 @@ def test_entries_without_references_reach_the_index(spark, tmp_path):
     entries = [("samudra", None, []), ("pelangi", None, [(1, 2, True, [])])]
     got = run(spark, tmp_path, "inverted_index", peta_shards=([(1, "a-b", "A", None, None, None, [("s", entries)], None)], schema))
     assert sorted((r.word, r.tier, r.slugs, r.n_slugs) for r in got) == [("pelangi", "narrow", "a-b", 1), ("samudra", "narrow", "a-b", 1)]
+
+
+def test_broad_words_vote_beside_narrow_ones(spark):
+    e = [(1, "a", "1:1", "pelangi")] + [(10 + i, s, f"2:{i}", "samudra gunung") for i, s in enumerate("bcde")]
+    index = R.inverted_index(spark.createDataFrame(e, ENTRIES), [])
+    q = spark.createDataFrame([(1, "pelangi samudra gunung"), (2, "samudra pelangi"), (3, "pelangi samudra")], "q_id bigint, text string")
+    assert sorted(tuple(r) for r in R.route(q, index).collect()) == [(1, "b", 2), (2, "b", 1), (3, "a", 1)]
