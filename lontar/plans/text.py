@@ -69,7 +69,7 @@ def ref_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marker_codec(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").select("doc_id", F.concat(F.left("text", F.lit(40)), F.lit(" "), T.marker(F.regexp_replace("source", "[^a-z0-9-]", "-"), F.col("doc_id")), F.lit(" "), T.marker(F.lit("a"), F.lit(7))).alias("t"))
+    c = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), T.marker(F.regexp_replace("source", "[^a-z0-9-]", "-"), F.col("doc_id")), F.lit(" "), T.marker(F.lit("a"), F.lit(7))).alias("t"))
     return c.select("doc_id", F.array_join(T.markers(F.col("t")), " ").alias("ids"), F.length(T.without_markers(F.col("t"))).alias("rest"))
 
 
@@ -109,7 +109,7 @@ def name_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variant_pick(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.variant_index(F.left("text", F.lit(80)), 7).alias("variant"))
+    return table(spark, d, "documents").select("doc_id", T.variant_index(F.col("text"), 7).alias("variant"))
 
 
 def time_labels(spark: SparkSession, d: str) -> DataFrame:

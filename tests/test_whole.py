@@ -56,3 +56,23 @@ def test_broad_words_vote_beside_narrow_ones(spark):
     index = R.inverted_index(spark.createDataFrame(e, ENTRIES), [])
     q = spark.createDataFrame([(1, "pelangi samudra gunung"), (2, "samudra pelangi"), (3, "pelangi samudra")], "q_id bigint, text string")
     assert sorted(tuple(r) for r in R.route(q, index).collect()) == [(1, "b", 2), (2, "b", 1), (3, "a", 1)]
+
+
+def js_variant(text, n):
+    h = 0
+    units = text.encode("utf-16-le")
+    for i in range(0, len(units), 2):
+        h = (h * 31 + int.from_bytes(units[i : i + 2], "little")) & 0xFFFFFFFF
+    return abs(h - (1 << 32) if h >> 31 else h) % n
+
+
+def test_variant_of_the_whole_text(spark, tmp_path):
+    texts = ["", "halo", "é" * 90, "sama " * 40 + "a", "sama " * 40 + "b", "\n" + "x" * 5000]
+    got = {r.doc_id: r.variant for r in run(spark, tmp_path, "variant_pick", documents=(docs(*texts), DOCS))}
+    assert got == {i: js_variant(t, 7) for i, t in enumerate(texts)}
+
+
+def test_markers_anywhere_in_the_text(spark, tmp_path):
+    text = "kata " * 30 + "[H:b:12] akhir"
+    (r,) = run(spark, tmp_path, "marker_codec", documents=(docs(text), DOCS))
+    assert r.ids == "b/12 s/0 a/7" and r.rest == len("kata " * 30 + "akhir")
