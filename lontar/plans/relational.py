@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
@@ -189,8 +190,10 @@ def group_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def greedy_diversify(spark: SparkSession, d: str) -> DataFrame:
     """Per kind up to four documents, longest first, each for a theme (a word of its source) not taken yet."""
-    t = table(spark, d, "documents").where("kind IS NOT NULL").select("kind", "doc_id", "n_chars", F.split("source", "-").alias("themes"))
-    t = O.top_n(t, ["kind"], [F.col("n_chars").desc(), F.col("doc_id")], 200)
+    order = lambda: [F.col("n_chars").desc(), F.col("doc_id")]
+    t = table(spark, d, "documents").where("kind IS NOT NULL").select("kind", "doc_id", "n_chars", "source")
+    # Of one theme list the walk admits a first part of its rows, four at most: those after it claim nothing.
+    t = O.top_n(t, ["kind", "source"], order(), 4).select("kind", "doc_id", F.split("source", "-").alias("themes"), F.row_number().over(W.partitionBy("kind").orderBy(*order())).alias("rank"))
     g = t.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").alias("id"), "themes"))).alias("l"))
     return g.select("kind", F.posexplode(O.diversify(F.col("l"), 4)).alias("place", "x")).select("kind", F.col("place").cast("bigint").alias("place"), F.col("x.id").alias("doc_id"), "x.theme")
 

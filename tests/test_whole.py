@@ -76,3 +76,9 @@ def test_markers_anywhere_in_the_text(spark, tmp_path):
     text = "kata " * 30 + "[H:b:12] akhir"
     (r,) = run(spark, tmp_path, "marker_codec", documents=(docs(text), DOCS))
     assert r.ids == "b/12 s/0 a/7" and r.rest == len("kata " * 30 + "akhir")
+
+
+def test_diversify_walks_the_whole_ranking(spark, tmp_path):
+    rows = [(i, "x-y", "k", None, None, 1000) for i in range(300)] + [(300, "x-z", "k", None, None, 9), (301, "y", "k", None, None, 8), (302, "w", "k", None, None, 7)]
+    got = run(spark, tmp_path, "greedy_diversify", documents=(rows, DOCS))
+    assert sorted((r.place, r.doc_id, r.theme) for r in got) == [(0, 0, "x"), (1, 1, "y"), (2, 300, "z"), (3, 302, "w")]
