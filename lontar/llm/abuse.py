@@ -4,38 +4,46 @@ A word is the mean of the vectors of its hashed character n-grams (subword bag),
 SHORT at least), and a linear softmax over two classes scores it; vectors and softmax are trained jointly in numpy.
 Unseen misspellings share n-grams with the words they come from. Abuse is often one sentence of a long sober text, so
 the unit of scoring is the passage: up to PASSAGE words of a sentence; a document scores as its worst passage. Training
-knows labels of documents only: the passages of harmless documents are harmless, those of an abusive one share one label
-by weights that follow the model (multiple instances). Reviewers err: the model is first fitted on parts of the labels,
-and documents whose label the model of the other parts contradicts strongly are left out of the final fit. The threshold
-is the one with the best F1 on those held-out scores.
-
-Fitting uses a sample of labelled documents bounded by MAX_ABUSIVE and MAX_HARMLESS, in order of a hash of their ids;
-scoring reads every document whole. Labels of several reviewers count by majority; ties and nulls are no label. Null
-and empty texts score 0. Without labels of both classes every score is 0.
+knows labels of documents only, so each document spreads its weight over its passages by their present scores: the
+worst of an abusive document take its label, and the worst of a harmless one, where abuse is quoted or condemned, teach
+what such a passage looks like (multiple instances).
+
+Six models are fitted, each on two of four parts of the labels, as tasks side by side; the score is the mean of their
+logits. Reviewers err: two models of complementary halves are fitted first, and documents whose label the model that has
+not seen them contradicts strongly are left out. The threshold is set on the labels kept, each scored by the mean of the
+three models that have not seen it, for the best F-score with precision weighed double; the harmless labels count for
+all those that the sample stands for.
+
+Fitting uses a sample of labelled documents bounded by MAX_ABUSIVE, MAX_HARMLESS and MAX_BYTES, in order of a hash of
+their ids; scoring reads every document whole. Labels of several reviewers count by majority; ties and nulls are no
+label. Null and empty texts score 0. Without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.util import need, ship
+from lontar.util import cut, need, ship
 
-MAX_ABUSIVE, MAX_HARMLESS = 1500, 3000
+MAX_ABUSIVE, MAX_HARMLESS, MAX_BYTES = 1500, 6000, 32 << 20
 BUCKETS, DIM = 1 << 16, 12
 PASSAGE, STRIDE, SHORT = 10, 4, 6
-EPOCHS, HALF_EPOCHS, RATE, DECAY, SHRINK = 60, 35, 0.05, 1e-4, 0.02
+EPOCHS, FIRST_EPOCHS, RATE, DECAY, SHRINK = 60, 35, 0.05, 1e-4, 0.02
 WARM, FULL_PASS, SETTLED = 15, 10, 0.02
-#: A label is left out if the held-out logit is this far on the other side of the threshold (half as far for a harmless one).
+#: What part of the weight of a harmless document is spread evenly over its passages.
+EVEN = 0.3
+#: The parts of the labels that each model is fitted on; the first and the last are complementary.
+PARTS = 4
+HALVES = tuple(combinations(range(PARTS), 2))
+#: A label is left out if the held-out logit is this far on the other side.
 DOUBT = 2.0
-#: Below so many labelled documents there are more parts than two for held-out scores.
-FEW, FEW_FOLDS = 1000, 5
 MAX_WORDS_KEPT = 500_000
 #: Single letters strung out by one separator, marks and invisible characters, letters repeated, and signs that stand for letters.
 STRUNG = re.compile(r"(?<!\w)\w([ .*_-])\w(?:\1\w)+(?!\w)")
@@ -113,7 +121,6 @@ class AbuseModel:
         self.out = np.zeros((DIM, 2), np.float32)
         self.out[:, 1] = r.standard_normal(DIM) * 0.3
         self.bias = np.zeros(2, np.float32)
-        self.threshold = 0.5
 
     def forward(self, bag: Bag, vectors: np.ndarray, word: np.ndarray, size: np.ndarray):
         """Means and scores of passages, given by the numbers of their words; vectors are those of bag.buckets."""
@@ -125,25 +132,26 @@ class AbuseModel:
     def fit(self, bag: Bag, labels: np.ndarray, weights: np.ndarray, epochs: int) -> AbuseModel:
         """labels and weights (0: left out) of the documents of a bag.
 
-        From WARM epochs on, passages that are settled (harmless ones with a low score, little-weighted ones of
-        abusive documents) rest between two full passes.
+        Up to WARM epochs take a quarter of the passages of harmless documents in turn. Then passages that are settled
+        (harmless ones with a low score, little-weighted ones of abusive documents) rest between two full passes.
         """
         vectors = self.vectors[bag.buckets]
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, self.out, self.bias)]
+        weights = weights / np.array([max(1e-9, weights[labels == k].sum()) for k in (0, 1)])[labels]
+        turn = np.where((labels == 1)[bag.doc], -1, np.arange(len(bag.doc)) % 4)
         for epoch in range(epochs):
-            if epoch < WARM or epoch % FULL_PASS == 0:
-                word, size, doc = bag.word, bag.size, bag.doc
-                label = labels[doc]
-                abusive, harmless = weights[doc] * (label == 1), weights[doc] * (label == 0)
-                share = 1 / np.bincount(doc, minlength=bag.n_docs)[doc]
+            full = epoch < WARM or epoch % FULL_PASS == WARM % FULL_PASS
+            if full:
+                keep = (turn < 0) | (turn == epoch % 4) if epoch < WARM else np.ones(len(turn), bool)
+                word, size, doc = bag.word[np.repeat(keep, bag.size)], bag.size[keep], bag.doc[keep]
+                label, n_passages = labels[doc], np.bincount(doc, minlength=bag.n_docs)
             means, p = self.forward(bag, vectors, word, size)
-            if epoch >= 5:  # the worst passages of an abusive document take its label
-                e = np.exp((p - 1) * min(12.0, epoch))
-                share = e / np.bincount(doc, e, bag.n_docs)[doc]
-            w, h = abusive * share, harmless * (0.2 + p)
-            if epoch < WARM or epoch % FULL_PASS == 0:
-                w_all, h_all = max(w.sum(), 1e-9), max(h.sum(), 1e-9)
-            g = ((w / w_all + h / h_all) * (p - label)).astype(np.float32)
+            e = np.exp((p - 1) * (min(12.0, epoch) if epoch >= 5 else 0.0))
+            if full:
+                e_all = np.bincount(doc, e, bag.n_docs)
+            share = e / e_all[doc]
+            share = np.where(label == 1, share, (1 - EVEN) * share + EVEN / n_passages[doc])
+            g = (weights[doc] * share * (p - label)).astype(np.float32)
             dz = np.stack([-g, g], axis=1)
             d_mean = (dz @ self.out.T) / np.maximum(size, SHORT)[:, None].astype(np.float32)
             d_word = _sums(word, np.repeat(d_mean, size, axis=0), bag.n_words) / bag.gram_size[:, None]
@@ -153,30 +161,26 @@ class AbuseModel:
                 v += 0.01 * (grad * grad - v)
                 param -= (RATE * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.99 ** (epoch + 1))) + 1e-7)).astype(np.float32)
             vectors *= np.float32(1 - RATE * SHRINK)
-            if epoch >= WARM and epoch % FULL_PASS == 0:
-                keep = (harmless > 0) & (p > SETTLED) | (abusive > 0) & (share > SETTLED)
-                word, size, doc, label, abusive, harmless = word[np.repeat(keep, size)], size[keep], doc[keep], label[keep], abusive[keep], harmless[keep]
+            if epoch >= WARM and full:
+                keep = (weights[doc] > 0) & np.where(label == 1, share > SETTLED, p > SETTLED)
+                word, size, doc, label = word[np.repeat(keep, size)], size[keep], doc[keep], label[keep]
                 if not keep.any():
                     break
         self.vectors[bag.buckets] = vectors
         return self
 
-    def document_scores(self, bag: Bag) -> np.ndarray:
-        out = np.zeros(bag.n_docs)
-        np.maximum.at(out, bag.doc, self.forward(bag, self.vectors[bag.buckets], bag.word, bag.size)[1])
-        return out
-
     def scorer(self) -> Scorer:
-        return Scorer(self.vectors @ (self.out[:, 1] - self.out[:, 0]), float(self.bias[1] - self.bias[0]), self.threshold)
+        return Scorer(self.vectors @ (self.out[:, 1] - self.out[:, 0]), float(self.bias[1] - self.bias[0]), 0.0)
 
 
 class Scorer:
-    """The trained model as one number per bucket: what a word adds to the logit."""
+    """The trained model as one number per bucket: what a word adds to the logit. The threshold is a logit too."""
 
     def __init__(self, buckets: np.ndarray, bias: float, threshold: float) -> None:
         self.buckets, self.bias, self.threshold = buckets.astype(np.float32), bias, threshold
 
-    def scores(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
+    def logits(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
+        """Of the worst passage of each text; -inf without words."""
         toks = [tokens(t) if t else [] for t in texts]
         n = np.array([len(t) for t in toks], np.int64)
         v = np.fromiter(map(known.__getitem__, chain.from_iterable(toks)), np.float64, int(n.sum()))
@@ -184,7 +188,7 @@ class Scorer:
         sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(v))])
         out = np.full(len(texts), -np.inf)
         np.maximum.at(out, text, (sums[end] - sums[start]) / np.maximum(end - start, SHORT) + self.bias)
-        return np.where(np.isinf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -30, 30))))
+        return out
 
 
 class KnownWords(dict):
@@ -198,49 +202,86 @@ class KnownWords(dict):
         return v
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    order = np.argsort(-scores, kind="stable")
-    hit = np.cumsum(labels[order])
-    f1 = 2 * hit / (np.arange(1, len(order) + 1) + max(1, labels.sum()))
-    k = int(np.argmax(f1))
-    after = scores[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float((scores[order[k]] + after) / 2)
+def best_threshold(logits: np.ndarray, labels: np.ndarray, per_harmless: float) -> float:
+    """The best F0.5 if every harmless label counts as per_harmless ones; the middle between the logits on either side."""
+    order = np.argsort(-logits, kind="stable")
+    hit, wrong = np.cumsum(labels[order]), np.cumsum(1 - labels[order]) * per_harmless
+    f = 1.25 * hit / (hit + wrong + 0.25 * max(1, labels.sum()))
+    k = int(np.argmax(f))
+    after = logits[order[k + 1]] if k + 1 < len(order) else logits[order[k]] - 1
+    return float((logits[order[k]] + after) / 2)
 
 
-def train(texts: list[str], labels: np.ndarray) -> Scorer:
-    """Twice fits on parts of the labels with held-out scores, then the final fit without the labels these contradict."""
-    if len(texts) == 0 or labels.min() == labels.max():
-        return Scorer(np.zeros(BUCKETS, np.float32), float("-inf"), 0.5)
-    folds = FEW_FOLDS if len(texts) < FEW else 2
-    fold = np.array([zlib.crc32(t.encode("utf-8", "replace")) % folds for t in texts])
-    parts = [(np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in range(folds)]
-    bags = [(Bag([texts[i] for i in a]), Bag([texts[i] for i in b])) for a, b in parts if len(a) and len(b)]
-    parts = [(a, b) for a, b in parts if len(a) and len(b)]
-
-    def held_out(weights: np.ndarray, epochs: int) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for (a, b), (rest, part) in zip(parts, bags, strict=True):
-            out[b] = AbuseModel().fit(rest, labels[a], weights[a], epochs).document_scores(part)
-        return out
+def part_of(texts: list[str]) -> np.ndarray:
+    """Equal texts are in one part."""
+    return np.array([zlib.crc32(t.encode("utf-8", "replace")) % PARTS for t in texts])
 
-    weights = np.ones(len(texts))
-    for epochs in (HALF_EPOCHS, EPOCHS):
-        held = held_out(weights, epochs)
-        threshold = best_threshold(held, labels)
-        logit, at = np.log(held + 1e-9) - np.log1p(1e-9 - held), np.log(threshold + 1e-9) - np.log1p(1e-9 - threshold)
-        weights = (~((labels == 1) & (logit < at - DOUBT) | (labels == 0) & (logit > at + DOUBT / 2))).astype(float)
-    model = AbuseModel().fit(Bag(texts), labels, weights, EPOCHS)
-    model.threshold = threshold
-    return model.scorer()
 
+def fit_half(texts: list[str], labels: np.ndarray, weights: np.ndarray, half: int, epochs: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """(number per bucket, bias, logits of all texts, nan where the model has seen them) of one model."""
+    seen = np.isin(part_of(texts), HALVES[half])
+    own = np.flatnonzero(seen)
+    out = np.full(len(texts), np.nan)
+    if len(own) == 0 or labels[own].min() == labels[own].max():
+        return np.zeros(BUCKETS, np.float32), 0.0, out
+    s = AbuseModel().fit(Bag([texts[i] for i in own]), labels[own], weights[own], epochs).scorer()
+    rest = np.flatnonzero(~seen)
+    out[rest] = np.maximum(s.logits([texts[i] for i in rest], KnownWords(s.buckets)), -30.0)
+    return s.buckets, s.bias, out
+
+
+def _fitter(sample, epochs: int):
+    def run(batches):
+        texts, labels, weights = sample.value
+        for batch in batches:
+            for half in batch.column(0).to_pylist():
+                buckets, bias, held = fit_half(texts, labels, weights, half, epochs)
+                yield pa.RecordBatch.from_arrays([pa.array([half], pa.int64()), pa.array([buckets.tobytes()], pa.binary()), pa.array([bias]), pa.array([held.tobytes()], pa.binary())], ["half", "buckets", "bias", "held"])
 
-def labelled(documents: DataFrame, labels: DataFrame, max_abusive: int = MAX_ABUSIVE, max_harmless: int = MAX_HARMLESS) -> tuple[list[str], np.ndarray]:
-    """The bounded training sample: texts and labels."""
+    return run
+
+
+def fit_halves(spark: SparkSession, texts: list[str], labels: np.ndarray, weights: np.ndarray, halves: list[int], epochs: int):
+    """(numbers per bucket, biases, held-out logits) of models fitted as tasks of their own; each sends back 260 KB and 8 bytes a label."""
+    sample = spark.sparkContext.broadcast((texts, labels, weights))
+    jobs = spark.createDataFrame([(h,) for h in halves], "half bigint").repartitionByRange(len(halves), "half")
+    rows = sorted(jobs.mapInArrow(_fitter(sample, epochs), "half bigint, buckets binary, bias double, held binary").collect())
+    sample.unpersist()
+    return np.array([np.frombuffer(r.buckets, np.float32) for r in rows]), np.array([r.bias for r in rows]), np.array([np.frombuffer(r.held) for r in rows])
+
+
+def held_logits(held: np.ndarray) -> np.ndarray:
+    """The mean over the models that have not seen a text; nan if all have."""
+    n = (~np.isnan(held)).sum(axis=0)
+    return np.where(n > 0, np.nansum(held, axis=0) / np.maximum(n, 1), np.nan)
+
+
+def train(spark: SparkSession, texts: list[str], labels: np.ndarray, per_harmless: float = 1.0) -> Scorer:
+    """The mean of six models, without the labels that held-out logits contradict, and its threshold."""
+    none = Scorer(np.zeros(BUCKETS, np.float32), float("-inf"), 0.0)
+    if len(texts) == 0 or labels.min() == labels.max():
+        return none
+    held = held_logits(fit_halves(spark, texts, labels, np.ones(len(texts)), [0, len(HALVES) - 1], FIRST_EPOCHS)[2])
+    kept = ~((labels == 1) & (held < -DOUBT) | (labels == 0) & (held > DOUBT))
+    buckets, biases, held = fit_halves(spark, texts, labels, kept.astype(float), list(range(len(HALVES))), EPOCHS)
+    fitted, held = ~np.isnan(held).all(axis=1), held_logits(held)
+    told = kept & ~np.isnan(held)
+    if not fitted.any():  # no half has labels of both classes
+        return none
+    return Scorer(buckets[fitted].mean(axis=0), float(biases[fitted].mean()), best_threshold(held[told], labels[told], per_harmless))
+
+
+def labelled(documents: DataFrame, labels: DataFrame, max_abusive: int = MAX_ABUSIVE, max_harmless: int = MAX_HARMLESS, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray, float]:
+    """The bounded training sample: texts, labels, and how many harmless labels each harmless text of it stands for."""
     votes = need(labels, ["doc_id", "toxic"]).where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("v")).where("v <> 0.5")
     votes = votes.select("doc_id", (F.col("v") > 0.5).cast("int").alias("label"), F.xxhash64("doc_id").alias("o"))
-    sample = votes.where("label = 1").orderBy("o").limit(max_abusive).unionByName(votes.where("label = 0").orderBy("o").limit(max_harmless)).select("doc_id", "label")
-    rows = need(documents, ["doc_id", "text"]).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").toPandas().sort_values("doc_id", kind="stable")
-    return rows["text"].tolist(), rows["label"].to_numpy(np.int64)
+    sample = votes.where("label = 1").orderBy("o").limit(max_abusive).unionByName(votes.where("label = 0").orderBy("o").limit(max_harmless))
+    texts = cut(need(documents, ["doc_id", "text"]).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "o", "text"))
+    sizes = texts.select("doc_id", "o", F.octet_length("text").alias("n")).toPandas().sort_values(["o", "doc_id"], kind="stable")  # some 7,500 rows
+    within = sizes["doc_id"][sizes["n"].cumsum() <= max_bytes]
+    rows = texts.join(F.broadcast(documents.sparkSession.createDataFrame([(int(i),) for i in within.unique()], f"doc_id {texts.schema['doc_id'].dataType.simpleString()}")), "doc_id", "left_semi").toPandas().sort_values("doc_id", kind="stable")
+    harmless = votes.where("label = 0").count()
+    return rows["text"].tolist(), rows["label"].to_numpy(np.int64), max(1.0, harmless / max(1, int((rows["label"] == 0).sum())))
 
 
 def _scorer(model):
@@ -248,8 +289,9 @@ def _scorer(model):
         m = model.value
         known = KnownWords(m.buckets)
         for batch in batches:
-            s = m.scores(batch.column(batch.num_columns - 1).to_pylist(), known)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array(s > m.threshold)], [*batch.schema.names[:-1], "score", "flagged"])
+            z = m.logits(batch.column(batch.num_columns - 1).to_pylist(), known)
+            s = np.where(np.isinf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array(z > m.threshold)], [*batch.schema.names[:-1], "score", "flagged"])
 
     return run
 
@@ -260,7 +302,8 @@ ship(__name__)
 def scored(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """(*keep, score, flagged): every document with its score and whether it exceeds the fitted threshold."""
     docs = need(documents, [*keep, "text"])
-    model = documents.sparkSession.sparkContext.broadcast(train(*labelled(documents, labels)))
+    spark = documents.sparkSession
+    model = spark.sparkContext.broadcast(train(spark, *labelled(documents, labels)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("text").schema)
     return docs.mapInArrow(_scorer(model), f"{fields}, score double, flagged boolean")
 
