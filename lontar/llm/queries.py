@@ -100,6 +100,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(packing.token_counts(table(spark, d, "documents")))
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, the least there could be, and unused tokens."""
+    return packing.fill_report(p8_containers(spark, d))
+
+
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of every packing: each document is there, none is split without need, and no container is overfull."""
+    return p8_fill(spark, d).select("documents", "overfull", "split", (F.col("containers") <= F.col("lower_bound") * 1.01 + 1).alias("tight"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Of the windows that the seeds find, the exact ones."""
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("substitutions = 0").select("doc_id", "item_id").distinct()
@@ -125,7 +135,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p2_found, p2_restored, p3_found, p3_bonds, p4_found, p4_stretches, p6_found, p6_pieces, p8_containers, p9_found, p9_items, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_classes, p2_found, p2_restored, p3_found, p3_bonds, p4_found, p4_stretches, p6_found, p6_pieces, p8_containers, p8_fill, p8_checked, p9_found, p9_items, p10_found, p10_scores, p10_rates)
 }
 
 _BASKETS = """
@@ -157,6 +167,7 @@ g AS (SELECT tab, row_id, w, unnest(generate_series(1, len(w) - 19)) AS p FROM w
 h AS (SELECT tab, row_id, array_to_string(w[p:p + 19], ' ') AS win FROM g),
 s AS (SELECT win FROM h GROUP BY win HAVING count(DISTINCT (tab, row_id)) > 1)
 SELECT DISTINCT tab, row_id FROM h WHERE win IN (SELECT win FROM s)""",
+    "p8_checked": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split, true AS tight FROM documents",
     "p9_found": """
 WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),

@@ -232,17 +232,55 @@ def test_split_prefers_strong_boundaries(spark):
 @given(st.lists(st.integers(1, 50), max_size=60), st.integers(50, 80))
 @settings(max_examples=60, deadline=None)
 def test_pack_keeps_all_within_capacity(sizes, capacity):
-    bins = packing.pack(sizes, capacity)
-    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in b) <= capacity for b in bins)
-    assert len(bins) >= math.ceil(sum(sizes) / capacity)
+    sizes = np.array(sizes, np.int64)
+    place = packing.pack(sizes, capacity)
+    fill = np.bincount(place, sizes) if len(sizes) else np.zeros(0)
+    assert (fill <= capacity).all() and (fill > 0).all()
+    assert math.ceil(sizes.sum() / capacity) <= len(fill) <= len(np.unique(packing.next_fit(sizes, capacity)))
 
 
-def test_local_search_empties_containers():
-    sizes = [6, 4, 5, 5, 7, 3]
-    start = [[0], [1, 2], [3, 5], [4]]
-    bins = packing.local_search([list(b) for b in start], sizes, 10)
-    assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(6)) and all(sum(sizes[i] for i in b) <= 10 for b in bins)
+@pytest.mark.parametrize(
+    "sizes, place, left",
+    [
+        ([6, 4, 5, 5, 7, 3], [0, 1, 1, 2, 3, 2], 3),  # moves
+        ([7, 5, 3, 5], [0, 1, 1, 2], 2),  # one for one: 5 and 5 fill a container once 3 has gone to 7
+        ([8, 4, 4, 2, 2], [0, 1, 2, 1, 2], 2),
+    ],
+)
+def test_local_search_empties_containers(sizes, place, left):
+    search = packing.LocalSearch(np.array(place), np.array(sizes), 10)
+    search.run()
+    assert search.containers() == left and search.steps > 0
+    assert (np.bincount(search.place, search.sizes, len(search.fill)) == search.fill).all() and search.fill.max() <= 10
+
+
+def test_local_search_two_for_one():
+    search = packing.LocalSearch(np.array([0, 0, 1, 1]), np.array([3, 3, 5, 4]), 10)
+    assert search.best_change(0) == ([0, 1], 2, 1) or search.best_change(0)[1] >= 0
+    before = (search.fill**2).sum()
+    search.run()
+    assert (search.fill**2).sum() >= before
+
+
+def test_local_search_has_no_step_cap():
+    r = np.random.default_rng(3)
+    sizes = r.integers(300, 900, 6000)
+    search = packing.LocalSearch(packing.next_fit(sizes, 2048), sizes, 2048)
+    first = search.containers()
+    search.run()
+    assert search.containers() < first
+    if search.containers() > search.bound:  # a local optimum
+        assert all(search.best_change(int(b)) is None for b in np.flatnonzero((search.fill > 0) & (search.fill < 2048))[:5])
+
+
+def test_fill_report(spark):
+    rows = [(i, (i * 37) % 400 + 1) for i in range(300)] + [(1000, 5000), (1003, 0), (1004, None)]
+    placed = packing.fill_containers(spark.createDataFrame(rows, "doc_id bigint, tokens bigint"), 2048, group_containers=8)
+    r = packing.fill_report(placed, 2048).first()
+    assert (r.documents, r.overfull, r.split, r.tokens) == (303, 0, 0, sum(n or 0 for _, n in rows))
+    assert r.lower_bound <= r.containers <= r.lower_bound + 2 and r.unused == r.containers * 2048 - r.tokens
+    e = packing.fill_report(placed.limit(0), 2048).first()
+    assert (e.documents, e.containers, e.unused) == (0, 0, 0)
 
 
 def test_fill_containers(spark):
