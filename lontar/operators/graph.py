@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lontar.operators.pairs import pair_counts
+
 
 def bridges(citations: DataFrame, node: str, group: str) -> DataFrame:
     """(node, group, bridge): for each citation the other groups that cite the same node, sorted."""
@@ -17,10 +19,8 @@ def bridges(citations: DataFrame, node: str, group: str) -> DataFrame:
 
 
 def bonds(citations: DataFrame, node: str, group: str) -> DataFrame:
-    """(a, b, n): how many nodes two groups both cite, a < b. Groups of a node are a set, so its size is bounded by theirs."""
-    sets = citations.select(node, group).distinct().groupBy(node).agg(F.sort_array(F.collect_set(group)).alias("_g")).where(F.size("_g") > 1)
-    pairs = F.flatten(F.transform("_g", lambda x, i: F.transform(F.slice("_g", i + 2, F.size("_g")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    """(a, b, n): how many nodes two groups both cite, a < b. Nodes that many groups cite are done in chunks of groups."""
+    return pair_counts(citations.select(node, group).distinct().groupBy(node).agg(F.collect_set(group).alias("items")))
 
 
 def nodes(citations: DataFrame, node: str, group: str) -> DataFrame:

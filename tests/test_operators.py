@@ -261,3 +261,15 @@ def test_retrieval(spark):
     cues = spark.createDataFrame([("a", "satu"), ("b", "dua"), ("b", "tiga")], "area string, cue string")
     t = spark.createDataFrame([(1, "dua satu"), (2, "satu dua tiga"), (3, "lain")], "k int, text string")
     assert {r.k: r.area for r in R.cue_router(t, "k", "text", cues).collect()} == {1: "b", 2: "b"}
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 64])
+def test_pair_counts_of_large_sets(spark, block):
+    from collections import Counter
+    from itertools import combinations
+
+    from lontar.operators.pairs import pair_counts
+
+    sets = [list("abcdefg"), list("abcdefg"), list("abcdefg"), ["a", "a", "g"], ["x", None], [], None, list("gfa")]
+    want = Counter(p for s in sets for p in combinations(sorted({x for x in s or [] if x}), 2))
+    assert {(r.a, r.b): r.n for r in pair_counts(spark.createDataFrame([(s, 1) for s in sets], "items array<string>, n int"), block=block).collect()} == dict(want)
