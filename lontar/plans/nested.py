@@ -19,12 +19,12 @@ def narrow_shards(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(NARROW).parquet(f"{d}/peta_shards.parquet")
 
 
-def shard_refs(spark: SparkSession, d: str) -> DataFrame:
-    t = nested.shard_trees(narrow_shards(spark, d), ("published_at",))
-    t = t.select("shard_id", "published_at", F.posexplode("tree").alias("subtopic_no", "s"))
-    t = t.select("shard_id", "published_at", "subtopic_no", F.posexplode("s.entries").alias("entry_no", "e"))
-    t = t.select("shard_id", "published_at", "subtopic_no", "entry_no", F.posexplode("e.refs").alias("ref_no", "r"))
-    return t.select("shard_id", "subtopic_no", "entry_no", "ref_no", "r.surah", "r.ayah", "published_at")
+def shard_refs(spark: SparkSession, d: str, keep: tuple[str, ...] = ("published_at",)) -> DataFrame:
+    t = nested.shard_trees(narrow_shards(spark, d), keep)
+    t = t.select("shard_id", *keep, F.posexplode("tree").alias("subtopic_no", "s"))
+    t = t.select("shard_id", *keep, "subtopic_no", F.posexplode("s.entries").alias("entry_no", "e"))
+    t = t.select("shard_id", *keep, "subtopic_no", "entry_no", F.posexplode("e.refs").alias("ref_no", "r"))
+    return t.select("shard_id", "subtopic_no", "entry_no", "ref_no", "r.surah", "r.ayah", *keep)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
