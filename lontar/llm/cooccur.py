@@ -1,8 +1,9 @@
 """Items that appear together: pair counts and association over baskets.
 
 Large-basket blocking: a basket of at most `block` items yields its pairs in place. A larger one is split into chunks
-of `block` items; the pairs of its chunks (i <= j) are spread over tasks and each yields one chunk product, so no task
-holds more than 2 * block items of a basket, and every pair is still counted. Counts are summed before the shuffle.
+of `block` items; the pairs of its chunks (i <= j) are jobs of two short arrays, equal ones counted once and multiplied,
+and each yields one chunk product, so no row holds more than block * block pairs, and every pair is still counted. The
+counts of large and ordinary baskets are summed before the shuffle.
 
 Null items and null baskets count as empty; an item repeated in a basket counts once; a basket without items still
 counts in N.
@@ -10,35 +11,18 @@ counts in N.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lontar.operators import pairs
 from lontar.operators.nested import shard_trees
+from lontar.operators.pairs import BLOCK
 from lontar.util import cut
 
-BLOCK = 64
-
-
-def _pairs_within(items: Column) -> Column:
-    """Pairs (a < b) of a sorted array of distinct items."""
-    return F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-
-
-def _pairs_across(left: Column, right: Column) -> Column:
-    return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
-
 
 def pair_counts(baskets: DataFrame, items: str = "items", block: int = BLOCK) -> DataFrame:
     """(a, b, n_ab): in how many baskets both items occur; a < b by code points."""
-    s = baskets.select(F.array_sort(F.array_distinct(F.filter(F.col(items), lambda x: x.isNotNull()))).alias("s"))
-    small = s.where(F.size("s").between(2, block)).select(F.explode(_pairs_within(F.col("s"))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    big = s.where(F.size("s") > block)
-    chunks = big.select(F.transform(F.sequence(F.lit(0), F.expr(f"(size(s) - 1) div {block}").cast("int")), lambda i: F.slice(F.col("s"), i * block + 1, block)).alias("c"))
-    jobs = chunks.select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice(F.col("c"), i + 1, F.size("c")), lambda y, j: F.struct(x.alias("l"), y.alias("r"), (j == 0).alias("same")))))).alias("j"))
-    jobs = jobs.select("j.*").repartition(F.xxhash64("l", "r"))
-    product = F.when(F.col("same"), _pairs_within(F.col("l"))).otherwise(_pairs_across(F.col("l"), F.col("r")))
-    large = jobs.select(F.explode(product).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    return small.unionByName(large).groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
+    return pairs.pair_counts(baskets, items, block).withColumnRenamed("n", "n_ab")
 
 
 def associations(baskets: DataFrame, items: str = "items", block: int = BLOCK) -> DataFrame:

@@ -1,31 +1,37 @@
 """Evaluation texts inside training text, by spaced-seed hashing.
 
 Words are runs of letters and digits in lower case. Each window of `span` words of a test item (the whole item if it
-has fewer) is hashed once per mask; a mask keeps every other word and ignores the rest, so a window with one word
-substituted still agrees under one of the masks. The test hashes are joined with those of the training texts inside
-Arrow batches, and around every hit the window is compared word by word: it counts with at most `tolerance`
+has fewer) is hashed once per mask; a mask keeps half of the positions and ignores the rest. The masks for a tolerance
+of t substitutions come from 2 t classes of positions, each mask keeping t of them, so whichever t words are substituted
+one mask ignores them all, and no such window is missed: two masks for one substitution, six for two. The hashes of both
+sides are joined, and around every hit the windows are compared word by word: one counts with at most `tolerance`
 substitutions. Exact windows have none.
 
-The test side is broadcast in blocks of at most MAX_BLOCK_WORDS words, each block against all texts, so its size is
-bounded however many items there are. Whole texts are read. Null texts and items without words match nothing; equal
-items are each reported.
+Where the items are small (MAX_BLOCK_BYTES of text), their hashes are one broadcast table and the join happens inside
+Arrow batches of the documents, which are not shuffled. Beyond that nothing of the items is collected or broadcast but
+a Bloom filter of bounded size: both sides yield their hashes, those of the documents only where the filter lets them
+pass, and a shuffled join brings them together, salted so that a passage half the corpus repeats is spread over tasks.
+
+Whole texts are read. Null texts and items without words match nothing; equal items are each reported.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lontar.util import need, ship
+from lontar.llm.spans import WordHashes, bloom_filter, bloom_slots
+from lontar.util import cut, need, ship
 
 SPAN = 10
-MASKS = ((1, 0, 1, 0, 1, 0, 1, 0, 1, 0), (0, 1, 0, 1, 0, 1, 0, 1, 0, 1))
-MAX_BLOCK_WORDS = 500_000
+MAX_BLOCK_BYTES = 4 << 20
+SALTS = 8
+COEFFICIENTS = np.random.default_rng(9).integers(1, 1 << 62, 64, dtype=np.int64) | 1
 WORD = re.compile(r"[^\W_]+")
 SPARE = 32
 
@@ -34,11 +40,17 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def masks(n: int, tolerance: int) -> list[tuple[int, ...]]:
+    """The positions that each mask keeps of a window of n words."""
+    classes = 2 * max(1, tolerance)
+    kept = (tuple(i for i in range(n) if i % classes in c) for c in combinations(range(classes), classes // 2))
+    return [m for m in dict.fromkeys(kept) if m]
+
+
 class Seeds:
-    """The hashes of a block of items: per window length and mask, sorted, with the windows they stand for."""
+    """The hashes of a table of items: per window length and mask, sorted, with the windows they stand for."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], span: int) -> None:
-        self.span = span
+    def __init__(self, items: list[tuple[int, list[str]]], span: int, tolerance: int) -> None:
         self.vocabulary: dict[str, int] = {}
         self.items, self.ids = [], []
         by_length: dict[int, list[tuple[int, int]]] = {}
@@ -49,12 +61,11 @@ class Seeds:
                 self.ids.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
                 n = min(span, len(words))
                 by_length.setdefault(n, []).extend((k, p) for p in range(len(words) - n + 1))
-        self.coefficients = np.random.default_rng(9).integers(1, 1 << 62, span, dtype=np.int64) | 1
         self.groups = []
         for n, places in sorted(by_length.items()):
             windows = np.array([self.ids[k][p : p + n] for k, p in places])
             seeds = []
-            for mask in self.masks(n):
+            for mask in masks(n, tolerance):
                 h = self.hash(windows.T, mask, len(windows))
                 order = np.argsort(h, kind="stable")
                 seen = np.zeros(1 << max(10, (len(h) * SPARE).bit_length()), bool)
@@ -62,13 +73,10 @@ class Seeds:
                 seeds.append((mask, h[order], order, seen))
             self.groups.append((n, np.array(places), windows, seeds))
 
-    def masks(self, n: int) -> list[tuple[int, ...]]:
-        return [m for m in dict.fromkeys(tuple(i for i in range(n) if MASKS[k][i % SPAN]) for k in range(len(MASKS))) if m]
-
     def hash(self, columns, mask, n: int) -> np.ndarray:
         h = np.zeros(n, np.int64)
         for i in mask:
-            h += columns[i] * self.coefficients[i]
+            h += columns[i] * COEFFICIENTS[i]
         return h
 
     @staticmethod
@@ -130,31 +138,76 @@ def _finder(block, tolerance: int):
     return run
 
 
-ship(__name__)
+FOUND = "doc_id bigint, item_id bigint, substitutions int, windows int, first_word int, item_words int"
+WINDOWS = "n int, mask int, h bigint, key bigint, pos int, words array<string>"
+
 
+def _windows(lengths: list[int] | None, span: int, tolerance: int, bloom=None):
+    """Arrow batches (key, text) to every masked window: of the given lengths, or, for items, of min(span, their words)."""
 
-def blocks_of(items: DataFrame, id_column: str, text: str, span: int):
-    """Seeds of the items, in blocks of bounded size, in order of their ids."""
-    block, n = [], 0
-    for r in need(items, [id_column, text]).where(F.col(text).isNotNull()).distinct().orderBy(id_column, text).toLocalIterator():
-        w = words_of(r[1])
-        if block and n + len(w) > MAX_BLOCK_WORDS:
-            yield Seeds(block, span)
-            block, n = [], 0
-        block.append((r[0], w))
-        n += len(w)
-    yield Seeds(block, span)
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            counts = np.array([len(w) for w in words], np.int64)
+            flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum())).view(np.int64)
+            text, starts = np.repeat(np.arange(len(words)), counts), np.cumsum(counts) - counts
+            for n in range(1, span + 1) if lengths is None else lengths:
+                m = len(flat) - n + 1
+                if m <= 0:
+                    continue
+                own = text[:m] == text[n - 1 :]
+                if lengths is None:
+                    own &= np.minimum(counts, span)[text[:m]] == n
+                for k, mask in enumerate(masks(n, tolerance)):
+                    h = np.full(m, 31 * n + k, np.int64)
+                    for i in mask:
+                        h += flat[i : i + m] * COEFFICIENTS[i]
+                    at = np.flatnonzero(own)
+                    if bloom is not None:
+                        f = bloom.value
+                        a, b = bloom_slots(h[at], len(f) * 8)
+                        at = at[((f[a >> 3] >> (a & 7).astype(np.uint8)) & (f[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)]
+                    t = text[at]
+                    p = at - starts[t]
+                    cols = [np.full(len(at), n, np.int32), np.full(len(at), k, np.int32), h[at]]
+                    rest = [pa.array([keys[i] for i in t.tolist()], pa.int64()), pa.array(p.astype(np.int32)), pa.array([words[i][j : j + n] for i, j in zip(t.tolist(), p.tolist(), strict=True)], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *rest], ["n", "mask", "h", "key", "pos", "words"])
+
+    return run
+
+
+ship(__name__)
 
 
-def leaks(documents: DataFrame, items: DataFrame, tolerance: int = 1, span: int = SPAN, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def joined_leaks(docs: DataFrame, items: DataFrame, tolerance: int, span: int) -> DataFrame:
+    """As leaks(), by a shuffled join of the hashes of both sides; docs and items are (key, text)."""
+    spark = docs.sparkSession
+    own = cut(items.mapInArrow(_windows(None, span, tolerance), WINDOWS))
+    lengths = sorted(r.n for r in own.select("n").distinct().collect())  # at most span
+    keys = cut(own.select("h").distinct())
+    bloom = spark.sparkContext.broadcast(bloom_filter(keys, keys.count()))
+    near = docs.mapInArrow(_windows(lengths, span, tolerance, bloom), WINDOWS).withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)))
+    own = own.select("n", "mask", "h", F.col("key").alias("item_id"), F.col("pos").alias("q"), F.col("words").alias("item_words"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
+    wrong = F.aggregate(F.zip_with("words", "item_words", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+    hit = near.join(own, ["n", "mask", "h", "salt"]).withColumn("wrong", wrong).where(F.col("wrong") <= F.least(F.lit(tolerance), F.col("n") - 1))
+    hit = hit.select(F.col("key").alias("doc_id"), "item_id", "n", "pos", "q", "wrong").distinct()
+    covered = F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("q"), F.col("q") + F.col("n") - 1))))
+    g = hit.groupBy("doc_id", "item_id").agg(F.min("wrong").alias("substitutions"), F.count("*").cast("int").alias("windows"), F.min("pos").alias("first_word"), F.size(covered).alias("item_words"))
+    return g.select("doc_id", "item_id", "substitutions", "windows", "first_word", "item_words")
+
+
+def leaks(documents: DataFrame, items: DataFrame, tolerance: int = 1, span: int = SPAN, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", max_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, substitutions, windows, first_word, item_words): each document with each item it holds a window of.
 
     substitutions: of the best window; windows: how many match; first_word: where the first stands in the document;
-    item_words: how many words of the item lie in matching windows. tolerance: 0 or 1.
+    item_words: how many words of the item lie in matching windows. tolerance: 0, 1 or 2.
     """
     docs = need(documents, [doc_id, text]).where(F.col(text).isNotNull())
-    out = None
-    for block in blocks_of(items, item_id, text, span):
-        found = docs.mapInArrow(_finder(documents.sparkSession.sparkContext.broadcast(block), tolerance), "doc_id bigint, item_id bigint, substitutions int, windows int, first_word int, item_words int")
-        out = found if out is None else out.unionByName(found)
-    return out
+    own = need(items, [item_id, text]).where(F.col(text).isNotNull()).distinct()
+    if (own.agg(F.sum(F.octet_length(text))).first()[0] or 0) > max_bytes:
+        return joined_leaks(docs, own, tolerance, span)
+    rows = sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    seeds = documents.sparkSession.sparkContext.broadcast(Seeds([(i, words_of(t)) for i, t in rows], span, tolerance))
+    return docs.mapInArrow(_finder(seeds, tolerance), FOUND)

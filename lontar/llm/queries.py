@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontar.llm import abuse, cooccur, encoding, leakage, packing, plainform, spans, splitting
-from lontar.plans.nested import narrow_shards
+from lontar.plans.nested import TREE_SQL, narrow_shards, shard_refs
 from lontar.util import cut, table
 
 
@@ -61,6 +61,13 @@ def p3_bonds(spark: SparkSession, d: str) -> DataFrame:
     return cooccur.against_published(cooccur.associations(cooccur.reference_baskets(narrow_shards(spark, d))), table(spark, d, "bonds"))
 
 
+def p3_by_surah(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_found, of large baskets: all slugs that cite a surah, up to 240 in each."""
+    refs = shard_refs(spark, d, ("slug",)).where("surah IS NOT NULL").select("surah", "slug")
+    found = cooccur.associations(cut(refs.groupBy("surah").agg(F.collect_set("slug").alias("items"))))
+    return found.select("a", "b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     a = splitting.split_texts(table(spark, d, "narration_scripts"), "script_id", "full_text")
     b = splitting.split_texts(table(spark, d, "intro_sections"), "section_id", "body")
@@ -135,7 +142,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p2_found, p2_restored, p3_found, p3_bonds, p4_found, p4_stretches, p6_found, p6_pieces, p8_containers, p8_fill, p8_checked, p9_found, p9_items, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_classes, p2_found, p2_restored, p3_found, p3_bonds, p3_by_surah, p4_found, p4_stretches, p6_found, p6_pieces, p8_containers, p8_fill, p8_checked, p9_found, p9_items, p10_found, p10_scores, p10_rates)
 }
 
 _BASKETS = """
@@ -160,6 +167,10 @@ SQL = {
     "p3_bonds": _BASKETS
     + """, k AS (SELECT least(a, b) AS a, greatest(a, b) AS b, arg_max(n, (release, n)) AS n_published FROM bonds WHERE a <> b GROUP BY 1, 2)
 SELECT k.a, k.b, k.n_published, coalesce(q.n_ab, 0) AS n_ab, round(q.n_ab::DOUBLE * q.n / (q.n_a::DOUBLE * q.n_b), 6) AS lift FROM k LEFT JOIN q ON q.a = k.a AND q.b = k.b""",
+    "p3_by_surah": TREE_SQL
+    + """, bs AS (SELECT DISTINCT surah, slug FROM refs JOIN (SELECT DISTINCT shard_id, slug FROM peta_shards) USING (shard_id) WHERE surah IS NOT NULL),
+c AS (SELECT slug, count(*) AS n FROM bs GROUP BY 1), p AS (SELECT x.slug AS a, y.slug AS b, count(*) AS n_ab FROM bs x JOIN bs y ON x.surah = y.surah AND x.slug < y.slug GROUP BY 1, 2)
+SELECT p.a, p.b, n_ab, ca.n AS n_a, cb.n AS n_b, round(n_ab::DOUBLE * (SELECT count(DISTINCT surah) FROM bs) / (ca.n::DOUBLE * cb.n), 6) AS lift FROM p JOIN c ca ON ca.slug = p.a JOIN c cb ON cb.slug = p.b""",
     "p4_found": """
 WITH recs AS (SELECT DISTINCT 'translations' AS tab, tr_id AS row_id, text AS t FROM translations WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 'dump_rows', dump_id, prose FROM dump_rows WHERE prose IS NOT NULL),
 w AS (SELECT tab, row_id, list_filter(regexp_split_to_array(t, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '') AS w FROM recs),

@@ -325,6 +325,7 @@ def test_leaks_against_brute_force(spark):
     d = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id bigint, text string, item_id int")
     t = spark.createDataFrame(items, "item_id bigint, text string")
     found = leakage.leaks(d, t).collect()
+    assert sorted(map(tuple, leakage.leaks(d, t, max_bytes=1).collect())) == sorted(map(tuple, found))  # joined by a shuffle
     words = lambda s: re.findall(r"[^\W_]+", (s or "").lower())
     want = set()
     for a, b in docs:
@@ -338,14 +339,18 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(d, t.limit(0)).count() == 0 and leakage.leaks(d.limit(0), t).count() == 0
 
 
-def test_leaks_tolerate_one_substitution(spark, monkeypatch):
-    item = "satu dua tiga empat lima enam tujuh delapan sembilan sepuluh"
-    bent = [item.replace(w, "lain") for w in item.split()]
-    d = spark.createDataFrame(list(enumerate([*bent, item, item.replace("satu", "x").replace("dua", "y")])), "doc_id bigint, text string")
-    t = spark.createDataFrame([(1, item), (2, "a b c d e f g h i j k")], "item_id bigint, text string")
-    monkeypatch.setattr(leakage, "MAX_BLOCK_WORDS", 10)
-    got = {(r.doc_id, r.item_id): r.substitutions for r in leakage.leaks(d, t).collect()}
-    assert got == {**{(i, 1): 1 for i in range(10)}, (10, 1): 0}
+@pytest.mark.parametrize("max_bytes", [1 << 20, 1])
+def test_leaks_tolerate_substitutions(spark, max_bytes):
+    """Every window with one substitution, and with tolerance 2 every one with two, is found: recall 1 by the choice of masks."""
+    words = "satu dua tiga empat lima enam tujuh delapan sembilan sepuluh".split()
+    bent = lambda *at: " ".join("lain" if i in at else w for i, w in enumerate(words))
+    one, two = [bent(i) for i in range(10)], [bent(i, j) for i in range(10) for j in range(i)]
+    d = spark.createDataFrame(list(enumerate([bent(), *one, *two])), "doc_id bigint, text string")
+    t = spark.createDataFrame([(1, " ".join(words)), (2, "a b c d e f g h i j k"), (None, "satu dua tiga lain"), (3, None)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.substitutions for r in leakage.leaks(d, t, max_bytes=max_bytes).where("item_id = 1").collect()}
+    assert got == {(0, 1): 0, **{(i, 1): 1 for i in range(1, 11)}}
+    got = {(r.doc_id, r.item_id): r.substitutions for r in leakage.leaks(d, t, 2, max_bytes=max_bytes).where("item_id = 1").collect()}
+    assert got == {(0, 1): 0, **{(i, 1): 1 for i in range(1, 11)}, **{(i, 1): 2 for i in range(11, 56)}}
 
 
 # 10 Abuse
