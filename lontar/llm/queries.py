@@ -80,6 +80,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece_no = 0").select("tab", "row_id")
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per text that was cut: whether the pieces without their leads join to it, are within the limit, and each lead is how the piece before ends."""
+    p = p6_pieces(spark, d)
+    cut_off = F.expr("decode(substring(encode(piece, 'UTF-8'), lead_bytes + 1), 'UTF-8')")
+    lead = F.expr("decode(substring(encode(piece, 'UTF-8'), 1, lead_bytes), 'UTF-8')")
+    g = p.groupBy("tab", "row_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", cut_off.alias("body"), lead.alias("lead")))).alias("l"), F.max("n_bytes").alias("most"), F.max("lead_bytes").alias("most_lead"))
+    ok = F.forall(F.sequence(F.lit(1), F.greatest(F.size("l") - 1, F.lit(1))), lambda i: F.get("l", i).isNull() | F.endswith(F.get("l", i - 1).body, F.get("l", i).lead))
+    g = g.select("tab", "row_id", F.array_join(F.col("l.body"), "").alias("text"), (F.col("most") <= splitting.LIMIT).alias("within"), (ok & (F.col("most_lead") <= splitting.OVERLAP)).alias("led"))
+    texts = table(spark, d, "narration_scripts").select(F.lit("narration_scripts").alias("tab"), F.col("script_id").alias("row_id"), F.xxhash64("full_text").alias("h")).unionByName(table(spark, d, "intro_sections").select(F.lit("intro_sections").alias("tab"), F.col("section_id").alias("row_id"), F.xxhash64("body").alias("h"))).dropDuplicates(["tab", "row_id"])
+    return g.join(texts, ["tab", "row_id"]).select("tab", "row_id", (F.xxhash64("text") == F.col("h")).alias("whole"), "within", "led")
+
+
 SPAN_TABLES = ("translations", "dump_rows")
 
 
@@ -99,8 +111,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_stretches(spark: SparkSession, d: str) -> DataFrame:
-    """Per record: its words, how many of them stand elsewhere, and the stretches (first word, words)."""
-    return _span_keys(spans.stretches(spans.shared_windows(_span_records(spark, d), "loaded_at")))
+    """Per record: its words, how many of them stand elsewhere, and the stretches as first word:words."""
+    s = _span_keys(spans.stretches(spans.shared_windows(_span_records(spark, d), "loaded_at")))
+    return s.withColumn("stretches", F.array_join(F.transform("stretches", lambda x: F.concat_ws(":", x.start, x.words)), " "))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +155,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p2_found, p2_restored, p3_found, p3_bonds, p3_by_surah, p4_found, p4_stretches, p6_found, p6_pieces, p8_containers, p8_fill, p8_checked, p9_found, p9_items, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_classes, p2_found, p2_restored, p3_found, p3_bonds, p3_by_surah, p4_found, p4_stretches, p6_found, p6_pieces, p6_checked, p8_containers, p8_fill, p8_checked, p9_found, p9_items, p10_found, p10_scores, p10_rates)
 }
 
 _BASKETS = """
@@ -159,6 +172,14 @@ p AS (SELECT x.item AS a, y.item AS b, count(*) AS n_ab FROM i x JOIN i y ON x.i
 q AS (SELECT p.a, p.b, p.n_ab, ca.n AS n_a, cb.n AS n_b, (SELECT count(*) FROM b) AS n FROM p JOIN c ca ON ca.item = p.a JOIN c cb ON cb.item = p.b)
 """
 
+_WINDOWS = """
+WITH recs AS (SELECT DISTINCT 'translations' AS tab, tr_id AS row_id, text AS t FROM translations WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 'dump_rows', dump_id, prose FROM dump_rows WHERE prose IS NOT NULL),
+w AS (SELECT tab, row_id, list_filter(regexp_split_to_array(t, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '') AS w FROM recs),
+g AS (SELECT tab, row_id, w, unnest(generate_series(1, len(w) - 19)) AS p FROM w WHERE len(w) >= 20),
+h AS (SELECT tab, row_id, len(w) AS n, p, array_to_string(w[p:p + 19], ' ') AS win FROM g),
+s AS (SELECT win FROM h GROUP BY win HAVING count(DISTINCT (tab, row_id)) > 1)
+"""
+
 SQL = {
     "p1_classes": f"""WITH vals AS (SELECT DISTINCT 'surah' AS tab, verse_id AS row_id, 'ar' AS field, ar AS val FROM surah UNION ALL SELECT DISTINCT 'surah', verse_id, 'text', text FROM surah UNION ALL SELECT DISTINCT 'intro_sections', section_id, 'title', title FROM intro_sections),
       batch AS MATERIALIZED (SELECT row_number() OVER () AS i, * FROM vals WHERE val IS NOT NULL), f AS ({plainform.form_sql("val", "batch")})
@@ -171,19 +192,34 @@ SELECT k.a, k.b, k.n_published, coalesce(q.n_ab, 0) AS n_ab, round(q.n_ab::DOUBL
     + """, bs AS (SELECT DISTINCT surah, slug FROM refs JOIN (SELECT DISTINCT shard_id, slug FROM peta_shards) USING (shard_id) WHERE surah IS NOT NULL),
 c AS (SELECT slug, count(*) AS n FROM bs GROUP BY 1), p AS (SELECT x.slug AS a, y.slug AS b, count(*) AS n_ab FROM bs x JOIN bs y ON x.surah = y.surah AND x.slug < y.slug GROUP BY 1, 2)
 SELECT p.a, p.b, n_ab, ca.n AS n_a, cb.n AS n_b, round(n_ab::DOUBLE * (SELECT count(DISTINCT surah) FROM bs) / (ca.n::DOUBLE * cb.n), 6) AS lift FROM p JOIN c ca ON ca.slug = p.a JOIN c cb ON cb.slug = p.b""",
-    "p4_found": """
-WITH recs AS (SELECT DISTINCT 'translations' AS tab, tr_id AS row_id, text AS t FROM translations WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 'dump_rows', dump_id, prose FROM dump_rows WHERE prose IS NOT NULL),
-w AS (SELECT tab, row_id, list_filter(regexp_split_to_array(t, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '') AS w FROM recs),
-g AS (SELECT tab, row_id, w, unnest(generate_series(1, len(w) - 19)) AS p FROM w WHERE len(w) >= 20),
-h AS (SELECT tab, row_id, array_to_string(w[p:p + 19], ' ') AS win FROM g),
-s AS (SELECT win FROM h GROUP BY win HAVING count(DISTINCT (tab, row_id)) > 1)
-SELECT DISTINCT tab, row_id FROM h WHERE win IN (SELECT win FROM s)""",
+    "p4_found": _WINDOWS + "SELECT DISTINCT tab, row_id FROM h WHERE win IN (SELECT win FROM s)",
+    "p4_stretches": _WINDOWS
+    + """, f AS (SELECT DISTINCT tab, row_id, n, p - 1 AS p FROM h WHERE win IN (SELECT win FROM s)),
+i AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY tab, row_id ORDER BY p) <= 20 THEN 0 ELSE 1 END AS first FROM f),
+m AS (SELECT *, sum(first) OVER (PARTITION BY tab, row_id ORDER BY p) AS grp FROM i),
+k AS (SELECT tab, row_id, n, grp, min(p) AS start, max(p) + 20 - min(p) AS words FROM m GROUP BY 1, 2, 3, 4)
+SELECT tab, row_id, CAST(n AS INT) AS n_words, CAST(sum(words) AS INT) AS n_shared, string_agg(start || ':' || words, ' ' ORDER BY start) AS stretches FROM k GROUP BY 1, 2, 3""",
     "p8_checked": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split, true AS tight FROM documents",
     "p9_found": """
 WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
 g AS (SELECT item_id, array_to_string(w, ' ') AS win FROM i WHERE len(w) BETWEEN 1 AND 9 UNION SELECT item_id, array_to_string(w[p:p + 9], ' ') FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 9)) AS p FROM i WHERE len(w) >= 10))
 SELECT DISTINCT doc_id, item_id FROM d, g WHERE contains(t, ' ' || win || ' ')""",
+    "p9_items": """
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+ip AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS q FROM iw WHERE len(w) > 0),
+ig AS (SELECT item_id, n, q, w[q:q + n - 1] AS x FROM ip),
+dp AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM dw, (SELECT DISTINCT n FROM ig) WHERE len(w) >= n),
+dg AS (SELECT doc_id, n, p, w[p:p + n - 1] AS y FROM dp),
+i2 AS (SELECT *, array_to_string(list_filter(x, lambda v, k: k % 2 = 1), ' ') AS a, array_to_string(list_filter(x, lambda v, k: k % 2 = 0), ' ') AS b FROM ig),
+d2 AS (SELECT *, array_to_string(list_filter(y, lambda v, k: k % 2 = 1), ' ') AS a, array_to_string(list_filter(y, lambda v, k: k % 2 = 0), ' ') AS b FROM dg),
+c AS (SELECT doc_id, item_id, n, p, q, x, y FROM d2 JOIN i2 USING (n, a) UNION SELECT doc_id, item_id, n, p, q, x, y FROM d2 JOIN i2 USING (n, b) WHERE n > 1),
+hit AS (SELECT *, len(list_filter(list_zip(x, y), lambda z: z[1] <> z[2])) AS wrong FROM c WHERE len(list_filter(list_zip(x, y), lambda z: z[1] <> z[2])) <= least(1, n - 1)),
+cov AS (SELECT doc_id, item_id, count(DISTINCT w) AS item_words FROM (SELECT doc_id, item_id, unnest(generate_series(q, q + n - 1)) AS w FROM hit) GROUP BY 1, 2),
+g AS (SELECT doc_id, item_id, min(wrong) AS wrong FROM hit GROUP BY 1, 2)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, count(DISTINCT CASE WHEN wrong = 0 THEN doc_id END) AS n_exact, CAST(max(item_words) AS INT) AS most_words FROM g JOIN cov USING (doc_id, item_id) GROUP BY 1""",
+    "p6_checked": "SELECT DISTINCT 'narration_scripts' AS tab, script_id AS row_id, true AS whole, true AS within, true AS led FROM narration_scripts WHERE strlen(full_text) > 3000 UNION ALL SELECT DISTINCT 'intro_sections', section_id, true, true, true FROM intro_sections WHERE strlen(body) > 3000",
     "p6_found": "SELECT DISTINCT 'narration_scripts' AS tab, script_id AS row_id FROM narration_scripts WHERE strlen(full_text) > 3000 UNION ALL SELECT DISTINCT 'intro_sections', section_id FROM intro_sections WHERE strlen(body) > 3000",
 }
 

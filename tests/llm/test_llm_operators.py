@@ -176,6 +176,32 @@ def test_shared_windows(spark, fanout):
     got = {(x.rec, x.pos) for x in spans.shared_windows(df, "t", window=5, fanout=fanout).collect()}
     assert got == brute_windows([(a, b) for a, b, _ in rows if a is not None], 5) and got
     assert spans.shared_windows(df.limit(0), "t", window=5).count() == 0
+    beyond = {(x.rec, x.pos) for x in spans.shared_windows(df, "t", window=5, fanout=fanout, max_shared=1).collect()}
+    assert beyond == got  # the way beyond the bound of the filter
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lontar_")]
+
+
+def test_span_index_outlasts_the_job(spark, tmp_path):
+    r = random.Random(3)
+    base = [" ".join(f"w{r.randrange(30)}" for _ in range(40)) for _ in range(6)]
+    recs = [(i, " ".join([f"x{i}", *base[i % 6].split()[i % 9 : 30]])) for i in range(12)]
+    frame = lambda rows: spark.createDataFrame(rows, "rec bigint, text string")
+    first = spans.SpanIndex(spark, str(tmp_path / "index"), window=5, fanout=2)
+    shared = {x.h for x in first.append(frame(recs[:4])).collect()} | {x.h for x in first.append(frame([*recs[4:8], recs[0]])).collect()}
+    first.close()
+    again = spans.SpanIndex.open(spark, str(tmp_path / "index"))
+    assert (again.window, again.fanout, len(again.runs)) == (5, 2, 2)
+    shared |= {x.h for x in again.append(frame(recs[8:])).collect()}
+    assert len(again.runs) == 1  # compacted beyond the fan-out
+    again.close()
+    whole = spans.SpanIndex(spark, window=5)
+    want = {x.h for x in whole.append(frame(recs)).collect()}
+    whole.delete()
+    assert shared == want
+    assert {(x.rec, x.pos) for x in spans.verified(frame(recs), frame([(h, "") for h in shared]).select(F.col("rec").alias("h")), 5).collect()} == brute_windows(recs, 5)
+    assert len(spans.SpanIndex.open(spark, str(tmp_path / "index")).runs) == 1
+    with pytest.raises(FileNotFoundError):
+        spans.SpanIndex.open(spark, str(tmp_path / "none"))
 
 
 def test_stretches(spark):
