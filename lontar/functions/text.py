@@ -296,13 +296,22 @@ def alias_hit(words: Column, alias: Column) -> Column:
     return F.size(F.array_except(F.split(alias, " "), F.concat(words, bare))) == 0
 
 
-def outside_phrases(c: Column, phrases: list[str], rounds: int = 3) -> Column:
-    """Words of a text that stand outside fixed phrases; removal repeats, as one may uncover another."""
-    s = F.concat(F.lit(" "), norm(c), F.lit(" "))
-    for _ in range(rounds):
-        for p in phrases:
-            s = F.replace(s, F.lit(f" {p} "), F.lit(" "))
-    return F.array_distinct(parts(s, r"\s+"))
+def outside_phrases(c: Column, phrases: list[str]) -> Column:
+    """Words of a text that stand outside fixed phrases; removal repeats until the text is stable, as one may uncover another."""
+
+    @F.pandas_udf(StringType())
+    def strip(s: pd.Series) -> pd.Series:
+        def one(t):
+            before = None
+            while t is not None and t != before:
+                before = t
+                for p in phrases:
+                    t = t.replace(f" {p} ", " ")
+            return t
+
+        return s.map(one, na_action="ignore")
+
+    return F.array_distinct(parts(strip(F.concat(F.lit(" "), norm(c), F.lit(" "))), r"\s+"))
 
 
 def linkify(c: Column, base: str) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lontar.operators.windows import carry
+from lontar.operators.windows import carry, top_n
+from lontar.util import ship
 
 
 def missing(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,26 +62,53 @@ def resolve(pairs: DataFrame, key: str, candidate: str) -> DataFrame:
     return g.select(key, "n", F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "match").otherwise("ambiguous").alias("resolution"), F.when(F.col("n") == 1, F.col("_m")).alias("match"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+MAX_BLOCK_CELLS = 4_000_000
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, max_queries: int = 256) -> DataFrame:
+def _block_top(block, k: int):
+    """Arrow batches of (b_id, b_vec) to the task's own k best rows for each query of a block."""
+
+    def run(batches):
+        ids, matrix = block.value
+        best_score, best_id = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            b = batch.column(0).to_numpy(zero_copy_only=False)
+            v = np.array([x for x in batch.column(1).to_pylist()], np.float64)
+            if not len(b):
+                continue
+            for i in range(0, len(b), 1024):  # scores of 1,024 rows at a time
+                # rounded, so that equal vectors tie whatever the order of the sums
+                score = np.concatenate([best_score, np.round(matrix @ v[i : i + 1024].T, 12)], axis=1)
+                row = np.concatenate([best_id, np.broadcast_to(b[i : i + 1024], (len(ids), len(b[i : i + 1024])))], axis=1)
+                order = np.lexsort((row, -score), axis=1)[:, :k]
+                best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(row, order, 1)
+        n = best_id.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.reshape(-1)), pa.array(best_score.reshape(-1))], ["q_id", "b_id", "score"])
+
+    return run
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, max_cells: int = MAX_BLOCK_CELLS) -> DataFrame:
     """(q_id, b_id, score, rank): the k rows of base with the greatest dot product for each query; ties by id.
 
-    The queries are a stated set, read in blocks of max_queries that are broadcast as one array, so the base is never
-    shuffled: each base row scores against the block, and each task keeps its own best k per query before the shuffle.
+    queries(q_id, q_vec) are a stated set against all rows of base(b_id, b_vec). They are cut into blocks of ids whose
+    vectors, and whose k best of a task, hold at most max_cells numbers; a block is one broadcast matrix, and each task
+    multiplies its Arrow batches of the base with it and passes on its own k best per query. Null ids and vectors, and
+    those of another length than the queries, take no part.
     """
-    ids = [r[0] for r in queries.select("q_id").orderBy("q_id").toLocalIterator()]
-    blocks = [ids[i : i + max_queries] for i in range(0, len(ids), max_queries)]
-    out = []
-    for block in blocks:
-        q = queries.where(F.col("q_id").isin(block)).agg(F.collect_list(F.struct("q_id", "q_vec")).alias("_q"))
-        scored = base.join(F.broadcast(q)).select("b_id", F.explode(F.transform("_q", lambda x: F.struct(x.q_id.alias("q_id"), dot(x.q_vec, F.col("b_vec")).alias("score")))).alias("s"))
-        scored = scored.select("s.q_id", "b_id", "s.score").withColumn("_part", F.spark_partition_id())
-        order = [F.col("score").desc(), F.col("b_id")]
-        local = scored.withColumn("_r", F.row_number().over(W.partitionBy("q_id", "_part").orderBy(*order))).where(F.col("_r") <= k)
-        out.append(local.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(*order))).where(F.col("rank") <= k).select("q_id", "b_id", "score", "rank"))
-    if not out:
-        return queries.join(base).select("q_id", "b_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    return reduce(DataFrame.unionByName, out)
+    q = queries.where("q_id IS NOT NULL AND q_vec IS NOT NULL").select("q_id", "q_vec")
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("q_vec")).alias("d")).first()
+    spark, out = queries.sparkSession, None
+    dim = size.d or 0
+    q = q.where(F.size("q_vec") == dim)
+    parts = max(1, math.ceil(size.n * max(dim, 2 * k) / max_cells))
+    rows = base.where(F.col("b_id").isNotNull() & (F.size("b_vec") == dim) & ~F.exists("b_vec", lambda x: x.isNull())).select(F.col("b_id").cast("bigint"), F.col("b_vec").cast("array<double>"))
+    for i in range(parts):
+        own = sorted(q.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == i).collect())
+        block = spark.sparkContext.broadcast((np.array([r.q_id for r in own], np.int64), np.array([r.q_vec for r in own], np.float64).reshape(len(own), dim)))
+        found = rows.mapInArrow(_block_top(block, k), "q_id bigint, b_id bigint, score double")
+        out = found if out is None else out.unionByName(found)
+    return top_n(out, ["q_id"], [F.col("score").desc(), F.col("b_id")], k).select("q_id", "b_id", "score", "rank")
+
+
+ship(__name__)

@@ -30,14 +30,19 @@ def pin_drift(current: DataFrame, lock: DataFrame) -> DataFrame:
 
 
 def load_pinned(spark: SparkSession, path: str, lock: DataFrame, glob: str = "*") -> DataFrame:
-    """The inventory, if it agrees with the lock; otherwise every drift is reported at once."""
+    """The inventory, if it agrees with the lock; otherwise every drift is reported at once, however many there are."""
     now = inventory(spark, path, glob)
-    drift = pin_drift(now, lock).orderBy("path").limit(100).collect()
+    drift = [f"{r.path}: {r.state}" for r in pin_drift(now, lock).orderBy("path").toLocalIterator()]
     if drift:
-        raise SourceError("; ".join(f"{r.path}: {r.state}" for r in drift))
+        raise SourceError("; ".join(drift))
     return now
 
 
+def repin(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """A new lock (path, sha256, bytes) of the files as they are now, for a deliberate change of the pins."""
+    return inventory(spark, path, glob).select("path", "sha256", "bytes")
+
+
 def registry(spark: SparkSession, sources: list[dict], kind: str | None = None) -> DataFrame:
     """A table of sources (id, kind, url, licence), optionally of one kind; ids must be unique."""
     ids = [s["id"] for s in sources]
@@ -228,21 +233,35 @@ def repair_lost(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def combined_dump(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(pos, path, value): the files of a partitioned source, whole, under the position each has in the given list."""
-    order = spark.createDataFrame(list(enumerate(paths)), "pos int, _p string")
-    f = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return f.join(F.broadcast(order), F.col("path").endswith(F.col("_p"))).select("pos", "path", "value")
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    whole = [path(p).getFileSystem(conf).makeQualified(path(p)).toUri().toString() for p in paths]
+    order = spark.createDataFrame(list(enumerate(map(_same_path, whole))), "pos int, path string")
+    f = spark.read.text(paths, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"), "value")
+    return order.join(f, "path").select("pos", "path", "value")
+
+
+def _same_path(uri: str) -> str:
+    """One slash after the scheme of local files, as both ways to name them agree on."""
+    return re.sub("^file:/+", "file:/", uri)
 
 
 def mapped(df: DataFrame, fetch, schema: str, limit: int = 8) -> DataFrame:
-    """Rows through an injected function of one row (a dict) to one row, with at most `limit` running at once."""
+    """Rows through an injected function of one row (a dict) to one row, in input order, with at most `limit` calls at once.
+
+    The calls wait for others (downloads), so one task with `limit` threads makes them all: only so is the bound one of
+    the whole job, and the order kept.
+    """
 
     def run(frames):
+        from concurrent.futures import ThreadPoolExecutor
+
         import pandas as pd
 
-        for f in frames:
-            yield pd.DataFrame([fetch(r) for r in f.to_dict("records")])
+        with ThreadPoolExecutor(limit) as pool:
+            for f in frames:
+                yield pd.DataFrame(list(pool.map(fetch, f.to_dict("records"))))
 
-    return df.repartition(limit).mapInPandas(run, schema)
+    return df.coalesce(1).mapInPandas(run, schema)
 
 
 def path_key(c: Column, first: int, last: int) -> Column:
@@ -257,6 +276,6 @@ def path_number(c: Column) -> Column:
 
 
 def freshness(spark: SparkSession, path: str) -> DataFrame:
-    """(files, newest): number of files below a folder and the newest modification time."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.agg(F.count("*").alias("files"), F.max("modificationTime").alias("newest"))
+    """(files, newest, sha256): number of files below a folder, the newest modification time, and a digest of their sorted path:hash lines."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("modificationTime", F.concat_ws(":", "path", F.sha2("content", 256)).alias("line"))
+    return f.agg(F.count("*").alias("files"), F.max("modificationTime").alias("newest"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("sha256"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lontar.operators.aggregates import set_digest
 from lontar.sources.readers import SourceError
-from lontar.util import scalar
+from lontar.util import scalar, ship
 
 
 def artifact(name: str, df: DataFrame) -> DataFrame:
@@ -25,7 +27,8 @@ def manifest(artifacts: DataFrame) -> DataFrame:
 
 
 def write_lines(df: DataFrame, path: str, compression: str | None = None) -> None:
-    df.write.mode("overwrite").options(**({"compression": compression} if compression else {})).json(path)
+    """JSON lines; gzip at the best level."""
+    df.write.mode("overwrite").options(**({"compression": compression, "zlib.compress.level": "BEST_COMPRESSION"} if compression else {})).json(path)
 
 
 def write_shards(df: DataFrame, path: str, keys: list[str], expected: int | None = None) -> int:
@@ -37,10 +40,32 @@ def write_shards(df: DataFrame, path: str, keys: list[str], expected: int | None
     return n
 
 
-def over_budget(df: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """(keys, bytes): shards whose JSON exceeds a budget."""
-    g = df.select(*keys, F.octet_length(F.to_json(F.struct(*df.columns))).alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("bytes"))
-    return g.where(F.col("bytes") > budget)
+def shard_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bytes, gz_bytes): each shard's JSON lines as they are and as gzip of level 9. Lines are compressed per task
+    and shard, one stream each, so no shard is held whole; parts of a shard in several tasks add up."""
+    lines = df.select(*keys, F.to_json(F.struct(*df.columns)).alias("_j"))
+
+    def run(frames):
+        import pandas as pd
+
+        open_: dict = {}
+        for f in frames:
+            for key, part in f.groupby(keys, dropna=False, sort=False):
+                z = open_.setdefault(key, [zlib.compressobj(9, zlib.DEFLATED, 31), 0, 0])
+                data = ("\n".join(part["_j"]) + "\n").encode()
+                z[1] += len(data)
+                z[2] += len(z[0].compress(data))
+        rows = [(*(None if pd.isna(k) else k for k in key), n, m + len(z.flush())) for key, (z, n, m) in open_.items()]
+        yield pd.DataFrame(rows, columns=[*keys, "bytes", "gz_bytes"])
+
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    parts = lines.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"{fields}, bytes bigint, gz_bytes bigint")
+    return parts.groupBy(*keys).agg(F.sum("bytes").alias("bytes"), F.sum("gz_bytes").alias("gz_bytes"))
+
+
+def over_budget(df: DataFrame, keys: list[str], budget: int, gz: bool = True) -> DataFrame:
+    """(keys, bytes, gz_bytes): shards whose JSON exceeds a budget, compressed or as it is."""
+    return shard_sizes(df, keys).where(F.col("gz_bytes" if gz else "bytes") > budget)
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
@@ -62,9 +87,12 @@ def vector_rows(df: DataFrame, key: Column, values: str, meta: list[str]) -> Dat
     return df.select(key.alias("id"), F.col(values).alias("values"), F.struct(*meta).alias("metadata"))
 
 
-def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown, in its own order."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame) -> str:
+    """A table as Markdown, every row, in its own order. A report is read by people: give a table of that size."""
+    rows = df.toLocalIterator()
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)])
+
+
+ship(__name__)

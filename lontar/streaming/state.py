@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,35 +45,81 @@ def refresh(old: DataFrame, events: DataFrame) -> DataFrame:
     return new.unionByName(old.join(stale, "user_id", "left_anti").withColumn("refreshed", F.lit(False)).select(new.columns))
 
 
-class KeyedTable:
-    """A table in versioned Parquet folders, rewritten by each merge and switched by a pointer of the highest complete version."""
+class EventLog:
+    """An append-only log: each batch is a folder of its own, named by its number, written once and never read to append.
+
+    A batch replayed after a failure overwrites its own folder, so nothing is doubled.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        jvm = spark._jvm
-        self._dir = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._dir.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._path = jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> int:
-        if not self._fs.exists(self._dir):
-            return -1
-        names = [s.getPath() for s in self._fs.listStatus(self._dir)]
-        done = [int(p.getName()[1:]) for p in names if p.getName().startswith("v") and self._fs.exists(self._path(p, "_SUCCESS"))]
-        return max(done, default=-1)
+    def append(self, batch: DataFrame, number: int) -> None:
+        batch.select(*self._empty().columns).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self._empty()
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self._empty().columns)
+
+
+class KeyedTable:
+    """A table cut into buckets of its keys. A merge rewrites the buckets that its batch touches; the others stay.
+
+    Each version has a folder per rewritten bucket and a manifest that says, for every bucket, in which version it was
+    written last. Readers take the highest manifest, which is moved into place whole; a version that failed before that
+    is never seen and is written again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str] = KEYS, buckets: int = 64) -> None:
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path.rstrip("/"), schema, keys, buckets
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def version(self) -> int:
+        at = self._path(f"{self.path}/manifests")
+        return max((int(s.getPath().getName()) for s in self._fs.listStatus(at)), default=-1) if self._fs.exists(at) else -1
+
+    def _manifest(self) -> dict[int, tuple[int, int]]:
+        """Bucket -> (version it was written in last, version before that or -1)."""
         v = self.version()
         if v < 0:
+            return {}
+        return {int(b): (int(n), int(p)) for b, n, p in (r.value.split() for r in self.spark.read.text(f"{self.path}/manifests/{v}").collect())}
+
+    def _read(self, where: dict[int, tuple[int, int]]) -> DataFrame:
+        if not where:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
-
-    def replace(self, df: DataFrame, keep: int = 2) -> int:
-        """Writes the next version, then drops those before the last `keep`."""
-        v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        for old in range(max(0, v - keep - 3), v - keep + 1):
-            self._fs.delete(self._path(f"{self.path}/v{old}"), True)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/v{n}/bucket={b}" for b, (n, _) in sorted(where.items())])
+
+    def read(self) -> DataFrame:
+        return self._read(self._manifest())
+
+    def update(self, batch: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        """change(rows of the touched buckets, batch) gives the new rows of those buckets; the new version."""
+        old, v = self._manifest(), self.version() + 1
+        touched = sorted(r.b for r in batch.select(self._bucket().alias("b")).distinct().collect())  # at most `buckets`
+        new = change(self._read({b: n for b, n in old.items() if b in touched}), batch)
+        new.select(*self.spark.createDataFrame([], self.schema).columns).withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{v}")
+        there = {b for b in touched if self._fs.exists(self._path(f"{self.path}/v{v}/bucket={b}"))}
+        now = {b: x for b, x in old.items() if b not in touched} | {b: (v, old[b][0] if b in old else -1) for b in there}
+        draft, place = self._path(f"{self.path}/draft-{v}"), self._path(f"{self.path}/manifests/{v}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray("\n".join(f"{b} {n} {p}" for b, (n, p) in sorted(now.items())).encode()))
+        out.close()
+        self._fs.mkdirs(place.getParent())
+        if not self._fs.rename(draft, place):
+            raise RuntimeError(f"{self.path} has been changed by another writer")
+        for b in touched:  # readers of the version before may still be at work; what that had replaced goes
+            if b in old and old[b][1] >= 0:
+                self._fs.delete(self._path(f"{self.path}/v{old[b][1]}/bucket={b}"), True)
         return v
 
 
@@ -81,18 +127,29 @@ def upsert_stream(source: DataFrame, target: KeyedTable, checkpoint: str, keys:
     """Merges each micro-batch into the table; a batch replayed after a failure gives the same state."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        target.replace(merge(target.read(), batch, keys, order))
+        if not batch.isEmpty():
+            target.update(batch, lambda state, b: merge(state, b, keys, order))
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def profile_stream(source: DataFrame, log: KeyedTable, target: KeyedTable, checkpoint: str, on_error: Callable[[Exception], None] | None = None) -> StreamingQuery:
-    """Appends each micro-batch to the log and refreshes the profiles of its users; if that fails, the old profiles stay."""
+def profile_stream(source: DataFrame, log: EventLog, target: KeyedTable, checkpoint: str, on_error: Callable[[Exception], None] | None = None) -> StreamingQuery:
+    """Appends each micro-batch to the log and refreshes the profiles of its users; if that fails, the old profiles stay.
 
-    def apply(batch: DataFrame, _: int) -> None:
-        log.replace(log.read().unionByName(batch.select(*log.read().columns)).dropDuplicates(["event_id"]))
+    Rows delivered again under an event_id count once, however far apart.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        log.append(batch, number)
         try:
-            target.replace(refresh(target.read(), log.read()).drop("refreshed"))
+            users = batch.select("user_id").distinct()
+
+            def change(old: DataFrame, _: DataFrame) -> DataFrame:
+                own = log.read().join(users, "user_id", "left_semi").dropDuplicates(["event_id"])
+                return refresh(old.join(users, "user_id", "left_semi"), own).drop("refreshed").unionByName(old.join(users, "user_id", "left_anti"))
+
+            if not users.isEmpty():
+                target.update(users, change)
         except Exception as x:  # noqa: BLE001
             if on_error is None:
                 raise

@@ -67,6 +67,8 @@ def test_more_text_functions(spark):
     assert [r[0] for r in df.select(T.stem_reach(F.col("a"), F.col("b"))).collect()] == [True, False, True]
     assert one(spark, lambda c: T.linkify(c, "/q"), "2:7, 1:2:3 (4:5)") == ["[2:7](/q/2/7), 1:2:3 ([4:5](/q/4/5))"]
     assert one(spark, lambda c: T.outside_phrases(c, ["a b", "c d"]), "a b c c d d x") == [["x"]]
+    deep = "a " * 6 + "b " * 6 + "x"  # six rounds
+    assert one(spark, lambda c: T.outside_phrases(c, ["a b"]), deep, None) == [["x"], None]
     assert one(spark, T.failure_class, "Deadline exceeded", "HTTP 429", "x") == ["timeout", "limited", "other"]
     strip = lambda c: T.without_formula(c, "بسم الله", F.lit(True), F.lit(False))
     assert one(spark, strip, "بِسْمِ ٱلله قل هو") == ["قل هو"]
@@ -173,8 +175,8 @@ def test_nearest_blocks(spark):
     g = np.random.default_rng(1).standard_normal((60, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(g)], "id bigint, v array<double>")
     q = df.where("id < 5").select(F.col("id").alias("q_id"), F.col("v").alias("q_vec"))
-    for block in (2, 256):
-        got = {(r.q_id, r.rank): r.b_id for r in J.nearest(q, df.select(F.col("id").alias("b_id"), F.col("v").alias("b_vec")), 3, block).collect()}
+    for cells in (16, 1_000_000):
+        got = {(r.q_id, r.rank): r.b_id for r in J.nearest(q, df.select(F.col("id").alias("b_id"), F.col("v").alias("b_vec")), 3, cells).collect()}
         assert got == {(i, k + 1): int(np.argsort(-(g @ g[i]), kind="stable")[k]) for i in range(5) for k in range(3)}
 
 
@@ -195,6 +197,9 @@ def test_gates_report_all(spark):
     with pytest.raises(Q.IntegrityError, match="u: 1:1 x2"):
         Q.require(v)
     Q.require(v.limit(0))
+    with pytest.raises(Q.IntegrityError) as e:
+        Q.require(Q.rows("many", spark.range(60), F.lit(True), F.col("id")))
+    assert len(str(e.value).splitlines()) == 61
 
 
 def test_guards(spark):

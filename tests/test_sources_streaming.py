@@ -27,6 +27,11 @@ def test_pins(spark, tmp_path):
     with pytest.raises(R.SourceError) as e:
         R.load_pinned(spark, str(tmp_path / "d"), lock)
     assert "changed" in str(e.value) and "unexpected" in str(e.value)
+    assert R.load_pinned(spark, str(tmp_path / "d"), R.repin(spark, str(tmp_path / "d"))).count() == 3
+    many = spark.createDataFrame([(f"file:/none/{i}", "0") for i in range(101)], "path string, sha256 string")
+    with pytest.raises(R.SourceError) as e:
+        R.load_pinned(spark, str(tmp_path / "d"), many)
+    assert str(e.value).count("missing") == 101 and str(e.value).count("unexpected") == 3
     with pytest.raises(R.SourceError):
         R.by_id(R.registry(spark, [{"id": "x"}]), "y")
 
@@ -62,10 +67,11 @@ def test_json(spark, tmp_path):
 def test_dumps_and_mapped_rows(spark, tmp_path):
     paths = [write(tmp_path / f"p/{k}.json", str(k)) for k in (3, 1, 2)]
     assert [r.value for r in R.combined_dump(spark, paths).orderBy("pos").collect()] == ["3", "1", "2"]
+    assert [r.value for r in R.combined_dump(spark, [*paths, f"file://{paths[0]}"][1:]).orderBy("pos").collect()] == ["1", "2", "3"]
     f = R.freshness(spark, str(tmp_path / "p")).first()
     assert f.files == 3 and f.newest is not None
     out = R.mapped(spark.range(20), lambda r: {"id": r["id"], "double": r["id"] * 2}, "id bigint, double bigint", 3)
-    assert {r.id: r.double for r in out.collect()} == {i: 2 * i for i in range(20)} and out.rdd.getNumPartitions() == 3
+    assert [(r.id, r.double) for r in out.collect()] == [(i, 2 * i) for i in range(20)]  # in input order
     u = spark.createDataFrame([("a/b/c-12.md",), ("a",)], "u string").select(R.path_key(F.col("u"), 0, 1), R.path_number(F.col("u"))).collect()
     assert [tuple(r) for r in u] == [("a/b", 12), ("", 0)]
 
@@ -100,7 +106,12 @@ def test_artifacts_do_not_depend_on_order(spark, tmp_path):
     assert a == b and a.rows == 500 and K.artifact("t", df.where("id <> 3")).first().sha256 != a.sha256
     m = K.manifest(spark.createDataFrame([tuple(a), ("u", *tuple(a)[1:])], "name string, sha256 string, bytes bigint, rows bigint")).first()
     assert len(m.version) == 12 and set(m.artifacts) == {"t", "u"}
-    assert K.over_budget(df.withColumn("k", F.col("id") % 2), ["k"], 100).count() == 2
+    assert K.over_budget(df.withColumn("k", F.col("id") % 2), ["k"], 100, gz=False).count() == 2
+    sizes = {r.k: r for r in K.shard_sizes(df.withColumn("k", F.col("id") % 2), ["k"]).collect()}
+    assert all(r.gz_bytes < r.bytes for r in sizes.values()) and K.over_budget(df.withColumn("k", F.col("id") % 2), ["k"], max(r.gz_bytes for r in sizes.values())).count() == 0
+    assert K.shard_sizes(df.withColumn("k", F.lit(None).cast("string")), ["k"]).first().bytes == sum(len(r.j) + 1 for r in df.withColumn("k", F.lit(None).cast("string")).select(F.to_json(F.struct("id", "s", "k")).alias("j")).collect())
+    long = spark.range(1200).select("id", F.lit("x").alias("s"))
+    assert len(K.markdown_table(long.orderBy("id")).splitlines()) == 1202
     assert K.write_shards(df.withColumn("k", F.col("id") % 4), str(tmp_path / "s"), ["k"], 4) == 4
     assert spark.read.json(str(tmp_path / "s")).count() == 500
     with pytest.raises(R.SourceError):
@@ -146,13 +157,32 @@ def test_profiles_and_purge(spark, tmp_path):
     assert S.purge(every, gone, "user_id").where("user_id = 3").count() == 0
     base = every.limit(0).select("user_id", "event_type")
     assert S.insert_or_ignore(base, every, ["user_id"]).count() == 7
-    log = S.KeyedTable(spark, str(tmp_path / "log"), EVENTS)
-    prof = S.KeyedTable(spark, str(tmp_path / "prof"), "user_id bigint, top string, events bigint, last_ts timestamp_ntz")
+    log = S.EventLog(spark, str(tmp_path / "log"), EVENTS)
+    prof = S.KeyedTable(spark, str(tmp_path / "prof"), "user_id bigint, top string, events bigint, last_ts timestamp_ntz", ["user_id"])
+    assert log.read().count() == 0 and prof.read().count() == 0
     every.coalesce(1).write.parquet(str(tmp_path / "in"))
     S.profile_stream(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), log, prof, str(tmp_path / "cp")).awaitTermination(120)
     assert {r.user_id: (r.top, r.events) for r in prof.read().collect()} == {u: (r.top, r.events) for u, r in full.items()}
 
 
+def test_log_and_table_write_only_what_they_must(spark, tmp_path):
+    log = S.EventLog(spark, str(tmp_path / "log"), EVENTS)
+    rows = events(spark, 30)
+    for k in (0, 1, 1, 2):  # batch 1 is replayed
+        log.append(spark.createDataFrame(rows[k * 10 : (k + 1) * 10], EVENTS), k)
+    assert sorted(map(tuple, log.read().collect())) == sorted(rows)
+    t = S.KeyedTable(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], 8)
+    put = lambda rows: t.update(spark.createDataFrame(rows, "k bigint, v bigint"), lambda old, new: S.merge(old, new, ["k"], ["v"]))
+    put([(i, 0) for i in range(40)])
+    for v in (1, 2, 3):
+        put([(5, v)])
+    assert {r.k: r.v for r in t.read().collect()} == {**{i: 0 for i in range(40)}, 5: 3}
+    left = sorted(p.parent.name for p in (tmp_path / "t").glob("v*/bucket=*"))
+    assert left.count("v3") == left.count("v2") == 1 and left.count("v1") == 0  # one bucket a version; the oldest are gone
+    t.update(spark.createDataFrame([(i, 0) for i in range(40)], "k bigint, v bigint"), lambda old, new: old.limit(0))
+    assert t.read().count() == 0 and t.version() == 4
+
+
 def test_windowed_counts(spark, tmp_path):
     spark.createDataFrame(events(spark), EVENTS).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
     schema = EVENTS.replace("timestamp_ntz", "timestamp")
