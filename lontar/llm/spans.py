@@ -1,8 +1,8 @@
 """Long exact spans shared between records, by a log-structured fingerprint index.
 
 Every run of `window` consecutive words has a 64-bit hash. A batch of records becomes one immutable run of the index:
-per hash the lowest and highest record that holds it (aggregated before the shuffle, so wording that a third of all
-records repeat is one row of a task's output), bucketed by hash and sorted. A new batch is merge-joined with each
+per hash the lowest and highest record that holds it (aggregated within Arrow batches before the shuffle, so wording
+that a third of all records repeat is a row per some thousand records), bucketed by hash and sorted. A new batch is merge-joined with each
 earlier run, bucket by bucket and without a shuffle of the runs; a hash is shared if two different records hold it, in
 whichever runs. When the runs exceed `fanout`, they are compacted into one.
 
@@ -79,7 +79,7 @@ def windows(texts: list[str | None], window: int, hashes: WordHashes):
 
 
 def _fingerprints(window: int, positions: bool = False):
-    """Arrow batches (rec, batch or nothing, text) to the windows: (batch, h, rec), or, with positions, (h, rec, pos)."""
+    """Arrow batches (rec, batch or nothing, text) to the windows: (batch, h, lowest and highest rec) of an Arrow batch, or, with positions, (h, rec, pos)."""
 
     def run(batches):
         hashes = WordHashes()
@@ -89,8 +89,13 @@ def _fingerprints(window: int, positions: bool = False):
             if positions:
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rec[text]), pa.array(pos.astype(np.int32))], ["h", "rec", "pos"])
             else:
-                number = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(number[text]), pa.array(h), pa.array(rec[text])], ["batch", "h", "rec"])
+                number = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int32)[text]
+                for k in np.unique(number):
+                    own = np.flatnonzero(number == k)
+                    own = own[np.argsort(h[own], kind="stable")]
+                    first = np.flatnonzero(np.concatenate([[True], h[own[1:]] != h[own[:-1]]]))
+                    r = rec[text[own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(h[own[first]]), pa.array(np.minimum.reduceat(r, first)), pa.array(np.maximum.reduceat(r, first))], ["batch", "h", "lo", "hi"])
 
     return run
 
@@ -202,7 +207,7 @@ class SpanIndex:
     def _write(self, summary: DataFrame, by: list[str]) -> str:
         """The folder of a run, or, by batch, of the folders of several; the table is only the way to write buckets."""
         name = f"lontar_spans_{uuid.uuid4().hex[:12]}"
-        w = summary.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").option("compression", "zstd")
+        w = summary.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").option("compression", "zstd")
         try:
             (w.partitionBy(*by) if by else w).saveAsTable(name)
         finally:
@@ -218,9 +223,9 @@ class SpanIndex:
         finally:
             self._names = [*getattr(self, "_names", []), name]
 
-    def _summary(self, rows: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
-        """hi is null where one record holds the hash."""
-        g = rows.groupBy(*keys, "h").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    def _summary(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """One row a hash, in the partition of its bucket; hi is null where one record holds it. One shuffle serves both."""
+        g = rows.repartition(self.buckets, "h").groupBy(*keys, "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         return g.select("h", "lo", F.when(F.col("hi") > F.col("lo"), F.col("hi")).alias("hi"), *keys)
 
     def append(self, records: DataFrame) -> DataFrame:
@@ -229,8 +234,8 @@ class SpanIndex:
 
     def extend(self, records: DataFrame) -> DataFrame:
         """records(rec BIGINT, batch INT, text), read once. (h): hashes shared within any batch, with an earlier one or a run."""
-        rows = records.where("rec IS NOT NULL AND text IS NOT NULL").select("rec", "batch", "text").mapInArrow(_fingerprints(self.window), "batch int, h bigint, rec bigint")
-        folder = self._write(self._summary(rows, ["batch"], "rec", "rec"), ["batch"])
+        rows = records.where("rec IS NOT NULL AND text IS NOT NULL").select("rec", "batch", "text").mapInArrow(_fingerprints(self.window), "batch int, h bigint, lo bigint, hi bigint")
+        folder = self._write(self._summary(rows, ["batch"]), ["batch"])
         path = self._jvm.Path(f"{self.root}/{folder}")
         new = sorted((int(f.getPath().getName().split("=")[1]), f"{folder}/{f.getPath().getName()}") for f in self._fs.listStatus(path) if f.getPath().getName().startswith("batch="))
         shared = self.spark.createDataFrame([], "h bigint")
@@ -256,7 +261,7 @@ class SpanIndex:
         for name in self.runs:
             r = self.run(name).select("h", "lo", F.coalesce("hi", "lo").alias("hi"))
             rows = r if rows is None else rows.unionByName(r)
-        merged, old = self._write(self._summary(rows, [], "lo", "hi"), []), self.runs
+        merged, old = self._write(self._summary(rows, []), []), self.runs
         self._commit([merged])
         self.close()
         for name in old:
