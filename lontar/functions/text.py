@@ -22,6 +22,7 @@ STOP_WORDS = (
     "kamu kami mereka dia nya ia aku saya kita telah sudah lebih hanya karena bahwa apa saja sangat sekali antara serta "
     "ada tiap setiap"
 ).split()
+STEM_ENDINGS = ("kan", "nya", "lah", "an", "i")
 ARABIC_MARKS = "[\\x{0610}-\\x{061A}\\x{064B}-\\x{065F}\\x{0670}\\x{0640}]"
 ARABIC_SAME = ("أإآٱىة", "اااايه")
 
@@ -95,6 +96,11 @@ def affix_forms(w: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(out, one, two)))
 
 
+def suffix_forms(w: Column) -> Column:
+    """The word, and without each suffix that leaves at least 4 characters, in the order of the list."""
+    return F.array_compact(F.array(w, *[F.when(w.endswith(s) & (F.length(w) >= len(s) + 4), F.substr(w, F.lit(1), F.length(w) - len(s))) for s in STEM_ENDINGS]))
+
+
 def stem_reach(asked: Column, written: Column) -> Column:
     """Equal, or the asked word of 4 characters and more begins the written one."""
     return (asked == written) | ((F.length(asked) >= 4) & written.startswith(asked))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lontar.functions import text as T
 from lontar.operators.windows import top_n
-from lontar.util import ship
+from lontar.util import cut, ship
 
 
 def phrase_matches(texts: DataFrame, key: str, phrases: DataFrame, phrase: str) -> DataFrame:
@@ -90,14 +90,70 @@ def inverted_index(entries: DataFrame, stop: list[str], broad_above: int = 3) ->
     return i.select("word", F.when(F.size("l") > broad_above, "broad").otherwise("narrow").alias("tier"), F.col("l.slug").alias("slugs"), F.size("l").alias("n_slugs"))
 
 
-def route(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """(q_id, slug, votes): the category most words of a question point to; ties to the earlier word, then to its stronger category.
+def with_variants(words: Column, synonyms: dict[str, str]) -> Column:
+    """Of one word: itself and the word it is also called by."""
+    if not synonyms:
+        return F.array(words)
+    m = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
+    return F.array_compact(F.array(words, F.try_element_at(m, words)))
 
-    The tier of a word is its own: a broad word votes beside narrow ones.
+
+def reached_keys(forms: DataFrame, keys: DataFrame, group: list[str]) -> DataFrame:
+    """(form, *group, kind, key): per asked form and group of keys(key, *group) the key that equals it (kind 0), else, of a
+    form of 4 characters and more, the first key it begins (kind 1). Keys meet forms by their prefixes, in equi-joins."""
+    asked = forms.select("form").distinct()
+    same = keys.join(asked, F.col("key") == F.col("form")).select("form", *group, F.lit(0).alias("kind"), "key")
+    k = keys.where(F.length("key") > 4).withColumn("form", F.explode(F.transform(F.sequence(F.lit(4), F.length("key") - 1), lambda n: F.left(F.col("key"), n))))
+    longer = k.join(asked, "form", "left_semi").groupBy("form", *group).agg(F.min("key").alias("key")).select("form", *group, F.lit(1).alias("kind"), "key")
+    return same.unionByName(longer)
+
+
+def holders(words: DataFrame, index: DataFrame, synonyms: dict[str, str]) -> DataFrame:
+    """(word, slugs): the categories that hold a word. Its naming variants are tried with and without a suffix, in that
+    order, each equal or as a beginning; the narrow tier goes before the broad one, word by word. Absent words are left out."""
+    forms = words.select("word").distinct().select("word", F.posexplode(F.flatten(F.transform(with_variants(F.col("word"), synonyms), T.suffix_forms))).alias("no", "form"))
+    keys = index.select(F.col("word").alias("key"), F.when(F.col("tier") == "narrow", 0).otherwise(1).alias("tier"))
+    found = forms.join(reached_keys(forms, keys, ["tier"]), "form").groupBy("word").agg(F.min(F.struct("tier", "no", "kind", "key")).alias("m"))
+    return found.select("word", F.col("m.key").alias("key")).join(index.select(F.col("word").alias("key"), "slugs"), "key").select("word", "slugs")
+
+
+def subject_words(questions: DataFrame, stop: list[str]) -> DataFrame:
+    """(q_id, no, word): the distinct words of a question, in order, that are longer than 2 characters and no stop words."""
+    kept = F.filter(F.array_distinct(T.words_of(F.col("text"))), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+    return questions.select("q_id", F.posexplode(kept).alias("no", "word"))
+
+
+def alias_scores(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(q_id, slug, score, grounded): the category with most aliases in a question, the first by `ord` if several have.
+
+    aliases(ord, slug, alias, frame): an alias of one word meets any affix form of a word, others as phrases; grounded
+    tells whether one of them names a subject and not only the kind of question (frame).
+    """
+    words = questions.select("q_id", F.explode(F.array_distinct(F.flatten(F.transform(T.words_of(F.col("text")), T.affix_forms)))).alias("alias"))
+    single = words.join(aliases.where(~F.contains("alias", F.lit(" "))), "alias").select("q_id", "ord", "slug", "alias", "frame")
+    several = phrase_matches(questions.select("q_id", "text"), "q_id", aliases.where(F.contains("alias", F.lit(" "))), "alias").select("q_id", "ord", "slug", "alias", "frame")
+    g = single.unionByName(several).distinct().groupBy("q_id", "slug").agg(F.count("*").alias("score"), F.min("ord").alias("ord"), F.max(~F.col("frame")).alias("grounded"))
+    return top_n(g, ["q_id"], [F.col("score").desc(), F.col("ord")], 1).select("q_id", "slug", "score", "grounded")
+
+
+def route(questions: DataFrame, index: DataFrame, aliases: DataFrame, stop: list[str], synonyms: dict[str, str]) -> DataFrame:
+    """(q_id, slug, how): the category of a question; questions without one are left out.
+
+    grounded: the alias category, if an alias names a subject. Else, if every subject word is held by some category:
+    kept, the alias category if it holds one of them; votes, the category most subject words point to, ties to the
+    earlier word, then to its stronger category. Else alias, the alias category.
     """
-    w = questions.select("q_id", F.posexplode(T.word_set(F.col("text"))).alias("_i", "word")).join(index, "word")
-    v = w.select("q_id", "_i", F.posexplode("slugs").alias("_j", "slug")).groupBy("q_id", "slug").agg(F.count("*").alias("votes"), F.min(F.struct("_i", "_j")).alias("_first"))
-    return top_n(v, ["q_id"], [F.col("votes").desc(), F.col("_first")], 1).select("q_id", "slug", "votes")
+    best = alias_scores(questions, aliases)
+    w = subject_words(questions, stop)
+    w = w.join(holders(w, index, synonyms), "word", "left")
+    cover = w.groupBy("q_id").agg(F.bool_and(F.col("slugs").isNotNull()).alias("covered"))
+    v = w.select("q_id", "no", F.posexplode("slugs").alias("at", "slug")).groupBy("q_id", "slug").agg(F.count("*").alias("votes"), F.min(F.struct("no", "at")).alias("first"))
+    winner = top_n(v, ["q_id"], [F.col("votes").desc(), F.col("first")], 1).select("q_id", F.col("slug").alias("winner"))
+    held = v.select("q_id", "slug", F.lit(True).alias("held"))
+    j = cover.join(winner, "q_id", "left").join(best, "q_id", "full_outer").join(held, ["q_id", "slug"], "left")
+    covered = F.coalesce("covered", F.lit(False))
+    how = F.when(F.col("grounded"), "grounded").when(covered & F.col("held"), "kept").when(covered & F.col("winner").isNotNull(), "votes").when(F.col("slug").isNotNull(), "alias")
+    return j.select("q_id", F.when(how == "votes", F.col("winner")).otherwise(F.col("slug")).alias("slug"), how.alias("how")).where("how IS NOT NULL")
 
 
 def pinned(questions: DataFrame, pins: DataFrame, known: DataFrame) -> DataFrame:
@@ -105,19 +161,31 @@ def pinned(questions: DataFrame, pins: DataFrame, known: DataFrame) -> DataFrame
     return phrase_matches(questions.select("q_id", "text"), "q_id", pins, "phrase").select("q_id", "ref", "ord").join(known.select("ref").distinct(), "ref", "left_semi").distinct()
 
 
-def rank_entries(questions: DataFrame, entries: DataFrame, routes: DataFrame, k: int) -> DataFrame:
-    """(q_id, entry_id, score, rank): entries by matched question words, those of the routed category first; each verse once.
+def rank_entries(questions: DataFrame, entries: DataFrame, routes: DataFrame, index: DataFrame, stop: list[str], frame: list[str], synonyms: dict[str, str], k: int) -> DataFrame:
+    """(q_id, entry_id, score, borrowed, rank): the k best entries of each routed question; each verse once.
 
-    entries(entry_id, slug, verse, text), routes(q_id, slug). As in the reference, an entry without a first reference
-    (verse null) counts in the index but is not ranked.
+    entries(entry_id, slug, verse, text), routes(q_id, slug). An entry scores one for each content word of the question
+    that it holds, under a naming variant, as it stands or as the beginning of a word; words of the category's own name
+    do not count. Candidates are the entries of the routed category and of those that hold a subject word (one that is
+    no frame word). An entry must match a subject word, where the question has one; and if none of the routed category
+    does, nothing is borrowed either. An entry without a first reference (verse null) is not ranked.
     """
-    q = questions.select("q_id", F.explode(T.word_set(F.col("text"))).alias("word")).where(F.length("word") >= 4)
-    e = entries.where("verse IS NOT NULL").select("entry_id", "slug", "verse", F.explode(T.word_set(F.col("text"))).alias("word"))
-    s = e.join(q, "word").groupBy("q_id", "entry_id", "slug", "verse").agg(F.count("*").alias("score"))
-    s = s.join(routes.select("q_id", F.col("slug").alias("_own")), "q_id").withColumn("borrowed", F.when(F.col("slug") == F.col("_own"), 0).otherwise(1)).drop("_own")
-    order = lambda: [F.col("score").desc(), F.col("borrowed"), F.col("entry_id")]
-    once = s.groupBy("q_id", "verse").agg(F.min_by(F.struct("entry_id", "score", "borrowed"), F.struct(-F.col("score"), "borrowed", "entry_id")).alias("m")).select("q_id", "m.*")
-    return top_n(once, ["q_id"], order(), k).select("q_id", "entry_id", "score", "borrowed", "rank")
+    q = subject_words(questions, stop).join(routes.select("q_id", F.col("slug").alias("own")), "q_id").where(~F.array_contains(F.split("own", "-"), F.col("word")))
+    q = q.select("q_id", "own", "word", (~F.col("word").isin(*frame)).alias("subject"))
+    q = cut(q.join(q.groupBy("q_id").agg(F.max("subject").alias("has_subject")), "q_id"))
+    asked = q.where("subject")
+    pools = asked.join(holders(asked, index, synonyms), "word").select("q_id", F.explode("slugs").alias("slug")).unionByName(routes.select("q_id", "slug")).distinct()
+    qp = q.join(pools, "q_id").select("q_id", "slug", "word", F.when(F.col("slug") == F.col("own"), 0).otherwise(1).alias("borrowed"), (F.col("subject") | ~F.col("has_subject")).alias("on"))
+    e = entries.where("verse IS NOT NULL").select("entry_id", "slug", "verse", F.explode(F.array_distinct(T.words_of(F.col("text")))).alias("key"))
+    forms = q.select("word").distinct().select("word", F.explode(with_variants(F.col("word"), synonyms)).alias("form"))
+    vocabulary = e.select("key").distinct()
+    prefix = F.explode(F.array_distinct(F.concat(F.array("key"), F.when(F.length("key") > 4, F.transform(F.sequence(F.lit(4), F.greatest(F.length("key") - 1, F.lit(4))), lambda n: F.left(F.col("key"), n))).otherwise(F.array().cast("array<string>")))))
+    reach = vocabulary.select("key", prefix.alias("form")).join(forms, "form").select("word", "key").distinct()
+    hit = e.join(reach, "key").select("entry_id", "slug", "verse", "word").distinct().join(qp, ["slug", "word"])
+    s = hit.groupBy("q_id", "entry_id", "verse").agg(F.count("*").alias("score"), F.max("on").alias("on"), F.max("borrowed").alias("borrowed")).where("on").drop("on")
+    once = s.groupBy("q_id", "verse").agg(F.min_by(F.struct("entry_id", "score", "borrowed"), F.struct(-F.col("score"), "borrowed", "entry_id")).alias("m"), F.min("borrowed").alias("least"))
+    backed = once.where("least = 0").select("q_id").distinct()
+    return top_n(once.join(backed, "q_id", "left_semi").select("q_id", "m.*"), ["q_id"], [F.col("score").desc(), F.col("borrowed"), F.col("entry_id")], k).select("q_id", "entry_id", "score", "borrowed", "rank")
 
 
 def dense(top: DataFrame, records: DataFrame, rerank: Callable[[DataFrame], DataFrame], k: int, shown: int) -> DataFrame:

@@ -12,12 +12,16 @@ from lontar.operators import similarity as S
 from lontar.operators.joins import nearest
 from lontar.operators.nested import flat_tables
 from lontar.plans.nested import TREE_SQL
-from lontar.plans.text import _NORM, _SET, _STEM0
-from lontar.util import table
+from lontar.plans.text import _BODY, _NORM, _SET, _STEM0, _sql_suffix
+from lontar.util import cut, table
 
 PINS = [("sebelum", 1, "2:7"), ("sebelum", 2, "7:41"), ("patience", 1, "2:7"), ("sungguh", 1, "999:1"), ("sungguh", 2, "65:26")]
 AREAS = [("niaga", "pasar"), ("niaga", "upah"), ("niaga", "harta"), ("niaga", "membeli"), ("ibadah", "puasa"), ("ibadah", "zakat"), ("ibadah", "salat"), ("keluarga", "ibu"), ("keluarga", "yatim"), ("keluarga", "suami"), ("keluarga", "keluarga")]
 LEXICON = [("dagang", "pasar"), ("dagang", "harta"), ("dagang", "upah"), ("sabar", "kesabaran"), ("sabar", "patience"), ("sabar", "perdamaian"), ("alam", "laut"), ("alam", "sungai"), ("alam", "gunung"), ("alam", "di negeri jauh"), ("alam", "waktu fajar"), ("keluarga", "yatim"), ("keluarga", "suami")]
+#: (category, alias, whether it only names the kind of question)
+ALIASES = [("perintah-dan-larangan", "hukumnya apabila", True), ("amanah-satuh", "amanah", False), ("amanah-satuh", "janji", False), ("adab-sehasim", "hukum", True), ("adab-dan-hakim", "hakim", False), ("dagang-hurit", "orang lemah", False), ("dagang-hurit", "harta", False), ("akhlak-dewobin", "penjelasan", True)]
+NAMING = {"counsel": "nasihat", "season": "musim", "nasihat": "wasiat"}
+FRAMES = ["apakah", "bagaimana", "mengapa", "dikatakan", "penjelasan", "hukumnya", "apabila", "what", "explain", "why"]
 SPEECH, VERDICTS, DEFER = ["menurut", "berkata"], ["janganlah", "wajib"], ["bukankah", "mungkin"]
 CRISIS = ["binasa", "gelap", "gelisah", "hina"]
 
@@ -63,10 +67,12 @@ def lexicon_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries with a text; their id is the struct of their keys, so none can collide."""
     t = flat_tables(table(spark, d, "peta_shards"), ("slug",))
-    first = t["refs"].where("ref_no = 0").select("shard_id", "subtopic_no", "entry_no", F.concat_ws(":", "surah", "ayah").alias("verse"))
-    e = t["entries"].where("text IS NOT NULL").join(t["shards"].select("shard_id", "slug"), "shard_id").join(first, ["shard_id", "subtopic_no", "entry_no"], "left")
-    return e.select((F.col("shard_id") * 1_000_000 + F.col("subtopic_no") * 1000 + F.col("entry_no")).alias("entry_id"), "slug", "verse", "text")
+    keys = ["shard_id", "subtopic_no", "entry_no"]
+    first = t["refs"].where("ref_no = 0").select(*keys, F.concat_ws(":", "surah", "ayah").alias("verse"))
+    e = t["entries"].where("text IS NOT NULL").join(t["shards"].select("shard_id", "slug"), "shard_id").join(first, keys, "left")
+    return cut(e.select(F.struct(*keys).alias("entry_id"), "slug", "verse", "text"))
 
 
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
@@ -74,15 +80,21 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     return i.select("word", "tier", F.array_join("slugs", ",").alias("slugs"), "n_slugs")
 
 
+def _aliases(spark: SparkSession) -> DataFrame:
+    return _rows(spark, [(i, *x) for i, x in enumerate(ALIASES)], "ord bigint, slug string, alias string, frame boolean")
+
+
 def two_tier_route(spark: SparkSession, d: str) -> DataFrame:
-    return R.route(_questions(spark, d), R.inverted_index(_entries(spark, d), T.STOP_WORDS))
+    index = cut(R.inverted_index(_entries(spark, d), T.STOP_WORDS))
+    return R.route(_questions(spark, d), index, _aliases(spark), [*T.STOP_WORDS, *FRAMES], NAMING)
 
 
 def entry_ranking(spark: SparkSession, d: str) -> DataFrame:
-    e = _entries(spark, d)
-    routes = R.route(_questions(spark, d), R.inverted_index(e, T.STOP_WORDS))
-    r = R.rank_entries(_questions(spark, d), e, routes, 8)
-    return r.select("q_id", "entry_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    e, q = _entries(spark, d), _questions(spark, d)
+    index = cut(R.inverted_index(e, T.STOP_WORDS))
+    routes = cut(R.route(q, index, _aliases(spark), [*T.STOP_WORDS, *FRAMES], NAMING))
+    r = R.rank_entries(q, e, routes, index, T.STOP_WORDS, FRAMES, NAMING, 8)
+    return r.select("q_id", "entry_id.*", "score", "borrowed", F.col("rank").cast("bigint").alias("rank"))
 
 
 def curated_pins(spark: SparkSession, d: str) -> DataFrame:
@@ -237,19 +249,51 @@ def _stems(source: str, key: str) -> str:
 
 
 _ENTRIES = TREE_SQL + """, verses AS (SELECT shard_id, subtopic_no, entry_no, concat_ws(':', surah, ayah) AS verse FROM refs WHERE ref_no = 0),
-en AS (SELECT e.shard_id * 1000000 + e.subtopic_no * 1000 + e.entry_no AS entry_id, e.slug, v.verse, e.text FROM (SELECT shard_id, slug, subtopic_no, entry_no, l[entry_no + 1]->>'$.text' AS text FROM e1 WHERE entry_no >= 0) e JOIN verses v USING (shard_id, subtopic_no, entry_no) WHERE e.text IS NOT NULL),
+en AS (SELECT e.shard_id, e.subtopic_no, e.entry_no, e.slug, v.verse, e.text FROM (SELECT shard_id, slug, subtopic_no, entry_no, l[entry_no + 1]->>'$.text' AS text FROM e1 WHERE entry_no >= 0) e LEFT JOIN verses v USING (shard_id, subtopic_no, entry_no) WHERE e.text IS NOT NULL),
 ew AS (SELECT slug, unnest(""" + _SET.format("text") + f""") AS word FROM en), own AS (SELECT DISTINCT unnest(string_split(slug, '-')) AS word FROM en),
-ix AS (SELECT word, slug, count(*) AS n FROM ew WHERE length(word) >= 4 AND word NOT IN {_STOP} AND word NOT IN (SELECT word FROM own) GROUP BY 1, 2 HAVING count(*) >= 2),
-idx AS (SELECT word, list(slug ORDER BY n DESC, slug) AS slugs FROM ix GROUP BY 1),
-qw AS (SELECT item_id AS q_id, unnest(""" + _SET.format("text") + """) AS word FROM eval_items),
-qi AS (SELECT q_id, idx.word, slugs, CASE WHEN len(slugs) > 3 THEN 1 ELSE 0 END AS broad FROM qw JOIN idx USING (word)),
-qv AS (SELECT q_id, unnest(slugs[:12]) AS slug FROM (SELECT *, min(broad) OVER (PARTITION BY q_id) AS m FROM qi) WHERE m = 1 OR broad = 0),
-rt AS (SELECT q_id, slug, count(*) AS votes FROM qv GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY count(*) DESC, slug) = 1)
+ix AS (SELECT word, slug, count(*) AS n FROM ew WHERE length(word) >= 4 AND word NOT IN {_STOP} AND word NOT IN (SELECT word FROM own) GROUP BY 1, 2),
+idx AS (SELECT word, list(slug ORDER BY n DESC, slug) AS slugs, CASE WHEN count(*) > 3 THEN 1 ELSE 0 END AS tier FROM ix GROUP BY 1)
+"""
+
+_FRAMED = "(" + ", ".join(f"'{w}'" for w in [*T.STOP_WORDS, *FRAMES]) + ")"
+_FRAME = "(" + ", ".join(f"'{w}'" for w in FRAMES) + ")"
+_VARIANTS = f"naming AS (SELECT * FROM {_values(list(NAMING.items()))} t(word, other))"
+_STEMMED = "list_filter([v" + "".join(f", CASE WHEN ends_with(v, '{x}') AND length(v) >= {len(x) + 4} THEN left(v, length(v) - {len(x)}) END" for x in T.STEM_ENDINGS) + "], lambda x: x IS NOT NULL)"
+_AFFIXED = "f0 AS (SELECT DISTINCT word, word AS x FROM qall UNION SELECT word, " + _BODY + " FROM qall), f1 AS (SELECT word, x, " + _sql_suffix("x") + " AS y FROM f0), f2 AS (SELECT word, x, y, " + _sql_suffix("y") + " AS z FROM f1), ff AS (SELECT word, x AS form FROM f2 UNION SELECT word, y FROM f2 UNION SELECT word, z FROM f2)"
+
+
+def _holders(name: str, words: str) -> str:
+    """The SQL of holders(): CTE `name` (word, slugs) of the words of a CTE."""
+    return f"""{name}_v AS (SELECT w.word, 0 AS vn, w.word AS v FROM (SELECT DISTINCT word FROM {words}) w UNION ALL SELECT w.word, 1, other FROM (SELECT DISTINCT word FROM {words}) w JOIN naming USING (word)),
+{name}_f AS (SELECT word, vn, generate_subscripts(l, 1) AS sn, unnest(l) AS form FROM (SELECT word, vn, {_STEMMED} AS l FROM {name}_v)),
+{name}_r AS (SELECT form, tier, 0 AS kind, idx.word AS key FROM (SELECT DISTINCT form FROM {name}_f) JOIN idx ON idx.word = form UNION ALL
+  SELECT form, tier, 1, min(idx.word) FROM (SELECT DISTINCT form FROM {name}_f WHERE length(form) >= 4) JOIN idx ON starts_with(idx.word, form) AND idx.word <> form GROUP BY 1, 2),
+{name} AS (SELECT k.word, idx.slugs FROM (SELECT word, arg_min(key, (tier, vn, sn, kind, key)) AS key FROM {name}_f JOIN {name}_r USING (form) GROUP BY 1) k JOIN idx ON idx.word = k.key)"""
+
+
+_ROUTES = _ENTRIES + f""", {_VARIANTS}, qn AS (SELECT item_id AS q_id, {_NORM.format('text')} AS n FROM eval_items WHERE text IS NOT NULL),
+qh AS (SELECT q_id, list_filter(regexp_split_to_array(n, '[ -]'), lambda x: x <> '') AS w FROM qn),
+qall AS (SELECT DISTINCT q_id, unnest(w) AS word FROM qh),
+al AS (SELECT * FROM {_values([(i, *x) for i, x in enumerate(ALIASES)])} t(ord, slug, alias, frame)),
+{_AFFIXED},
+ah AS (SELECT DISTINCT q_id, ord, slug, alias, frame FROM qall JOIN ff USING (word) JOIN al ON al.alias = ff.form WHERE NOT contains(alias, ' ')
+  UNION SELECT q_id, ord, slug, alias, frame FROM qn, al WHERE contains(alias, ' ') AND regexp_matches(' ' || n || ' ', ' ' || alias || '(?:{_ENDS})? ')),
+ag AS (SELECT q_id, slug, count(*) AS score, bool_or(NOT frame) AS grounded FROM ah GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY count(*) DESC, min(ord)) = 1),
+qw AS (SELECT q_id, word, row_number() OVER (PARTITION BY q_id ORDER BY i) AS no FROM (SELECT q_id, x.word, x.i FROM (SELECT q_id, unnest(list_transform(w, lambda v, i: {{'word': v, 'i': i}})) AS x FROM qh)) WHERE length(word) > 2 AND word NOT IN {_FRAMED} QUALIFY row_number() OVER (PARTITION BY q_id, word ORDER BY i) = 1),
+{_holders("hd", "qw")},
+qc AS (SELECT q_id, no, qw.word, slugs FROM qw LEFT JOIN hd USING (word)),
+cv AS (SELECT q_id, bool_and(slugs IS NOT NULL) AS covered FROM qc GROUP BY 1),
+vt AS (SELECT q_id, slug, count(*) AS votes, min(no * 100000 + pos) AS first FROM (SELECT q_id, no, unnest(slugs) AS slug, generate_subscripts(slugs, 1) AS pos FROM qc WHERE slugs IS NOT NULL) GROUP BY 1, 2),
+wn AS (SELECT q_id, slug AS winner FROM vt QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY votes DESC, first) = 1),
+rj AS (SELECT coalesce(cv.q_id, ag.q_id) AS q_id, ag.slug, grounded, coalesce(covered, false) AS covered, winner, vt.votes IS NOT NULL AS held FROM cv LEFT JOIN wn USING (q_id) FULL JOIN ag USING (q_id) LEFT JOIN vt ON vt.q_id = ag.q_id AND vt.slug = ag.slug),
+rh AS (SELECT *, CASE WHEN grounded THEN 'grounded' WHEN covered AND held THEN 'kept' WHEN covered AND winner IS NOT NULL THEN 'votes' WHEN slug IS NOT NULL THEN 'alias' END AS how FROM rj),
+rt AS (SELECT q_id, CASE WHEN how = 'votes' THEN winner ELSE slug END AS slug, how FROM rh WHERE how IS NOT NULL)
 """
 
 SQL = {
-    "lexical_top2": f"""WITH w AS (SELECT doc_id, source, unnest({_SET.format('text')}) AS word FROM documents WHERE text IS NOT NULL), rare AS (SELECT word FROM w GROUP BY 1 HAVING count(DISTINCT source) <= 3),
-      q AS (SELECT item_id AS q_id, unnest({_SET.format('text')}) AS word FROM eval_items), s AS (SELECT q_id, doc_id, count(*) AS score FROM q JOIN rare USING (word) JOIN w USING (word) GROUP BY 1, 2)
+    "lexical_top2": f"""WITH w AS (SELECT doc_id, source, unnest({_SET.format('text')}) AS word FROM documents WHERE text IS NOT NULL), b AS (SELECT word, count(DISTINCT source) > 3 AS broad FROM w GROUP BY 1),
+      q0 AS (SELECT item_id AS q_id, unnest({_SET.format('text')}) AS word FROM eval_items), q1 AS (SELECT q_id, word, broad, min(broad::INT) OVER (PARTITION BY q_id) AS least FROM q0 JOIN b USING (word)), q AS (SELECT q_id, word FROM q1 WHERE broad::INT = least),
+      s AS (SELECT q_id, doc_id, count(*) AS score FROM q JOIN w USING (word) GROUP BY 1, 2)
       SELECT q_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 2""",
     "lexicon_hits": f"WITH {_LEX}, {_hits('h', 'eval_items', 'item_id')} SELECT q_id, theme, array_to_string(terms, ',') AS terms FROM h",
     "lexicon_scores": f"""WITH {_LEX}, {_hits('h', 'eval_items', 'item_id')}, {_hits('g', 'documents', 'doc_id')},
@@ -258,12 +302,22 @@ SQL = {
       qs AS (SELECT item_id AS q_id, list_filter({_SET.format('text')}, lambda x: length(x) > 3 AND x NOT IN {_STOP}) AS l FROM eval_items), ds AS (SELECT doc_id, list_filter({_SET.format('text')}, lambda x: length(x) > 3 AND x NOT IN {_STOP}) AS r FROM documents),
       s AS (SELECT q_id, doc_id, (base + 2 * len(list_intersect(l, r)))::BIGINT AS score FROM m JOIN qs USING (q_id) JOIN ds USING (doc_id))
       SELECT q_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 2""",
-    "inverted_index": _ENTRIES + "SELECT word, CASE WHEN len(slugs) > 3 THEN 'broad' ELSE 'narrow' END AS tier, array_to_string(slugs[:12], ',') AS slugs, len(slugs) AS n_slugs FROM idx",
-    "two_tier_route": _ENTRIES + "SELECT q_id, slug, votes FROM rt",
-    "entry_ranking": _ENTRIES
-    + f""", xe AS (SELECT entry_id, slug, verse, unnest({_SET.format('text')}) AS word FROM en), xs AS (SELECT q.q_id, x.entry_id, x.slug, x.verse, count(*) AS score FROM xe x JOIN qw q ON q.word = x.word WHERE length(q.word) >= 4 GROUP BY 1, 2, 3, 4),
-      xb AS (SELECT xs.*, CASE WHEN xs.slug = rt.slug THEN 0 ELSE 1 END AS borrowed FROM xs JOIN rt USING (q_id)), xo AS (SELECT * FROM xb QUALIFY row_number() OVER (PARTITION BY q_id, verse ORDER BY score DESC, borrowed, entry_id) = 1)
-      SELECT q_id, entry_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, borrowed, entry_id) AS rank FROM xo QUALIFY rank <= 8""",
+    "inverted_index": _ENTRIES + "SELECT word, CASE WHEN tier = 1 THEN 'broad' ELSE 'narrow' END AS tier, array_to_string(slugs, ',') AS slugs, len(slugs) AS n_slugs FROM idx",
+    "two_tier_route": _ROUTES + "SELECT q_id, slug, how FROM rt",
+    "entry_ranking": _ROUTES
+    + f""", q1 AS (SELECT DISTINCT qall.q_id, rt.slug AS own, word, word NOT IN {_FRAME} AS subject FROM qall JOIN rt USING (q_id) WHERE length(word) > 2 AND word NOT IN {_STOP} AND NOT list_contains(string_split(rt.slug, '-'), word)),
+q2 AS (SELECT *, bool_or(subject) OVER (PARTITION BY q_id) AS has_subject FROM q1), qa AS (SELECT * FROM q2 WHERE subject),
+{_holders("ha", "qa")},
+pl AS (SELECT q_id, unnest(slugs) AS slug FROM qa JOIN ha USING (word) UNION SELECT q_id, slug FROM rt),
+qp AS (SELECT q2.q_id, pl.slug, word, CASE WHEN pl.slug = own THEN 0 ELSE 1 END AS borrowed, subject OR NOT has_subject AS onto FROM q2 JOIN pl USING (q_id)),
+xe AS (SELECT DISTINCT shard_id, subtopic_no, entry_no, slug, verse, unnest(list_filter(regexp_split_to_array({_NORM.format('text')}, '[ -]'), lambda x: x <> '')) AS key FROM en WHERE verse IS NOT NULL),
+vf AS (SELECT DISTINCT word, word AS form FROM q2 UNION SELECT word, other FROM (SELECT DISTINCT word FROM q2) JOIN naming USING (word)),
+rx AS (SELECT DISTINCT word, key FROM (SELECT DISTINCT key FROM xe) JOIN vf ON key = form OR (length(form) >= 4 AND starts_with(key, form))),
+xh AS (SELECT DISTINCT shard_id, subtopic_no, entry_no, slug, verse, word FROM xe JOIN rx USING (key)),
+xs AS (SELECT q_id, shard_id, subtopic_no, entry_no, verse, count(*) AS score, max(borrowed) AS borrowed FROM xh JOIN qp USING (slug, word) GROUP BY 1, 2, 3, 4, 5 HAVING bool_or(onto)),
+xb AS (SELECT * FROM xs WHERE q_id IN (SELECT q_id FROM xs WHERE borrowed = 0)),
+xo AS (SELECT * FROM xb QUALIFY row_number() OVER (PARTITION BY q_id, verse ORDER BY score DESC, borrowed, shard_id, subtopic_no, entry_no) = 1)
+SELECT q_id, shard_id, CAST(subtopic_no AS INT) AS subtopic_no, CAST(entry_no AS INT) AS entry_no, score, CAST(borrowed AS INT) AS borrowed, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, borrowed, shard_id, subtopic_no, entry_no) AS rank FROM xo QUALIFY rank <= 8""",
     "curated_pins": f"SELECT DISTINCT item_id AS q_id, p.ref, p.ord::BIGINT AS ord FROM eval_items, {_values(PINS)} p(phrase, ord, ref) WHERE regexp_matches({_PAD.format('text')}, ' ' || phrase || '(?:{_ENDS})? ') AND p.ref IN (SELECT ref FROM documents WHERE ref IS NOT NULL)",
     "dense_pipeline": """WITH q AS (SELECT vec_id AS q_id, embedding AS q_vec FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q_id, vec_id AS b_id, label, list_dot_product(CAST(q_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings),
       t AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, b_id) AS rank FROM s QUALIFY rank <= 50), f AS (SELECT *, round(score, 1) - (b_id % 5) * 0.5 AS new_score FROM t WHERE label <> 0 AND b_id % 7 <> 3)
@@ -277,7 +331,7 @@ SQL = {
       qg AS (SELECT item_id, i AS qi, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 5)) AS i FROM q)), tg AS (SELECT doc_id, i AS ti, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 5)) AS i FROM t)),
       m AS (SELECT DISTINCT item_id, doc_id, ti - qi AS d, qi FROM qg JOIN tg USING (g)), r AS (SELECT *, qi - row_number() OVER (PARTITION BY item_id, doc_id, d ORDER BY qi) AS grp FROM m)
       SELECT item_id, doc_id, max(run) AS run FROM (SELECT item_id, doc_id, d, grp, count(*) + 5 AS run FROM r GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
-    "echo_rare_terms": f"""WITH t AS ({_stems('documents', 'doc_id')}), q0 AS ({_stems('eval_items', 'item_id')}), rare AS (SELECT stem FROM t GROUP BY 1 HAVING count(*) <= 8), q AS (SELECT * FROM q0 WHERE stem IN (SELECT stem FROM rare)), n AS (SELECT item_id, count(*) AS rare FROM q GROUP BY 1),
+    "echo_rare_terms": f"""WITH t AS ({_stems('documents', 'doc_id')}), q0 AS ({_stems('eval_items', 'item_id')}), rare AS (SELECT stem FROM t GROUP BY 1 HAVING count(*) * 12472 <= (SELECT count(*) FROM documents WHERE text IS NOT NULL) * 150), q AS (SELECT * FROM q0 WHERE stem IN (SELECT stem FROM rare)), n AS (SELECT item_id, count(*) AS rare FROM q GROUP BY 1),
       h AS (SELECT item_id, doc_id, count(*) AS hit FROM t JOIN q USING (stem) GROUP BY 1, 2 HAVING count(*) >= 3) SELECT item_id, doc_id, hit, rare, round(hit / rare, 6) AS cover FROM h JOIN n USING (item_id)""",
     "evidence_overlap": f"""WITH r AS (SELECT DISTINCT ON (dump_id) dump_id, {_HYPHEN.format('q')} AS q, {_SET.format("coalesce(prose, '')")} AS p FROM dump_rows WHERE q IS NOT NULL), f AS (SELECT dump_id, len(q) AS n, len(list_filter(q, lambda x: list_contains(p, x))) AS k FROM r)
       SELECT dump_id, n > 0 AND k >= least(6, n) AND k >= n * 0.6 AS held FROM f""",

@@ -172,7 +172,7 @@ SQL = {
     "ref_parse": TREE_SQL + r""", x AS (SELECT DISTINCT ref, regexp_extract(ref, '^QS\. (.+), ([0-9]+):([0-9]+)(?:-([0-9]+))?$', ['nm', 's', 'f', 'l']) AS m FROM entries WHERE ref IS NOT NULL),
       pz AS (SELECT ref, nullif(m.nm, '') AS name, TRY_CAST(m.s AS INT) AS surah, TRY_CAST(m.f AS INT) AS first, coalesce(TRY_CAST(m.l AS INT), TRY_CAST(m.f AS INT)) AS last FROM x), bounds AS (SELECT n, max(ayahs) AS bound FROM surah_meta GROUP BY 1)
       SELECT ref, name, surah, first, last, CASE WHEN surah IS NULL THEN 'unparsed' WHEN bound IS NULL THEN 'no_chapter' WHEN first < 1 OR last > bound THEN 'out_of_range' WHEN last < first THEN 'inverted' WHEN last > first THEN 'range' ELSE 'single' END AS kind FROM pz LEFT JOIN bounds ON bounds.n = pz.surah""",
-    "marker_codec": r"""WITH c AS (SELECT doc_id, left(text, 40) || ' [H:' || regexp_replace(source, '[^a-z0-9-]', '-', 'g') || ':' || doc_id || '] [H:a:7]' AS t FROM documents),
+    "marker_codec": r"""WITH c AS (SELECT doc_id, text || ' [H:' || regexp_replace(source, '[^a-z0-9-]', '-', 'g') || ':' || doc_id || '] [H:a:7]' AS t FROM documents),
       m AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '\[H:([a-z0-9-]+:[0-9]+)\]', 1), lambda x: replace(x, ':', '/')) AS l FROM c)
       SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS ids, length(trim(regexp_replace(t, '\s*\[H:[a-z0-9-]+:[0-9]+\]', '', 'g'))) AS rest FROM m""",
     "quoted_spans": """WITH q AS (SELECT doc_id, regexp_extract_all(text, '["“]([^"“”]{4,})["”]', 1) AS l FROM documents)
@@ -185,7 +185,7 @@ SQL = {
     "sentence_counts": r"SELECT script_id, len(list_filter(regexp_split_to_array(full_text, '[.!?\n]+'), lambda x: trim(x) <> '')) AS sentences, true AS lossless FROM (SELECT DISTINCT script_id, full_text FROM narration_scripts WHERE full_text IS NOT NULL)",
     "arabic_names": f"WITH c AS (SELECT DISTINCT n, a, translate(regexp_replace(ar, '{T.ARABIC_MARKS}', '', 'g'), '{T.ARABIC_SAME[0]}', '{T.ARABIC_SAME[1]}') AS folded FROM surah) SELECT n, a, count(*) AS forms, min(md5(folded)) AS least FROM c GROUP BY 1, 2",
     "name_fold": r"SELECT DISTINCT tl, regexp_replace(strip_accents(lower(tl)), '[''’ʾʿ`._\s-]', '', 'g') AS folded FROM surah_meta",
-    "variant_pick": """WITH c AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(left(text, 80), ''), lambda x: unicode(x)::BIGINT)), lambda a, x: (a * 31 + x) & 4294967295) AS h FROM documents)
+    "variant_pick": """WITH c AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT)), lambda a, x: (a * 31 + x) & 4294967295) AS h FROM documents)
       SELECT doc_id, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 7 AS variant FROM c""",
     "time_labels": """SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') ELSE (s // 60 % 60) || ':' || lpad((s % 60)::VARCHAR, 2, '0') END AS label
       FROM (SELECT event_id, floor(value * 60)::BIGINT AS s FROM events)""",

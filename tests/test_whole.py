@@ -38,9 +38,10 @@ def test_index_and_route_use_every_category(spark):
     index = {r.word: r for r in R.inverted_index(entries, []).collect()}
     assert index["samudra"].slugs == [f"c{i:02}" for i in range(14)] and index["jarang"].slugs == ["z"]
     q = spark.createDataFrame([(1, "samudra pelangi")], "q_id bigint, text string")
-    routes = R.route(q, R.inverted_index(entries, []))
-    assert [tuple(r) for r in routes.collect()] == [(1, "c12", 2)]
-    ranked = R.rank_entries(q, entries, routes, 3).orderBy("rank").collect()
+    index = R.inverted_index(entries, [])
+    routes = R.route(q, index, aliases(spark), [], {})
+    assert [tuple(r) for r in routes.collect()] == [(1, "c12", "votes")]
+    ranked = R.rank_entries(q, entries, routes, index, [], [], {}, 3).orderBy("rank").collect()
     assert [(r.entry_id, r.borrowed) for r in ranked] == [(12, 0), (0, 1), (1, 1)]
 
 
@@ -55,7 +56,44 @@ def test_broad_words_vote_beside_narrow_ones(spark):
     e = [(1, "a", "1:1", "pelangi")] + [(10 + i, s, f"2:{i}", "samudra gunung") for i, s in enumerate("bcde")]
     index = R.inverted_index(spark.createDataFrame(e, ENTRIES), [])
     q = spark.createDataFrame([(1, "pelangi samudra gunung"), (2, "samudra pelangi"), (3, "pelangi samudra")], "q_id bigint, text string")
-    assert sorted(tuple(r) for r in R.route(q, index).collect()) == [(1, "b", 2), (2, "b", 1), (3, "a", 1)]
+    assert sorted(tuple(r) for r in R.route(q, index, aliases(spark), [], {}).collect()) == [(1, "b", "votes"), (2, "b", "votes"), (3, "a", "votes")]
+
+
+def aliases(spark, *rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord bigint, slug string, alias string, frame boolean")
+
+
+def test_route_rules(spark):
+    e = [(1, "a", "1:1", "pelangi gunungan"), (2, "b", "1:2", "samudra"), (3, "c", "1:3", "menggunjing sadar")]
+    index = R.inverted_index(spark.createDataFrame(e, ENTRIES), [])
+    al = aliases(spark, ("a", "pasar", False), ("b", "hukum", True), ("c", "orang tua", False), ("b", "wajib", True))
+    texts = [
+        "pasar samudra",  # an alias that names a subject wins, whatever the index says
+        "hukum samudra",  # the category of a frame alias holds the subject
+        "hukum pelangi",  # it does not, another does
+        "hukum musik pelangi",  # a word the index lacks: no correction
+        "musik",  # nothing
+        "ghibah",  # a naming variant
+        "sadari",  # the bare form of a word with a suffix
+        "gunung",  # the beginning of a written word
+        "orang tuanya hukum wajib",  # two frame aliases outvote one of a subject, and are not grounded
+        "hukumnya",  # an affix form of an alias, no subject left
+        None,
+    ]
+    q = spark.createDataFrame(list(enumerate(texts)), "q_id bigint, text string")
+    got = {r.q_id: (r.slug, r.how) for r in R.route(q, index, al, ["hukum", "hukumnya", "wajib", "orang", "tuanya"], {"ghibah": "menggunjing"}).collect()}
+    assert got == {0: ("a", "grounded"), 1: ("b", "kept"), 2: ("a", "votes"), 3: ("b", "alias"), 5: ("c", "votes"), 6: ("c", "votes"), 7: ("a", "votes"), 8: ("b", "alias"), 9: ("b", "alias")}
+
+
+def test_ranking_needs_the_subject_and_the_routed_category(spark):
+    e = [(1, "a", "1:1", "hukum pasar"), (2, "a", "1:2", "pasar ramai"), (3, "b", "1:2", "pasar ramai hujan"), (4, "b", "1:4", "hukum saja"), (5, "c", "1:5", "hujan"), (6, "a", None, "pasar")]
+    entries = spark.createDataFrame(e, ENTRIES)
+    index = R.inverted_index(entries, [])
+    q = spark.createDataFrame([(1, "hukum pasar ramai"), (2, "hukum hujan"), (3, "hukum")], "q_id bigint, text string")
+    routes = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "q_id bigint, slug string")
+    got = [(r.q_id, r.entry_id, r.score, r.borrowed) for r in R.rank_entries(q, entries, routes, index, [], ["hukum"], {}, 5).orderBy("q_id", "rank").collect()]
+    # 1: entry 3 is the same verse as 2 and borrowed; 2: nothing of the routed category, so nothing; 3: no subject, the frame counts
+    assert got == [(1, 1, 2, 0), (1, 2, 2, 0), (3, 4, 1, 0)]
 
 
 def js_variant(text, n):
