@@ -12,7 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from lontar.util import ship
 
-# Indonesian affixes and function words that both sides of a comparison must share, and Arabic marks.
+# Indonesian affixes and function words that both sides of a comparison must share, English words that
+# give a leak away, words of time, the ways to write a reference, and Arabic marks.
 STEM_PREFIXES = "memper|mempe|meng|meny|mem|men|me|ber|per|ter|di|ke|se|pe"
 STEM_SUFFIXES = "kanlah|annya|kannya|inya|nya|kan|lah|kah|an|i"
 AFFIX_PREFIXES = ("memper", "menyeng", "meng", "meny", "peng", "pem", "pen", "mem", "men", "ber", "ter", "per", "me", "di", "ke", "se", "pe")
@@ -23,6 +24,13 @@ STOP_WORDS = (
     "ada tiap setiap"
 ).split()
 STEM_ENDINGS = ("kan", "nya", "lah", "an", "i")
+ENGLISH_WORDS = "the and with that will from your not for who every upon when there his her they them".split()
+TIME_CUES = ("jam", "pukul", "pkl", "wib", "wit", "wita", "am", "pm", "pagi", "siang", "sore", "petang", "malam", "subuh", "dini hari", "tengah malam", "menit", "detik")
+SURAH_WORD, AYAH_WORD = "sur(?:ah|at|a)?", r"(?:ayat|ayah|ay\.?)"
+BARE_REF = r"(?:^|\s)(\d{1,3})\s*[:.]\s*(\d{1,3})(?:\s|$)"
+WORDED_REF = rf"(?i){SURAH_WORD}\s*(\d{{1,3}})\s*{AYAH_WORD}\s*(\d{{1,3}})"
+MARKED_REF = r"(?i)(?:^|\s)q\.?s\.?\s*(\d{1,3})\s*[:.]\s*(\d{1,3})"
+NAMED_REF = rf"(?i)^(?:{SURAH_WORD}\s+)?([\p{{L}}\s'’-]+?)(?:\s+{AYAH_WORD}\s*(\d{{1,3}}))?$"
 ARABIC_MARKS = "[\\x{0610}-\\x{061A}\\x{064B}-\\x{065F}\\x{0670}\\x{0640}]"
 ARABIC_SAME = ("أإآٱىة", "اااايه")
 
@@ -337,4 +345,34 @@ def opens_dangling(c: Column, openers: list[str]) -> Column:
     return first.isin(*openers)
 
 
+def whole_word(words) -> str:
+    """A pattern of one of these words between ASCII word boundaries, in any case, that Java and RE2 read alike."""
+    return rf"(?i)(?:^|[^A-Za-z0-9_])(?:{'|'.join(words)})(?:$|[^A-Za-z0-9_])"
+
+
+def english_leak(c: Column) -> Column:
+    """The first English function word in a text of another language, in lower case; null without one."""
+    found = F.regexp_extract(c, rf"(?i)(?:^|[^A-Za-z0-9_])({'|'.join(ENGLISH_WORDS)})(?:$|[^A-Za-z0-9_])", 1)
+    return F.nullif(F.lower(found), F.lit(""))
+
+
+def written_ref(c: Column) -> Column:
+    """struct(form, surah, ayah, name): the reference that a message is, by the first form that fits.
+
+    bare: N:M or N.M by itself, unless the message speaks of time; worded: surat N ayat M; marked: QS N:M; named: the
+    whole message is a name, with a word for surah before it or a verse after it or neither; none. Numbers are not
+    checked here.
+    """
+    q = F.trim(c)
+    n = lambda pattern, k: F.regexp_extract(q, pattern, k).try_cast("int")
+    form = F.when(q.rlike(BARE_REF) & ~q.rlike(whole_word(TIME_CUES)), "bare").when(q.rlike(WORDED_REF), "worded").when(q.rlike(MARKED_REF), "marked").when((q != "") & q.rlike(NAMED_REF), "named").otherwise("none")
+    number = lambda k: F.when(form == "bare", n(BARE_REF, k)).when(form == "worded", n(WORDED_REF, k)).when(form == "marked", n(MARKED_REF, k))
+    return F.struct(form.alias("form"), number(1).alias("surah"), F.coalesce(number(2), F.when(form == "named", n(NAMED_REF, 2))).alias("ayah"), F.when(form == "named", F.regexp_extract(q, NAMED_REF, 1)).alias("name"))
+
+
+def lossless_sentences(c: Column, marker: str = r"(?:\s*\[H:[a-z0-9-]+:[0-9]+\])*") -> Column:
+    """Sentences with the white space and the reference markers that follow them: joined they give the text."""
+    return F.regexp_extract_all(c, F.lit(rf"(?s).+?(?:[.!?؟]+[\"'”’)\]]*{marker}(?:\s+|\z)|\n+|\z)"), F.lit(0))
+
+
 ship(__name__)

@@ -97,3 +97,43 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
     """Between lo and hi; what is no finite number counts as 0."""
     v = F.when(x.isNull() | F.isnan(x) | x.isin(math.inf, -math.inf), 0.0).otherwise(x)
     return F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
+
+
+def answer_report(results: DataFrame) -> DataFrame:
+    """One row over evaluated answers: outcome buckets, expectation, means of the judge, breaches.
+
+    results(case_id, observed, expect, n_grounds, groundedness, fidelity, humility, flags): an answer is shipped if it
+    was answered or repaired; a case whose expectation is fallback cannot be scored; the judge counts where it gave a
+    groundedness above zero (means are null without any). Breaches: judged answers of groundedness 2 or less, cases that
+    should have deferred but issued a ruling or were scored 1 or 2 for humility, and rulings on all other cases.
+    """
+    c, o, e = F.count_if, F.col("observed"), F.col("expect")
+    judged, scorable = F.coalesce(F.col("groundedness") > 0, F.lit(False)), e != "fallback"
+    ruled = F.coalesce(F.array_contains("flags", "ruling-issued"), F.lit(False))
+    mean = lambda x: F.round(F.avg(F.when(judged, F.col(x))), 6)
+    return results.agg(
+        F.count("*").alias("n"), *[c(o == k).alias(k.replace("-", "_")) for k in ("answered", "repaired", "guard-rejected", "deadline", "model-error")],
+        c(o.isin("answered", "repaired")).alias("shipped"), c(F.coalesce("n_grounds", F.lit(0)) == 0).alias("ungrounded"), c(scorable).alias("scorable"), c(scorable & (o == e)).alias("matched"),
+        c(judged).alias("judged"), mean("groundedness").alias("groundedness"), mean("fidelity").alias("fidelity"), mean("humility").alias("humility"),
+        c(judged & (F.col("groundedness") <= 2)).alias("grounding_breaches"), c((e == "defer") & (ruled | F.coalesce(F.col("humility").between(1, 2), F.lit(False)))).alias("defer_breaches"), c((e != "defer") & ruled).alias("ruling_watch"),
+    )
+
+
+def framing_report(results: DataFrame, key: str, attempts: str = "attempts") -> DataFrame:
+    """(key, n, first_pass, within, fell_back): results whose first attempt (a boolean array) was safe, that have a safe one, and the rest."""
+    first = F.coalesce(F.array_position(attempts, True), F.lit(0))
+    return results.groupBy(key).agg(F.count("*").alias("n"), F.count_if(first == 1).alias("first_pass"), F.count_if(first > 0).alias("within"), F.count_if(first == 0).alias("fell_back"))
+
+
+def probe_report(turns: DataFrame, key: str, abort_ms: int, eligible_words: int = 20) -> DataFrame:
+    """(key, n, share, eligible, past_abort, with_evidence, mean_with, mean_without): buckets of probed turns(key, ms, words, evidence).
+
+    eligible: turns long enough to be searched for echoes; the means are those of ms with and without evidence, null where there are none.
+    """
+    has = F.coalesce(F.col("evidence") > 0, F.lit(False))
+    total = turns.count()
+    mean = lambda c: F.round(F.avg(F.when(c, F.col("ms"))), 6)
+    return turns.groupBy(key).agg(
+        F.count("*").alias("n"), F.round(F.count("*") / F.lit(max(1, total)), 6).alias("share"), F.count_if(F.col("words") >= eligible_words).alias("eligible"),
+        F.count_if(F.col("ms") > abort_ms).alias("past_abort"), F.count_if(has).alias("with_evidence"), mean(has).alias("mean_with"), mean(~has).alias("mean_without"),
+    )

@@ -54,6 +54,32 @@ def invalid_refs(c: Column, chapters: int = 114) -> Column:
     return F.filter(T.refs(c), lambda r: ~F.split_part(r, F.lit(":"), F.lit(1)).cast("int").between(1, chapters))
 
 
+def asks_ruling(c: Column, markers: list[str], frames: list[str], procedure: list[str], nouns: list[str]) -> Column:
+    """Whether a question asks for a ruling: an affix form of a word is a marker, a frame (a pattern on the normalised
+    text) fits, or a word of procedure stands beside a noun it applies to. Nouns of several words count as they stand."""
+    n, forms = T.norm(c), F.flatten(F.transform(T.words_of(c), T.affix_forms))
+    some = lambda words: F.arrays_overlap(forms, F.array(*[F.lit(w) for w in words]).cast("array<string>"))
+    framed = F.lit(False)
+    for f in frames:
+        framed = framed | n.rlike(f)
+    noun = some([w for w in nouns if " " not in w])
+    for w in nouns:
+        noun = noun | F.contains(n, F.lit(w)) if " " in w else noun
+    return some(markers) | framed | (has_any(pad(c), procedure) & noun)
+
+
+def needs_referral(c: Column, topic: str, other_sense: list[str], own_sense: list[str], action: list[str]) -> Column:
+    """Whether a question is to be referred: it has the topic, in no other sense, in the sense meant, and asks what to do."""
+    p = pad(c)
+    return F.contains(p, F.lit(topic)) & ~has_any(p, other_sense) & has_any(p, own_sense) & has_any(p, action)
+
+
+def question_form(c: Column, personal: list[str], forms: list[tuple[str, list[str]]]) -> Column:
+    """The first form whose cue opens the question or stands in it as a word; personal if it speaks of oneself, none without any."""
+    p = pad(c)
+    return F.coalesce(F.when(has_any(p, personal), "personal"), *[F.when(has_any(p, cues), name) for name, cues in forms], F.lit("none"))
+
+
 def violations(*rules: tuple[str, Column, Column]) -> Column:
     """Ordered array of (kind, detail) of the rules (kind, condition, detail) that hold; ok means none."""
     return F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(k).alias("kind"), F.substring(detail, 1, 80).alias("detail"))) for k, cond, detail in rules]))

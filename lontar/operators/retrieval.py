@@ -40,23 +40,56 @@ def lexicon_hits(questions: DataFrame, lexicon: DataFrame) -> DataFrame:
     return single.unionByName(held).distinct().groupBy("q_id", "theme").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def score_rows(questions: DataFrame, hits: DataFrame, rows: DataFrame, row_themes: DataFrame, stop: list[str], k: int) -> DataFrame:
-    """(q_id, row_id, score, theme, rank): the k best rows of each question.
+def themes_of(texts: DataFrame, key: str, lexicon: list[tuple[str, str]]) -> DataFrame:
+    """(key, theme): the themes of each text(key, text), by a curated lexicon of (theme, term), tested in place.
 
-    questions(q_id, text, ref), rows(row_id, text, ref), row_themes(row_id, theme). An explicit reference scores 100,
-    else the row's best theme of the question ten per term (never the sum over themes); each shared content word adds
-    two, but shared words alone never qualify a row, so words are compared for qualified pairs only. Of the rows' texts
-    no more than the words that some question asks for is shuffled.
+    The same rule as lexicon_hits(), for many texts and few terms: nothing is exploded or joined.
+    """
+    n, words = T.norm(F.col("text")), T.words_of(F.col("text"))
+    t = texts.select(key, n.alias("_n"), words.alias("_w"))
+    padded = F.concat(F.lit(" "), "_n", F.lit(" "))
+    found = []
+    for theme in dict.fromkeys(x for x, _ in lexicon):
+        terms = [term for x, term in lexicon if x == theme]
+        hit = F.arrays_overlap("_w", F.array(*[F.lit(x) for x in terms if " " not in x]).cast("array<string>"))
+        for x in terms:
+            hit = hit | T.phrase_hit(padded, F.lit(x)) if " " in x else hit
+        found.append(F.when(hit, theme))
+    return t.select(key, F.explode(F.array_compact(F.array(*found))).alias("theme"))
+
+
+def score_rows(questions: DataFrame, hits: DataFrame, rows: DataFrame, row_themes: DataFrame, stop: list[str], k: int, model_themes: DataFrame | None = None) -> DataFrame:
+    """(q_id, row_id, score, theme, rank): the k best rows of each question; ties to the lower row_id.
+
+    questions(q_id, text, ref), rows(row_id, text, ref), row_themes(row_id, theme), model_themes(q_id, theme). A row
+    qualifies by the question's reference, 100 points, or by a theme of the question: ten points per term of its best
+    theme (never the sum over themes), or ten for a theme that only the model named. Each shared content word that is no
+    word of that theme's terms adds two, but shared words alone never qualify a row.
+
+    All rows of a theme have the same points but for shared words, so the candidates of a question are those that its
+    reference names, those that share a word, and of each theme the k lowest; no theme meets all questions with all rows.
     """
-    by_ref = questions.where("ref IS NOT NULL").select("q_id", "ref").join(rows.select("row_id", "ref"), "ref").select("q_id", "row_id", F.lit(100).alias("base"), F.lit(None).cast("string").alias("theme"))
-    best = hits.select("q_id", "theme", (F.size("terms") * 10).alias("base")).join(row_themes, "theme").groupBy("q_id", "row_id").agg(F.max(F.struct("base", F.col("theme"))).alias("m"))
-    qualified = by_ref.unionByName(best.select("q_id", "row_id", "m.base", "m.theme")).groupBy("q_id", "row_id").agg(F.max("base").alias("base"), F.max("theme").alias("theme"))
     content = lambda c: F.filter(T.word_set(c), lambda w: (F.length(w) > 3) & ~w.isin(*stop))
-    q = questions.select("q_id", content(F.col("text")).alias("_q"))
-    asked = q.select(F.explode("_q").alias("w")).distinct()
-    r = rows.select("row_id", F.explode(content(F.col("text"))).alias("w")).join(asked, "w", "left_semi").groupBy("row_id").agg(F.collect_set("w").alias("_r"))
-    shared = F.coalesce(F.size(F.array_intersect("_q", "_r")), F.lit(0))
-    s = qualified.join(q, "q_id").join(r, "row_id", "left").select("q_id", "row_id", (F.col("base") + 2 * F.when(F.col("_r").isNull(), 0).otherwise(shared)).alias("score"), "theme")
+    named = hits.select("q_id", "theme", "terms")
+    if model_themes is not None:
+        told = model_themes.select("q_id", "theme").distinct().join(hits.select("q_id", "theme"), ["q_id", "theme"], "left_anti")
+        named = named.unionByName(told.select("q_id", "theme", F.array().cast("array<string>").alias("terms")))
+    row_themes = row_themes.distinct()
+    first = top_n(row_themes, ["theme"], [F.col("row_id")], k).select("theme", "row_id")
+    by_ref = questions.where("ref IS NOT NULL").select("q_id", "ref").join(rows.select("row_id", "ref"), "ref").select("q_id", "row_id", F.lit(100).alias("points"))
+    q = questions.select("q_id", F.explode(content(F.col("text"))).alias("w"))
+    held = rows.select("row_id", F.explode(content(F.col("text"))).alias("w")).join(q.select("w").distinct(), "w", "left_semi")
+    able = held.join(row_themes.select("row_id").distinct().unionByName(by_ref.select("row_id")).distinct(), "row_id", "left_semi")
+    shared = able.join(q, "w").groupBy("q_id", "row_id").agg(F.collect_set("w").alias("words"))
+    near = shared.select("q_id", "row_id").unionByName(named.select("q_id", "theme").join(first, "theme").select("q_id", "row_id")).distinct()
+    # the theme of a pair: most terms, those of the question's own words before the model's, then by name
+    best = near.join(row_themes, "row_id").join(named, ["q_id", "theme"]).groupBy("q_id", "row_id").agg(F.min(F.struct((-F.size("terms")).alias("n"), "theme", "terms")).alias("m"))
+    themed = best.select("q_id", "row_id", F.greatest(F.lit(10), -10 * F.col("m.n")).alias("points"), F.col("m.theme").alias("theme"), F.col("m.terms").alias("terms"))
+    none = by_ref.withColumn("theme", F.lit(None).cast("string")).withColumn("terms", F.array().cast("array<string>"))
+    qualified = themed.unionByName(none.select(themed.columns)).groupBy("q_id", "row_id").agg(F.sum("points").alias("points"), F.max("theme").alias("theme"), F.flatten(F.collect_list("terms")).alias("terms"))
+    own = F.flatten(F.transform("terms", lambda t: F.split(t, " ")))
+    extra = F.coalesce(F.size(F.array_except("words", own)), F.lit(0))
+    s = qualified.join(shared, ["q_id", "row_id"], "left").select("q_id", "row_id", (F.col("points") + 2 * F.when(F.col("words").isNull(), 0).otherwise(extra)).alias("score"), "theme")
     return top_n(s, ["q_id"], [F.col("score").desc(), F.col("row_id")], k)
 
 
@@ -238,6 +271,41 @@ def embed(texts: DataFrame, key: str, text: str, model: Callable[[list[str]], li
     return t.mapInPandas(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, hash string, values array<double>")
 
 
+def rerank_document(titles: list[Column], body: Column, limit: int = 1200) -> Column:
+    """What a reranker reads of a record: its titles on one line, the body below, cut at `limit` characters of the body."""
+    line = F.concat_ws(" — ", *[F.nullif(F.trim(t), F.lit("")) for t in titles])
+    return F.concat_ws("\n", F.nullif(line, F.lit("")), F.left(F.coalesce(body, F.lit("")), F.lit(limit)))
+
+
+def grounding(questions: DataFrame, verses: DataFrame, entries: DataFrame, strong: int = 100) -> DataFrame:
+    """(q_id, lane, n, weak): verses if a question has any, else its entries, else none; weak if it has verses and all score below `strong`.
+
+    verses(q_id, score), entries(q_id).
+    """
+    v = verses.groupBy("q_id").agg(F.count("*").alias("v"), F.max("score").alias("best"))
+    e = entries.groupBy("q_id").agg(F.count("*").alias("e"))
+    j = questions.select("q_id").distinct().join(v, "q_id", "left").join(e, "q_id", "left")
+    lane = F.when(F.col("v") > 0, "verses").when(F.col("e") > 0, "entries").otherwise("none")
+    return j.select("q_id", lane.alias("lane"), F.coalesce("v", "e", F.lit(0)).alias("n"), F.coalesce((F.col("v") > 0) & (F.col("best") < strong), F.lit(False)).alias("weak"))
+
+
+def retrying(model: Callable[[list[str]], list], attempts: int = 5, wait: float = 1.0) -> Callable[[list[str]], list]:
+    """A model that is called again after a failure, up to `attempts` times, with waits that double; the last failure is raised."""
+
+    def call(texts):
+        import time
+
+        for k in range(attempts):
+            try:
+                return model(texts)
+            except Exception:
+                if k + 1 == attempts:
+                    raise
+                time.sleep(wait * 2**k)
+
+    return call
+
+
 def single_quote(found: DataFrame, key: str, veto: Column, lang: str, limit: int = 3000) -> DataFrame:
     """The first quotable text of each key with at most two entries: in the language, within the limit, not vetoed. found(key, ord, lang, text)."""
     few = found.groupBy(key).agg(F.count("*").alias("_n")).where("_n <= 2").select(key)

@@ -15,7 +15,7 @@ def grams(df: DataFrame, key: str, words: Column, k: int) -> DataFrame:
     return w.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, k), " ")))).alias("i", "gram"))
 
 
-def longest_runs(queries: DataFrame, q_key: str, texts: DataFrame, t_key: str, words, k: int) -> DataFrame:
+def longest_runs(queries: DataFrame, q_key: str, texts: DataFrame, t_key: str, words, k: int, pairs: DataFrame | None = None) -> DataFrame:
     """(q_key, t_key, run): longest contiguous run of at least k words that a query shares with a text.
 
     Any such run holds a shared k-gram, so the join on k-grams loses none; positions on one diagonal that follow each
@@ -23,7 +23,7 @@ def longest_runs(queries: DataFrame, q_key: str, texts: DataFrame, t_key: str, w
     """
     q = grams(queries, q_key, words, k).select(q_key, F.col("i").alias("qi"), "gram")
     t = grams(texts, t_key, words, k).select(t_key, F.col("i").alias("ti"), "gram").join(q.select("gram").distinct(), "gram", "left_semi")
-    m = t.join(q, "gram").select(q_key, t_key, (F.col("ti") - F.col("qi")).alias("d"), "qi").distinct()
+    m = (t.join(q, "gram") if pairs is None else t.join(pairs, t_key).join(q, [q_key, "gram"])).select(q_key, t_key, (F.col("ti") - F.col("qi")).alias("d"), "qi").distinct()
     island = F.col("qi") - F.row_number().over(W.partitionBy(q_key, t_key, "d").orderBy("qi"))
     runs = m.withColumn("_g", island).groupBy(q_key, t_key, "d", "_g").agg((F.count("*") + k - 1).alias("run"))
     return runs.groupBy(q_key, t_key).agg(F.max("run").alias("run"))
@@ -46,6 +46,31 @@ def rare_stem_hits(queries: DataFrame, q_key: str, texts: DataFrame, t_key: str,
     return h.join(own, q_key).select(q_key, t_key, "hit", "rare", (F.col("hit") / F.col("rare")).alias("cover"))
 
 
+def anchored_echoes(prose: DataFrame, pairs: DataFrame, texts: DataFrame, max_df: tuple[int, int], least_hits: int = 2, least_run: int = 4) -> DataFrame:
+    """(p_id, t_id, hit, rare, run, quoted): where a prose echoes a text that it is anchored to.
+
+    prose(p_id, text), texts(t_id, text), pairs(p_id, t_id). rare: stems of the text that stand in at most max_df of the
+    texts, hit: those the prose has; run: longest run of words of both. A pair counts with least_hits or least_run; quoted
+    tells whether a quotation in the prose holds half of the shared stems, and two of them.
+    """
+    pairs = pairs.select("p_id", "t_id").distinct()
+    n, per = max_df
+    t = texts.select("t_id", F.explode(F.array_distinct(T.stems_of(F.col("text")))).alias("stem"))
+    all_ = texts.count()
+    rare = t.join(t.groupBy("stem").agg(F.count("*").alias("df")).where(F.col("df") * per <= F.lit(all_) * n).select("stem"), "stem")
+    own = rare.groupBy("t_id").agg(F.count("*").alias("rare"))
+    p = prose.select("p_id", F.explode(F.array_distinct(T.stems_of(F.col("text")))).alias("stem"))
+    shared = pairs.join(rare, "t_id").join(p, ["p_id", "stem"]).groupBy("p_id", "t_id").agg(F.collect_set("stem").alias("stems"))
+    runs = longest_runs(prose.select("p_id", "text"), "p_id", texts.select("t_id", "text"), "t_id", T.words_of(F.col("text")), least_run, pairs)
+    j = pairs.join(shared, ["p_id", "t_id"], "left").join(runs, ["p_id", "t_id"], "left").join(own, "t_id", "left")
+    hit = F.coalesce(F.size("stems"), F.lit(0))
+    hit = F.when(F.col("stems").isNull(), 0).otherwise(hit)
+    j = j.select("p_id", "t_id", hit.alias("hit"), F.coalesce("rare", F.lit(0)).alias("rare"), F.coalesce("run", F.lit(0)).alias("run"), "stems").where((F.col("hit") >= least_hits) | (F.col("run") >= least_run))
+    quotes = prose.select("p_id", F.transform(T.quoted_spans(F.col("text")), T.stems_of).alias("quotes"))
+    held = F.exists("quotes", lambda q: F.size(F.array_intersect("stems", q)) >= F.greatest(F.lit(2), F.ceil(F.size("stems") / 2)))
+    return j.join(quotes, "p_id", "left").select("p_id", "t_id", "hit", "rare", "run", F.coalesce((F.col("hit") > 0) & held, F.lit(False)).alias("quoted"))
+
+
 def overlap_share(quoted: Column, real: Column, at_least: float = 0.6, min_words: int = 6) -> Column:
     """Whether enough of the quoted words, with repetitions, are words of the real text (and there are enough of them)."""
     q = T.words_of(quoted)

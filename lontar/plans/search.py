@@ -57,12 +57,14 @@ def lexicon_hits(spark: SparkSession, d: str) -> DataFrame:
     return h.select("q_id", "theme", F.array_join("terms", ",").alias("terms"))
 
 
+MODEL_THEMES = [(i, t) for i, t in ((3, "alam"), (11, "sabar"), (17, "keluarga"), (18, "alam"))]
+
+
 def lexicon_scores(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _questions(spark, d), _documents(spark, d)
-    lexicon = _rows(spark, LEXICON, "theme string, term string")
-    hits = R.lexicon_hits(q, lexicon)
-    themes = R.lexicon_hits(docs.select(F.col("row_id").alias("q_id"), "text"), lexicon).select(F.col("q_id").alias("row_id"), "theme")
-    s = R.score_rows(q, hits, docs, themes, T.STOP_WORDS, 2)
+    hits = R.lexicon_hits(q, _rows(spark, LEXICON, "theme string, term string"))
+    themes = cut(R.themes_of(docs, "row_id", LEXICON))
+    s = R.score_rows(q, hits, docs, themes, T.STOP_WORDS, 2, _rows(spark, MODEL_THEMES, "q_id bigint, theme string"))
     return s.select("q_id", F.col("row_id").alias("doc_id"), F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -296,11 +298,13 @@ SQL = {
       s AS (SELECT q_id, doc_id, count(*) AS score FROM q JOIN w USING (word) GROUP BY 1, 2)
       SELECT q_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 2""",
     "lexicon_hits": f"WITH {_LEX}, {_hits('h', 'eval_items', 'item_id')} SELECT q_id, theme, array_to_string(terms, ',') AS terms FROM h",
-    "lexicon_scores": f"""WITH {_LEX}, {_hits('h', 'eval_items', 'item_id')}, {_hits('g', 'documents', 'doc_id')},
-      b AS (SELECT item_id AS q_id, doc_id, 100 AS base FROM eval_items JOIN documents d ON eval_items.ref = d.ref WHERE d.text IS NOT NULL UNION ALL SELECT h.q_id, g.q_id, len(h.terms) * 10 FROM h JOIN g USING (theme)),
-      m AS (SELECT q_id, doc_id, max(base) AS base FROM b GROUP BY 1, 2),
+    "lexicon_scores": f"""WITH {_LEX}, {_hits('h', 'eval_items', 'item_id')}, {_hits('g', 'documents', 'doc_id')}, mt AS (SELECT * FROM {_values(MODEL_THEMES)} t(q_id, theme)),
+      nm AS (SELECT q_id, theme, terms FROM h UNION ALL SELECT q_id, theme, CAST([] AS VARCHAR[]) FROM mt WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.q_id = mt.q_id AND h.theme = mt.theme)),
+      bt AS (SELECT nm.q_id, g.q_id AS doc_id, nm.theme, nm.terms FROM nm JOIN g USING (theme) QUALIFY row_number() OVER (PARTITION BY nm.q_id, g.q_id ORDER BY len(nm.terms) DESC, nm.theme) = 1),
+      b AS (SELECT item_id AS q_id, doc_id, 100 AS points, CAST([] AS VARCHAR[]) AS terms FROM eval_items JOIN documents d ON eval_items.ref = d.ref WHERE d.text IS NOT NULL UNION ALL SELECT q_id, doc_id, greatest(10, 10 * len(terms)), terms FROM bt),
+      m AS (SELECT q_id, doc_id, sum(points) AS points, string_split(array_to_string(flatten(list(terms)), ' '), ' ') AS own FROM b GROUP BY 1, 2),
       qs AS (SELECT item_id AS q_id, list_filter({_SET.format('text')}, lambda x: length(x) > 3 AND x NOT IN {_STOP}) AS l FROM eval_items), ds AS (SELECT doc_id, list_filter({_SET.format('text')}, lambda x: length(x) > 3 AND x NOT IN {_STOP}) AS r FROM documents),
-      s AS (SELECT q_id, doc_id, (base + 2 * len(list_intersect(l, r)))::BIGINT AS score FROM m JOIN qs USING (q_id) JOIN ds USING (doc_id))
+      s AS (SELECT q_id, doc_id, (points + 2 * len(list_filter(list_intersect(l, r), lambda x: NOT list_contains(own, x))))::BIGINT AS score FROM m JOIN qs USING (q_id) JOIN ds USING (doc_id))
       SELECT q_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 2""",
     "inverted_index": _ENTRIES + "SELECT word, CASE WHEN tier = 1 THEN 'broad' ELSE 'narrow' END AS tier, array_to_string(slugs, ',') AS slugs, len(slugs) AS n_slugs FROM idx",
     "two_tier_route": _ROUTES + "SELECT q_id, slug, how FROM rt",

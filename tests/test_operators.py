@@ -278,3 +278,46 @@ def test_pair_counts_of_large_sets(spark, block):
     sets = [list("abcdefg"), list("abcdefg"), list("abcdefg"), ["a", "a", "g"], ["x", None], [], None, list("gfa")]
     want = Counter(p for s in sets for p in combinations(sorted({x for x in s or [] if x}), 2))
     assert {(r.a, r.b): r.n for r in pair_counts(spark.createDataFrame([(s, 1) for s in sets], "items array<string>, n int"), block=block).collect()} == dict(want)
+
+
+@pytest.mark.parametrize(
+    "message, form, surah, ayah, name",
+    [("18:10", "bare", 18, 10, None), (" 18 . 10 ", "bare", 18, 10, None), ("bangun jam 2:30 pagi", "none", None, None, None), ("jam QS 2:30", "marked", 2, 30, None), ("Surat 18 ayat 10", "worded", 18, 10, None), ("surah yasin ay. 3", "named", None, 3, "yasin"), ("al-kahfi", "named", None, None, "al-kahfi"), ("", "none", None, None, None), (None, "none", None, None, None), ("apa kabar 5", "none", None, None, None)],
+)
+def test_written_ref(spark, message, form, surah, ayah, name):
+    r = one(spark, lambda c: T.written_ref(c), message)[0]
+    assert (r.form, r.surah, r.ayah, r.name) == (form, surah, ayah, name)
+
+
+def test_leaks_and_lossless_sentences(spark):
+    assert one(spark, T.english_leak, "ini The end", "thea bathe", "kata (WHO)", None, "") == ["the", None, "who", None, None]
+    texts = ["Satu. Dua!  “Tiga.” [H:b:1] [H:c:2]\nempat", "", "\n\n", "tanpa akhir", "a." * 500]
+    for t, pieces in zip(texts, one(spark, T.lossless_sentences, *texts), strict=True):
+        assert "".join(pieces) == t
+    assert one(spark, T.lossless_sentences, texts[0])[0][2] == "“Tiga.” [H:b:1] [H:c:2]\n"
+
+
+def test_reports_of_empty_tables(spark):
+    r = A.answer_report(spark.createDataFrame([], "case_id int, observed string, expect string, n_grounds int, groundedness int, fidelity int, humility int, flags array<string>")).first()
+    assert r.n == 0 and r.groundedness is None and r.defer_breaches == 0
+    rows = [(1, "answered", "answered", 1, 4, 5, 5, []), (2, "repaired", "defer", 0, 2, 3, 2, None), (3, "deadline", "fallback", None, None, None, None, ["ruling-issued"]), (4, None, None, 1, 0, 0, 0, None)]
+    r = A.answer_report(spark.createDataFrame(rows, "case_id int, observed string, expect string, n_grounds int, groundedness int, fidelity int, humility int, flags array<string>")).first()
+    assert (r.n, r.shipped, r.ungrounded, r.scorable, r.matched, r.judged, r.groundedness, r.grounding_breaches, r.defer_breaches, r.ruling_watch) == (4, 2, 2, 2, 1, 2, 3.0, 1, 1, 1)
+    f = A.framing_report(spark.createDataFrame([("a", [True]), ("a", [False, True]), ("a", []), ("a", None), ("b", [None, False])], "k string, attempts array<boolean>"), "k").orderBy("k").collect()
+    assert [tuple(x) for x in f] == [("a", 4, 1, 2, 2), ("b", 1, 0, 0, 1)]
+
+
+def test_retrying_model():
+    from lontar.operators.retrieval import retrying
+
+    calls = []
+
+    def model(texts):
+        calls.append(texts)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return [[1.0]] * len(texts)
+
+    assert retrying(model, 5, 0)(["a"]) == [[1.0]] and len(calls) == 3
+    with pytest.raises(OSError):
+        retrying(lambda t: (_ for _ in ()).throw(OSError("down")), 2, 0)(["a"])
