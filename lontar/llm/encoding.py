@@ -4,8 +4,9 @@ Damage is modelled as chains: bytes of one encoding read as another, once or sev
 chain is undone where it can be, per stretch of characters that could have come from it, and the result is scored
 against the value as it stands by a smoothed character trigram model of clean records. The likeliest chain is accepted
 if a stretch gains more in log-likelihood than a margin; this repeats until nothing gains (so doubly damaged text unwinds step
-by step). The margin is validated on all clean records: each is damaged by one chain and restored, and the margin is
-set between the gains of honest text and those of damaged text.
+by step). The margin is validated on all clean records: in each a word is damaged by one chain and restored, and the margin is
+set between the gains of honest text and those of damaged text. Values without two neighbouring characters beyond
+ASCII never leave the JVM, and of the others those without two that some chain could explain are not searched.
 
 The model is trained on all clean records (no U+FFFD, no C1 control, no stretch that plainly comes from a chain). Its
 counts live in tables of fixed size (hashed n-grams, 5 MB), which bounds what is collected and broadcast.
@@ -54,6 +55,20 @@ def byte_map(encoding: str) -> dict[str, int]:
     return out
 
 
+def suspicious() -> str:
+    """A pattern of two characters that some chain could explain, or one that no honest text holds.
+
+    A text without it has no stretch for any chain.
+    """
+
+    def some(m: dict[str, int], lo: int, hi: int) -> str:
+        return "[" + "".join(f"\\u{ord(c):04x}" for c, b in m.items() if lo <= b <= hi) + "]"
+
+    maps = {e: byte_map(e) for e in READ_AS}
+    pairs = [some(m, 0xC2, 0xF4) + some(m, 0x80, 0xBF) for m in maps.values()]
+    return "|".join([*pairs, some(maps["cp1252"], 0x80, 0xFF) + "{2}", r"[\u0080-\u0084\u0086-\u009f\ufffd]"])
+
+
 class Chains:
     """The stretches of a text that each chain could explain, and what was there before."""
 
@@ -65,6 +80,7 @@ class Chains:
         high = "".join(re.escape(c) for c in self.maps["cp1252"])
         self.run = re.compile(f"[{high}]{{2,}}")
         self.names = [*(f"utf8>{e}" for e in READ_AS), *(f"{e}>cp1252" for e in WRITTEN_IN)]
+        self.suspect = re.compile(suspicious())
 
     @staticmethod
     def _chars(m: dict[str, int], lo: int, hi: int) -> str:
@@ -135,6 +151,24 @@ def slot(key: int, n: int) -> int:
     return (((key + n) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS[n])
 
 
+class Trigrams(dict):
+    """Log-likelihoods of the last characters of trigrams; cleared at a fixed size."""
+
+    def __init__(self, model: NGramModel) -> None:
+        self.model = model
+
+    def __missing__(self, abc: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        (t1, t2, t3), w, total = self.model.views, self.model.weight, self.model.total
+        a, b, c = map(ord, abc)
+        ab = t2[slot((a << 21) + b, 1)]
+        p = (t1[slot(c, 0)] + 1e-2) / (total + 1e4)
+        p = (t2[slot((b << 21) + c, 1)] + w * p) / (t1[slot(b, 0)] + w)
+        v = self[abc] = math.log((min(t3[slot((a << 42) ^ (b << 21) ^ c, 2)], ab) + w * p) / (ab + w))
+        return v
+
+
 class NGramModel:
     """Interpolated character trigrams over hashed counts."""
 
@@ -142,6 +176,7 @@ class NGramModel:
         self.t, self.weight, self.total = tables, weight, float(tables[0].sum()) + 1.0
         self.views = [memoryview(np.ascontiguousarray(t, np.float64)) for t in tables]
         self.cache: dict[str, float] = {}
+        self.trigrams = Trigrams(self)
 
     def log_likelihood(self, text: str) -> float:
         """Of the text after its first two characters."""
@@ -153,16 +188,8 @@ class NGramModel:
         return v
 
     def _score_short(self, text: str) -> float:
-        """As _score(), without arrays: quicker for a few characters."""
-        t1, t2, t3, w, out = *self.views, self.weight, 0.0
-        cp = list(map(ord, text))
-        for i in range(2, len(cp)):
-            a, b, c = cp[i - 2], cp[i - 1], cp[i]
-            ab = t2[slot((a << 21) + b, 1)]
-            p = (t1[slot(c, 0)] + 1e-2) / (self.total + 1e4)
-            p = (t2[slot((b << 21) + c, 1)] + w * p) / (t1[slot(b, 0)] + w)
-            out += math.log((min(t3[slot((a << 42) ^ (b << 21) ^ c, 2)], ab) + w * p) / (ab + w))
-        return out
+        """As _score(), from the trigrams seen before: quicker for a few characters."""
+        return sum(map(self.trigrams.__getitem__, map("".join, zip(text, text[1:], text[2:]))))
 
     def whole(self, text: str) -> float:
         return self._score(BOUND + text + BOUND)
@@ -198,7 +225,7 @@ def restore(text: str, chains: Chains, model: NGramModel, margin: float) -> tupl
     for depth in range(MAX_DEPTH):
         after = []
         for _, now, names in states:
-            if now.isascii():
+            if not chains.suspect.search(now):
                 continue
             chars = set(now)
             for name in chains.names:
@@ -246,8 +273,7 @@ def _validator(tables, chains_of=Chains):
             for x in batch.column(0).to_pylist():
                 if not x or x.isascii() or not chains.is_clean(x):
                     continue
-                g = restore(x, chains, model, float("inf"))[2]
-                if g > float("-inf"):
+                if chains.suspect.search(x) and (g := restore(x, chains, model, float("inf"))[2]) > float("-inf"):
                     honest[place(g)] += 1
                 m = max(re.findall(r"[^\x00-\x7f]+", x), key=len)
                 at = x.find(m)
@@ -256,7 +282,7 @@ def _validator(tables, chains_of=Chains):
                     name = chains.names[(h + k) % len(chains.names)]
                     d = chains.damage(m, name)
                     if d is not None and d != m:
-                        t = x[:at] + d + x[at + len(m) :]
+                        t = x[max(0, at - 4) : at] + d + x[at + len(m) : at + len(m) + 4]
                         damaged[place(restore(t, chains, model, float("inf"))[2])] += 1
                         break
         for k, t in enumerate((honest, damaged)):
@@ -295,7 +321,7 @@ def _restorer(tables, margin):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             keep, out, names, whole = [], [], [], []
             for i, x in enumerate(texts):
-                if not x or x.isascii():
+                if not x or not chains.suspect.search(x):
                     continue
                 back, accepted, _ = restore(x, chains, model, margin)
                 if accepted or BAD.search(x):
@@ -320,7 +346,8 @@ def damaged(values: DataFrame, text: str, corpus: DataFrame | None = None) -> Da
     keys = [c for c in values.columns if c != text]
     sent = values.sparkSession.sparkContext.broadcast(tables)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema if f.name != text)
-    return values.select(*keys, text).mapInArrow(_restorer(sent, margin), f"{fields}, restored string, chains string, complete boolean")
+    near = F.col(text).rlike(r"[^\x00-\x7f]{2}|[\x80-\x84\x86-\x9f\uFFFD]")  # no chain explains less; the JVM tells most texts by it
+    return values.select(*keys, text).where(near).mapInArrow(_restorer(sent, margin), f"{fields}, restored string, chains string, complete boolean")
 
 
 def from_versions(lost: DataFrame, clean: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
