@@ -24,10 +24,11 @@ def _form_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = plainform.plain_forms(_form_values(spark, d).where("val IS NOT NULL"), "val", only_changed=True).select("tab", "row_id", "field").distinct()
-    values = _damage_values(spark, d)
-    garbled = encoding.damaged(values.where("tab = 'surah'"), "val", values).select("tab", "row_id", F.lit("text").alias("field")).distinct()
-    return found.join(garbled, ["tab", "row_id", "field"], "left_anti")
+    """Values not in plain form; of the verses among them, those that are damaged as in p2 are left out."""
+    changed = cut(plainform.plain_forms(_form_values(spark, d).where("val IS NOT NULL"), "val", only_changed=True))
+    texts = changed.where("tab = 'surah' AND field = 'text'").select("tab", "row_id", "field", "val")
+    garbled = encoding.damaged(texts, "val", _damage_values(spark, d)).select("tab", "row_id", "field").distinct()
+    return changed.select("tab", "row_id", "field").distinct().join(garbled, ["tab", "row_id", "field"], "left_anti")
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
