@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lontar.plans import evaluation, misc, nested, quality, relational, search, text
+from lontar.plans import evaluation, misc, nested, quality, relational, search, sources, text
 
-MODULES = (nested, text, relational, search, quality, misc, evaluation)
+MODULES = (nested, text, relational, search, quality, misc, evaluation, sources)
 
 #: Columns whose SQL result has another width than Spark's.
 WIDTHS = {

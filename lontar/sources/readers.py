@@ -183,9 +183,9 @@ def numbered_items(text: Column) -> Column:
     return F.transform(items, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"\A\s*\d+\. ", ""), r"\s*\n\s*", " ")))
 
 
-def markdown(spark: SparkSession, path: str) -> DataFrame:
+def markdown(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(path, text) of every .md file below a folder."""
-    f = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    f = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return f.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
