@@ -86,6 +86,13 @@ def stems_of(c: Column) -> Column:
     return F.filter(F.transform(kept, stem), lambda x: F.length(x) >= 3)
 
 
+def stem_set(c: Column) -> Column:
+    """Distinct stems of the words that are no function words; each different word is stemmed once."""
+    w = F.array_distinct(parts(F.regexp_replace(F.lower(c), "[^a-z0-9' ]+", " "), r"\s+"))
+    kept = F.filter(w, lambda x: ~x.isin(*STOP_WORDS))
+    return F.array_distinct(F.filter(F.transform(kept, stem), lambda x: F.length(x) >= 3))
+
+
 def affix_forms(w: Column) -> Column:
     """The word, without one prefix (the first of the list that leaves more than 2 characters), and each without up to two suffixes."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lontar.functions import text as T
 from lontar.operators.windows import top_n
-from lontar.util import cut, ship
+from lontar.util import cut, ship, small
 
 
 def phrase_matches(texts: DataFrame, key: str, phrases: DataFrame, phrase: str) -> DataFrame:
@@ -74,13 +74,15 @@ def score_rows(questions: DataFrame, hits: DataFrame, rows: DataFrame, row_theme
     if model_themes is not None:
         told = model_themes.select("q_id", "theme").distinct().join(hits.select("q_id", "theme"), ["q_id", "theme"], "left_anti")
         named = named.unionByName(told.select("q_id", "theme", F.array().cast("array<string>").alias("terms")))
-    row_themes = row_themes.distinct()
+    named, row_themes = cut(named), row_themes.distinct()
     first = top_n(row_themes, ["theme"], [F.col("row_id")], k).select("theme", "row_id")
     by_ref = questions.where("ref IS NOT NULL").select("q_id", "ref").join(rows.select("row_id", "ref"), "ref").select("q_id", "row_id", F.lit(100).alias("points"))
     q = questions.select("q_id", F.explode(content(F.col("text"))).alias("w"))
-    held = rows.select("row_id", F.explode(content(F.col("text"))).alias("w")).join(q.select("w").distinct(), "w", "left_semi")
-    able = held.join(row_themes.select("row_id").distinct().unionByName(by_ref.select("row_id")).distinct(), "row_id", "left_semi")
-    shared = able.join(q, "w").groupBy("q_id", "row_id").agg(F.collect_set("w").alias("words"))
+    able = rows.join(row_themes.select("row_id").unionByName(by_ref.select("row_id")).distinct(), "row_id", "left_semi")
+    held = able.select("row_id", F.explode(content(F.col("text"))).alias("w")).join(small(q.select("w").distinct()), "w", "left_semi")
+    # only pairs that qualify: a theme of the row is one of the question's, or the row is the one it names
+    pairs = row_themes.join(small(named.select("q_id", "theme")), "theme").select("q_id", "row_id").unionByName(by_ref.select("q_id", "row_id")).distinct()
+    shared = cut(held.join(small(q), "w").join(pairs, ["q_id", "row_id"], "left_semi").groupBy("q_id", "row_id").agg(F.collect_set("w").alias("words")))
     near = shared.select("q_id", "row_id").unionByName(named.select("q_id", "theme").join(first, "theme").select("q_id", "row_id")).distinct()
     # the theme of a pair: most terms, those of the question's own words before the model's, then by name
     best = near.join(row_themes, "row_id").join(named, ["q_id", "theme"]).groupBy("q_id", "row_id").agg(F.min(F.struct((-F.size("terms")).alias("n"), "theme", "terms")).alias("m"))
@@ -99,13 +101,14 @@ def rare_word_top(questions: DataFrame, rows: DataFrame, max_sources: int, k: in
     rows(row_id, source, text). Words in more than max_sources sources are a second, broad tier, which scores the
     questions that have no rare word.
     """
-    w = rows.select("row_id", "source", F.explode(T.word_set(F.col("text"))).alias("word"))
     asked = questions.select("q_id", F.explode(T.word_set(F.col("text"))).alias("word"))
-    held = w.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.countDistinct("source").alias("_s"))
+    w = rows.select("row_id", "source", F.explode(T.word_set(F.col("text"))).alias("word"))
+    w = cut(w.join(small(asked.select("word").distinct()), "word", "left_semi"))
+    held = w.groupBy("word").agg(F.countDistinct("source").alias("_s"))
     asked = asked.join(held.select("word", (F.col("_s") > max_sources).alias("_broad")), "word")
     tier = asked.groupBy("q_id").agg(F.min("_broad").alias("_broad"))
     asked = asked.join(tier, ["q_id", "_broad"]).select("q_id", "word")
-    s = w.select("row_id", "word").join(asked, "word").groupBy("q_id", "row_id").agg(F.count("*").alias("score"))
+    s = w.select("row_id", "word").join(small(asked), "word").groupBy("q_id", "row_id").agg(F.count("*").alias("score"))
     return top_n(s, ["q_id"], [F.col("score").desc(), F.col("row_id")], k)
 
 
@@ -214,7 +217,7 @@ def rank_entries(questions: DataFrame, entries: DataFrame, routes: DataFrame, in
     vocabulary = e.select("key").distinct()
     prefix = F.explode(F.array_distinct(F.concat(F.array("key"), F.when(F.length("key") > 4, F.transform(F.sequence(F.lit(4), F.greatest(F.length("key") - 1, F.lit(4))), lambda n: F.left(F.col("key"), n))).otherwise(F.array().cast("array<string>")))))
     reach = vocabulary.select("key", prefix.alias("form")).join(forms, "form").select("word", "key").distinct()
-    hit = e.join(reach, "key").select("entry_id", "slug", "verse", "word").distinct().join(qp, ["slug", "word"])
+    hit = e.join(small(reach), "key").select("entry_id", "slug", "verse", "word").distinct().join(qp, ["slug", "word"])
     s = hit.groupBy("q_id", "entry_id", "verse").agg(F.count("*").alias("score"), F.max("on").alias("on"), F.max("borrowed").alias("borrowed")).where("on").drop("on")
     once = s.groupBy("q_id", "verse").agg(F.min_by(F.struct("entry_id", "score", "borrowed"), F.struct(-F.col("score"), "borrowed", "entry_id")).alias("m"), F.min("borrowed").alias("least"))
     backed = once.where("least = 0").select("q_id").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
+from lontar.util import cut, small
 
 
 def grams(df: DataFrame, key: str, words: Column, k: int) -> DataFrame:
@@ -22,7 +23,7 @@ def longest_runs(queries: DataFrame, q_key: str, texts: DataFrame, t_key: str, w
     other are one run. The grams of the texts are cut to those the queries have before the join.
     """
     q = grams(queries, q_key, words, k).select(q_key, F.col("i").alias("qi"), "gram")
-    t = grams(texts, t_key, words, k).select(t_key, F.col("i").alias("ti"), "gram").join(q.select("gram").distinct(), "gram", "left_semi")
+    t = grams(texts, t_key, words, k).select(t_key, F.col("i").alias("ti"), "gram").join(small(q.select("gram").distinct()), "gram", "left_semi")
     m = (t.join(q, "gram") if pairs is None else t.join(pairs, t_key).join(q, [q_key, "gram"])).select(q_key, t_key, (F.col("ti") - F.col("qi")).alias("d"), "qi").distinct()
     island = F.col("qi") - F.row_number().over(W.partitionBy(q_key, t_key, "d").orderBy("qi"))
     runs = m.withColumn("_g", island).groupBy(q_key, t_key, "d", "_g").agg((F.count("*") + k - 1).alias("run"))
@@ -35,12 +36,12 @@ def rare_stem_hits(queries: DataFrame, q_key: str, texts: DataFrame, t_key: str,
     rare: stems of the query that occur in at least one text and at most max_df, (n, per): n of every `per` texts, of
     as many as there are; hit: those the text has; cover: their share.
     """
-    t = texts.select(t_key, F.explode(F.array_distinct(T.stems_of(F.col("text")))).alias("stem"))
-    q = queries.select(q_key, F.explode(F.array_distinct(T.stems_of(F.col("text")))).alias("stem"))
+    q = queries.select(q_key, F.explode(T.stem_set(F.col("text"))).alias("stem"))
+    t = texts.select(t_key, F.explode(T.stem_set(F.col("text"))).alias("stem"))
+    t = cut(t.join(small(q.select("stem").distinct()), "stem", "left_semi"))  # only stems that a query has
     n, per = max_df
-    size = texts.agg(F.count("*").alias("_all"))
-    rare = t.groupBy("stem").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).where(F.col("df") * per <= F.col("_all") * n).select("stem")
-    q = q.join(rare, "stem", "left_semi")
+    rare = t.groupBy("stem").agg(F.count("*").alias("df")).where(F.col("df") * per <= F.lit(texts.count()) * n).select("stem")
+    q = small(q.join(rare, "stem", "left_semi"))
     own = q.groupBy(q_key).agg(F.count("*").alias("rare"))
     h = t.join(q, "stem").groupBy(q_key, t_key).agg(F.count("*").alias("hit")).where(F.col("hit") >= least)
     return h.join(own, q_key).select(q_key, t_key, "hit", "rare", (F.col("hit") / F.col("rare")).alias("cover"))
@@ -55,11 +56,11 @@ def anchored_echoes(prose: DataFrame, pairs: DataFrame, texts: DataFrame, max_df
     """
     pairs = pairs.select("p_id", "t_id").distinct()
     n, per = max_df
-    t = texts.select("t_id", F.explode(F.array_distinct(T.stems_of(F.col("text")))).alias("stem"))
+    t = texts.select("t_id", F.explode(T.stem_set(F.col("text"))).alias("stem"))
     all_ = texts.count()
     rare = t.join(t.groupBy("stem").agg(F.count("*").alias("df")).where(F.col("df") * per <= F.lit(all_) * n).select("stem"), "stem")
     own = rare.groupBy("t_id").agg(F.count("*").alias("rare"))
-    p = prose.select("p_id", F.explode(F.array_distinct(T.stems_of(F.col("text")))).alias("stem"))
+    p = prose.select("p_id", F.explode(T.stem_set(F.col("text"))).alias("stem"))
     shared = pairs.join(rare, "t_id").join(p, ["p_id", "stem"]).groupBy("p_id", "t_id").agg(F.collect_set("stem").alias("stems"))
     runs = longest_runs(prose.select("p_id", "text"), "p_id", texts.select("t_id", "text"), "t_id", T.words_of(F.col("text")), least_run, pairs)
     j = pairs.join(shared, ["p_id", "t_id"], "left").join(runs, ["p_id", "t_id"], "left").join(own, "t_id", "left")

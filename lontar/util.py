@@ -33,6 +33,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lontar/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has been counted to hold no more than `rows` rows of a few short columns; else as it is, for a shuffled join."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def scalar(df: DataFrame):
     """The one value of a one-row aggregate."""
     return df.first()[0]
