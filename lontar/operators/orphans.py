@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lontar.util import need
+from lontar.util import cut, need
 
 #: Up to so many different moments of change the segments are computed against a literal array; beyond, by a join with each key's own moments.
 MAX_MOMENTS = 512
@@ -78,6 +78,7 @@ def orphan_references(refs: DataFrame, meta: DataFrame) -> DataFrame:
     A meta row without n, ayahs or added_at is never in force. The order and repetition of meta rows do not matter.
     """
     c, p = _prepared(refs, meta)
+    c = cut(c)  # read for the keys and for the rows
     lost = orphan_keys(c, p, ["surah", "ayah"], "period", "surah_meta").select("surah", "ayah", "seg")
     return c.join(lost, ["surah", "ayah", "seg"], "left_semi").select(*refs.columns)
 

@@ -22,7 +22,7 @@ def longest_runs(queries: DataFrame, q_key: str, texts: DataFrame, t_key: str, w
     Any such run holds a shared k-gram, so the join on k-grams loses none; positions on one diagonal that follow each
     other are one run. The grams of the texts are cut to those the queries have before the join.
     """
-    q = grams(queries, q_key, words, k).select(q_key, F.col("i").alias("qi"), "gram")
+    q = small(grams(queries, q_key, words, k).select(q_key, F.col("i").alias("qi"), "gram"), 1_000_000)  # a stated set; where it is small, a gram that many texts hold is no key of a shuffle
     t = grams(texts, t_key, words, k).select(t_key, F.col("i").alias("ti"), "gram").join(small(q.select("gram").distinct()), "gram", "left_semi")
     m = (t.join(q, "gram") if pairs is None else t.join(pairs, t_key).join(q, [q_key, "gram"])).select(q_key, t_key, (F.col("ti") - F.col("qi")).alias("d"), "qi").distinct()
     island = F.col("qi") - F.row_number().over(W.partitionBy(q_key, t_key, "d").orderBy("qi"))

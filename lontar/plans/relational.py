@@ -334,7 +334,24 @@ _SCORES = """WITH q AS (SELECT vec_id AS q_id, embedding AS q_vec FROM embedding
 s AS (SELECT q_id, vec_id AS b_id, list_dot_product(CAST(q_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, b_id) AS rank FROM s)"""
 
+def _packs(pieces: str) -> str:
+    joined = "a[-1] || ' ' || x[1]"
+    fold = f"list_reduce(list_transform({pieces}, lambda p: [p]), lambda a, x: CASE WHEN strlen({joined}) <= 900 THEN list_append(list_slice(a, 1, len(a) - 1), {joined}) ELSE list_concat(a, x) END)"
+    return f"CASE WHEN len(list_filter({pieces}, lambda p: strlen(p) > 900)) = 0 THEN {fold} END"
+
+
+_AT = "string_split(regexp_replace(flat, '({0}[\"”’)]?) ', '\\1' || chr(1), 'g'), chr(1))"
+
 SQL = {
+    "byte_pack": rf"""WITH s AS (SELECT DISTINCT script_id, trim(regexp_replace(full_text, '\s+', ' ', 'g')) AS flat FROM narration_scripts WHERE full_text IS NOT NULL), pc AS (SELECT script_id, flat, {_AT.format("[.!?…]")} AS s, {_AT.format("[,;:—–]")} AS c, string_split(flat, ' ') AS w FROM s),
+      k AS (SELECT script_id, flat, {_packs("s")} AS s, {_packs("c")} AS c, {_packs("w")} AS w FROM pc), r AS (SELECT script_id, flat, CASE WHEN s IS NOT NULL THEN 'sentence' WHEN c IS NOT NULL THEN 'clause' WHEN w IS NOT NULL THEN 'word' ELSE 'none' END AS level, coalesce(s, c, w) AS parts FROM k)
+      SELECT script_id, level, CAST(len(parts) AS INT) AS parts, array_to_string(parts, ' ') = flat AS lossless, CAST(list_max(list_transform(parts, lambda p: strlen(p))) AS INT) AS largest FROM r""",
+    "greedy_diversify": """WITH RECURSIVE f AS (SELECT kind, doc_id, n_chars, string_split(source, '-') AS themes FROM documents WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY kind, source ORDER BY n_chars DESC, doc_id) <= 4),
+      c AS (SELECT kind, doc_id, themes, row_number() OVER (PARTITION BY kind ORDER BY n_chars DESC, doc_id) AS rk FROM f),
+      st AS (SELECT DISTINCT kind, 0::BIGINT AS rk, []::VARCHAR[] AS claimed, 0::BIGINT AS n, NULL::BIGINT AS doc_id, NULL::VARCHAR AS theme FROM c UNION ALL
+        SELECT t.kind, t.rk, CASE WHEN t.theme IS NULL THEN claimed ELSE list_append(claimed, t.theme) END, n + (t.theme IS NOT NULL)::BIGINT, t.doc_id, t.theme
+        FROM (SELECT c.kind, c.rk, st.claimed, st.n, c.doc_id, CASE WHEN st.n < 4 THEN list_filter(c.themes, lambda t: NOT list_contains(st.claimed, t))[1] END AS theme FROM st JOIN c ON c.kind = st.kind AND c.rk = st.rk + 1) t)
+      SELECT kind, n - 1 AS place, doc_id, theme FROM st WHERE theme IS NOT NULL""",
     "bucket_rates": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (value > 50) AS high, round(avg((value > 50)::INT), 6) AS high_rate, round(avg(value) FILTER (value > 50), 6) AS mean_high, round(sum(value), 4) AS total, max(value) AS top, min(value) AS least FROM events GROUP BY 1",
     "percentiles_nearest_rank": f"SELECT event_type, count(x) AS n, {_rank(50)}, {_rank(90)}, {_rank(99)} FROM (SELECT event_type, value AS x FROM events WHERE value IS NOT NULL) GROUP BY 1",
     "nested_percentiles": f"SELECT turn_bucket, count(x) AS n, {_rank(25)}, {_rank(50)}, {_rank(75)} FROM (SELECT turn_bucket, h.cover AS x FROM (SELECT coalesce(turn_bucket, 'none') AS turn_bucket, unnest(hits) AS h FROM {_DUMP})) WHERE x IS NOT NULL GROUP BY 1",
