@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,21 +98,75 @@ def score_rows(questions: DataFrame, hits: DataFrame, rows: DataFrame, row_theme
     return top_n(s, ["q_id"], [F.col("score").desc(), F.col("row_id")], k)
 
 
+MAX_QUESTION_CELLS, MAX_ASKED_WORDS = 32_000_000, 1_000_000
+
+
+def _count_top(block, k: int):
+    """Arrow batches of (row_id, word number), the words of a row one after another, to the task's own k best rows per question."""
+
+    def run(batches):
+        ids, known, matrix = block.value
+        best_score, best_row = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.int64)
+        rest_row, rest_word = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def take(row, word):
+            nonlocal best_score, best_row
+            at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+            own = known[at] == word
+            row, word = row[own], at[own]
+            if not len(row):
+                return
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            score = np.concatenate([best_score, np.add.reduceat(matrix[word], first, axis=0, dtype=np.int64).T], axis=1)
+            rows = np.concatenate([best_row, np.broadcast_to(row[first], (len(ids), len(first)))], axis=1)
+            order = np.lexsort((rows, -score), axis=1)[:, :k]
+            best_score, best_row = np.take_along_axis(score, order, 1), np.take_along_axis(rows, order, 1)
+
+        for batch in batches:
+            row = np.concatenate([rest_row, batch.column(0).to_numpy(zero_copy_only=False)])
+            word = np.concatenate([rest_word, batch.column(1).to_numpy(zero_copy_only=False)])
+            last = np.flatnonzero(row != row[-1])[-1] + 1 if len(row) and (row != row[-1]).any() else 0  # the last row may go on
+            rest_row, rest_word = row[last:], word[last:]
+            take(row[:last], word[:last])
+        take(rest_row, rest_word)
+        n = best_row.shape[1]
+        q, r, v = np.repeat(ids, n), best_row.reshape(-1), best_score.reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(q[v > 0]), pa.array(r[v > 0]), pa.array(v[v > 0])], ["q_id", "row_id", "score"])
+
+    return run
+
+
 def rare_word_top(questions: DataFrame, rows: DataFrame, max_sources: int, k: int) -> DataFrame:
     """(q_id, row_id, score, rank): rows by how many of the question's words they hold that occur in few sources.
 
     rows(row_id, source, text). Words in more than max_sources sources are a second, broad tier, which scores the
-    questions that have no rare word.
+    questions that have no rare word. Questions are a stated set, in blocks of a bounded matrix of words and questions;
+    each task counts its rows against a block and passes on its own k best per question. Null ids take no part.
     """
-    asked = questions.select("q_id", F.explode(T.word_set(F.col("text"))).alias("word"))
-    w = rows.select("row_id", "source", F.explode(T.word_set(F.col("text"))).alias("word"))
-    w = cut(w.join(small(asked.select("word").distinct()), "word", "left_semi"))
-    held = w.groupBy("word").agg(F.countDistinct("source").alias("_s"))
-    asked = asked.join(held.select("word", (F.col("_s") > max_sources).alias("_broad")), "word")
-    tier = asked.groupBy("q_id").agg(F.min("_broad").alias("_broad"))
-    asked = asked.join(tier, ["q_id", "_broad"]).select("q_id", "word")
-    s = w.select("row_id", "word").join(small(asked), "word").groupBy("q_id", "row_id").agg(F.count("*").alias("score"))
-    return top_n(s, ["q_id"], [F.col("score").desc(), F.col("row_id")], k)
+    spark = questions.sparkSession
+    asked = cut(questions.where("q_id IS NOT NULL").select("q_id", F.explode(T.word_set(F.col("text"))).alias("word")))
+    words = cut(asked.select("word").distinct().withColumn("no", F.monotonically_increasing_id()))
+    few = words.count() <= MAX_ASKED_WORDS
+    w = rows.where("row_id IS NOT NULL").select(F.col("row_id").cast("bigint"), "source", F.explode(T.word_set(F.col("text"))).alias("word"))
+    w = w.join(F.broadcast(words) if few else words, "word").select("row_id", "source", "no")
+    w = cut(w if few else w.repartition("row_id").sortWithinPartitions("row_id"))  # the words of a row stay together
+    held = w.groupBy("no").agg(F.countDistinct("source").alias("_s")).select("no", (F.col("_s") > max_sources).alias("broad"))
+    told = asked.join(words, "word").join(held, "no")
+    told = told.join(told.groupBy("q_id").agg(F.min("broad").alias("broad")), ["q_id", "broad"]).select("q_id", "no")
+    told, out = cut(told), None
+    parts = max(1, math.ceil(words.count() * told.select("q_id").distinct().count() / MAX_QUESTION_CELLS))
+    for i in range(parts):
+        own = told.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == i).collect()
+        ids, known = np.array(sorted({r.q_id for r in own}), np.int64), np.array(sorted({r.no for r in own}), np.int64)
+        if not len(ids):
+            continue
+        matrix = np.zeros((len(known), len(ids)), np.uint8)
+        matrix[np.searchsorted(known, [r.no for r in own]), np.searchsorted(ids, [r.q_id for r in own])] = 1
+        found = w.select("row_id", "no").mapInArrow(_count_top(spark.sparkContext.broadcast((ids, known, matrix)), k), "q_id bigint, row_id bigint, score bigint")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], "q_id bigint, row_id bigint, score bigint")
+    return top_n(out, ["q_id"], [F.col("score").desc(), F.col("row_id")], k)
 
 
 def inverted_index(entries: DataFrame, stop: list[str], broad_above: int = 3) -> DataFrame:

@@ -1,5 +1,9 @@
 """Queries on small inputs whose answer a cut would lose."""
 
+import random
+
+import pytest
+
 import __spark_entry__ as entry
 from lontar.operators import retrieval as R
 
@@ -120,3 +124,25 @@ def test_diversify_walks_the_whole_ranking(spark, tmp_path):
     rows = [(i, "x-y", "k", None, None, 1000) for i in range(300)] + [(300, "x-z", "k", None, None, 9), (301, "y", "k", None, None, 8), (302, "w", "k", None, None, 7)]
     got = run(spark, tmp_path, "greedy_diversify", documents=(rows, DOCS))
     assert sorted((r.place, r.doc_id, r.theme) for r in got) == [(0, 0, "x"), (1, 1, "y"), (2, 300, "z"), (3, 302, "w")]
+
+
+@pytest.mark.parametrize("cells, words", [(32_000_000, 1_000_000), (40, 1_000_000), (40, 0)])
+def test_rare_word_top_against_counting(spark, monkeypatch, cells, words):
+    """In one block and in several, with the words broadcast and joined by a shuffle."""
+    monkeypatch.setattr(R, "MAX_QUESTION_CELLS", cells)
+    monkeypatch.setattr(R, "MAX_ASKED_WORDS", words)
+    r = random.Random(4)
+    vocabulary = [f"kata{i}" for i in range(30)]
+    docs_ = [(i, f"s{i % 6}", " ".join(r.choice(vocabulary[: 5 + i % 25]) for _ in range(r.choice([0, 3, 12])))) for i in range(60)] + [(60, "s0", None), (None, "s0", "kata1")]
+    ask = [(i, " ".join(r.choice(vocabulary + ["tiada"]) for _ in range(4))) for i in range(12)] + [(12, None), (13, "")]
+    got = {(x.q_id, x["rank"]): (x.row_id, x.score) for x in R.rare_word_top(spark.createDataFrame(ask, "q_id bigint, text string"), spark.createDataFrame(docs_, "row_id bigint, source string, text string").repartition(5), 2, 3).collect()}
+    held = {i: set((t or "").split()) for i, _, t in docs_ if i is not None}
+    sources = {w: {s for i, s, t in docs_ if i is not None and w in (t or "").split()} for w in vocabulary}
+    want = {}
+    for q, t in ask:
+        known = {w for w in (t or "").split() if sources.get(w)}
+        kept = {w for w in known if len(sources[w]) <= 2} or known
+        best = sorted((-len(kept & ws), i) for i, ws in held.items() if kept & ws)[:3]
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+    assert R.rare_word_top(spark.createDataFrame([], "q_id bigint, text string"), spark.createDataFrame(docs_, "row_id bigint, source string, text string"), 2, 3).count() == 0
