@@ -6,7 +6,8 @@ which leaves gaps in all of them, and a swap-based local search over the underfu
 (a move), one for one, or two for one to whichever container gains most, as long as that raises the sum of squared
 fills; this drains the emptiest containers into the gaps of the others until they are empty and go. The search ends at
 the lower bound (total size over capacity) or at a local optimum, when no exchange of any underfull container raises the
-sum; as it rises with every step, it always ends. The containers still below FULL then meet in fewer groups, round after
+sum; as it rises with every step, it always ends. At the end the emptiest container gives to the others what they can
+take, which leaves most of the free space in one. The containers still below FULL then meet in fewer groups, round after
 round, until they are one group or a round saves no container. Only keys and sizes are shuffled.
 
 A document above the capacity is cut into pieces of exactly the capacity and a rest; no other is split. Null and empty
@@ -104,24 +105,35 @@ class LocalSearch:
         items = [own[k]] if k < len(size) else [own[i[k - len(size)]], own[j[k - len(size)]]]
         return items, int(other[m - len(targets)]) if m >= len(targets) else -1, int(target[m])
 
+    def drain(self, source: int) -> bool:
+        """Steps from a container until none raises the sum or it is empty; whether there was any."""
+        before = self.steps
+        while 0 < self.fill[source] < self.capacity and (change := self.best_change(source)):
+            items, back, target = change
+            d = int(self.sizes[items].sum()) - (int(self.sizes[back]) if back >= 0 else 0)
+            self.place[items] = target
+            if back >= 0:
+                self.place[back] = source
+            self.fill[source] -= d
+            self.fill[target] += d
+            self.steps += 1
+        return self.steps > before
+
+    def underfull(self) -> list[int]:
+        """The emptiest first."""
+        under = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+        return under[np.argsort(self.fill[under], kind="stable")].tolist()
+
     def run(self) -> None:
         changed = True
         while changed and self.containers() > self.bound:
             changed = False
-            under = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
-            for source in under[np.argsort(self.fill[under], kind="stable")].tolist():
-                while self.containers() > self.bound and 0 < self.fill[source] < self.capacity and (change := self.best_change(source)):
-                    items, back, target = change
-                    d = int(self.sizes[items].sum()) - (int(self.sizes[back]) if back >= 0 else 0)
-                    self.place[items] = target
-                    if back >= 0:
-                        self.place[back] = source
-                    self.fill[source] -= d
-                    self.fill[target] += d
-                    self.steps += 1
-                    changed = True
+            for source in self.underfull():
+                changed |= self.drain(source)
                 if changed and self.fill[source] == 0:
                     break  # the emptiest of those left is next
+        for source in self.underfull()[:1]:  # at the bound, what is free goes into one container, so that the others are done
+            self.drain(source)
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -174,13 +186,12 @@ def fill_containers(counts: DataFrame, capacity: int = CAPACITY, group_container
         groups = max(1, math.ceil(total / capacity / group_containers))
         packed = cut(_packed(rest, groups, capacity).withColumn("container", F.concat(F.lit(f"{k}-"), "container")))
         left = packed.where(F.col("filled") < full)
-        n = left.select("container").distinct().count() if groups > 1 else 0
-        last = groups == 1 or before is not None and n >= before
+        last = groups == 1 or before is not None and packed.select("container").distinct().count() >= before
         keep = packed if last else packed.where(F.col("filled") >= full)
         done = keep if done is None else done.unionByName(keep)
         if last:
             break
-        rest, before, k = left.select("doc_id", "piece_no", "tokens"), n, k + 1
+        rest, before, k = left.select("doc_id", "piece_no", "tokens"), left.select("container").distinct().count(), k + 1
     done = done.select("container", "doc_id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start"), "tokens", "filled")
     return done.unionByName(whole).unionByName(empty)
 
