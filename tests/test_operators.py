@@ -262,7 +262,12 @@ def test_retrieval(spark):
     rows = spark.createDataFrame([(10, "x sabar", "2:7"), (11, "rumah tanggaku apakah", None), (12, "apakah rumah tanggaku", None)], "row_id bigint, text string, ref string")
     themes = spark.createDataFrame([(11, "keluarga"), (11, "sabar")], "row_id bigint, theme string")
     got = {(r.q_id, r.row_id): r.score for r in R.score_rows(q, R.lexicon_hits(q, lex), rows, themes, [], 5).collect()}
-    assert got == {(1, 10): 102, (1, 11): 16, (2, 11): 10}
+    # apakah and tanggaku count two each; rumah is a word of the theme's term and has scored with it
+    assert got == {(1, 10): 102, (1, 11): 14, (2, 11): 10}
+    told = spark.createDataFrame([(2, "keluarga"), (1, "keluarga")], "q_id bigint, theme string")
+    more = {(r.q_id, r.row_id): (r.score, r.theme) for r in R.score_rows(q, R.lexicon_hits(q, lex), rows, themes.unionByName(spark.createDataFrame([(12, "keluarga")], themes.schema)), [], 5, told).collect()}
+    # a theme that only the model named gives ten points; one the question names itself goes first
+    assert more == {(1, 10): (102, None), (1, 11): (14, "keluarga"), (1, 12): (14, "keluarga"), (2, 11): (10, "sabar"), (2, 12): (10, "keluarga")}
     cues = spark.createDataFrame([("a", "satu"), ("b", "dua"), ("b", "tiga")], "area string, cue string")
     t = spark.createDataFrame([(1, "dua satu"), (2, "satu dua tiga"), (3, "lain")], "k int, text string")
     assert {r.k: r.area for r in R.cue_router(t, "k", "text", cues).collect()} == {1: "b", 2: "b"}
