@@ -354,19 +354,20 @@ def from_versions(lost: DataFrame, clean: DataFrame, keys: list[str], row: list[
     """(row, found): the wording of rows with lost characters where exactly one clean text of the same keys fits.
 
     lost(*keys, *row, restored), clean(*keys, text). Each run of U+FFFD may stand for up to three characters each. Rows
-    and texts meet by keys and three undamaged words at the start or the end, so even a key that holds a third of all
-    rows yields few comparisons; rows damaged at both ends are left.
+    and texts meet by keys and three undamaged words at the start, the end or in the middle, so even a key that holds a
+    third of all rows yields few comparisons; rows damaged in all three places are left.
     """
     words = lambda c: F.split(c, " ")
     head = lambda c: F.concat(F.lit("h "), F.array_join(F.slice(words(c), 1, 3), " "))
     tail = lambda c: F.concat(F.lit("t "), F.array_join(F.slice(words(c), F.greatest(F.size(words(c)) - 2, F.lit(1)), 3), " "))
+    middle = lambda c: F.concat(F.lit("m "), F.array_join(F.slice(words(c), F.greatest(F.floor(F.size(words(c)) / 2).cast("int"), F.lit(1)), 3), " "))
     r, gone = F.col("restored"), "�"
-    end = F.when(~F.contains(head(r), F.lit(gone)), head(r)).when(~F.contains(tail(r), F.lit(gone)), tail(r))
+    end = F.coalesce(*[F.when(~F.contains(x(r), F.lit(gone)), x(r)) for x in (head, tail, middle)])
     plain = F.regexp_replace(r, r"([%_\\])", r"\\$1")
     n = F.length(r) - F.length(F.replace(r, F.lit(gone), F.lit("")))
     a = lost.select(*keys, *row, end.alias("_end"), F.regexp_replace(plain, f"{gone}+", "%").alias("_like"), (F.length(r) - n).alias("_lo"), (F.length(r) + 2 * n).alias("_hi")).where("_end IS NOT NULL")
     t = F.col("text")
-    b = clean.where(t.isNotNull() & ~F.contains(t, F.lit(gone))).select(*keys, "text", F.explode(F.array(head(t), tail(t))).alias("_end")).distinct()
+    b = clean.where(t.isNotNull() & ~F.contains(t, F.lit(gone))).select(*keys, "text", F.explode(F.array(head(t), tail(t), middle(t))).alias("_end")).distinct()
     fits = a.join(b, [*keys, "_end"]).where(F.expr("text LIKE _like") & F.length("text").between(F.col("_lo"), F.col("_hi")))
     return fits.groupBy(*row).agg(F.countDistinct("text").alias("_n"), F.min("text").alias("found")).where("_n = 1").select(*row, "found")
 

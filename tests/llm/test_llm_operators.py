@@ -116,6 +116,9 @@ def test_lost_characters_from_versions(spark):
     clean = spark.createDataFrame([(1, 1, "satu dua tiga naïf 100%_ akhir"), (1, 1, "satu dua tiga naïf 100%_ akhir"), (1, 1, "satu dua tiga n-terlalu-panjang-f 100%_ akhir"), (1, 1, "x dua tiga empat lima"), (1, 1, "y dua tiga empat lima"), (1, 1, None), (1, 1, "a\\b"), (1, 3, "satu dua tiga naïf")], "n int, a int, text string")
     assert {r.row_id: r.found for r in encoding.from_versions(lost, clean, ["n", "a"], ["row_id"]).collect()} == {10: "satu dua tiga naïf 100%_ akhir"}
     assert encoding.from_versions(lost.limit(0), clean, ["n", "a"], ["row_id"]).count() == 0
+    both = spark.createDataFrame([(1, 1, 20, "s\ufffdtu dua tiga empat lima enam tuj\ufffdh akhir")], "n int, a int, row_id bigint, restored string")
+    other = spark.createDataFrame([(1, 1, "satu dua tiga empat lima enam tujuh akhir"), (1, 1, "lain dua tiga empat lima enam tujuh akhir")], "n int, a int, text string")
+    assert [r.found for r in encoding.from_versions(both, other, ["n", "a"], ["row_id"]).collect()] == ["satu dua tiga empat lima enam tujuh akhir"]
 
 
 # 3 Pairs
