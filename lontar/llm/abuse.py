@@ -27,6 +27,7 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -286,7 +287,7 @@ def labelled(documents: DataFrame, labels: DataFrame, max_abusive: int = MAX_ABU
 
 def _scorer(model):
     def run(batches):
-        m = model.value
+        m = cloudpickle.loads(model.value)
         known = KnownWords(m.buckets)
         for batch in batches:
             z = m.logits(batch.column(batch.num_columns - 1).to_pylist(), known)
@@ -303,7 +304,7 @@ def scored(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("do
     """(*keep, score, flagged): every document with its score and whether it exceeds the fitted threshold."""
     docs = need(documents, [*keep, "text"])
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(train(spark, *labelled(documents, labels)))
+    model = spark.sparkContext.broadcast(cloudpickle.dumps(train(spark, *labelled(documents, labels))))  # by value: workers need not have this package
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("text").schema)
     return docs.mapInArrow(_scorer(model), f"{fields}, score double, flagged boolean")
 

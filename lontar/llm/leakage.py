@@ -22,6 +22,7 @@ from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ class Seeds:
 
 def _finder(block, tolerance: int):
     def run(batches):
-        seeds = block.value
+        seeds = cloudpickle.loads(block.value)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             best: dict[tuple, list[int]] = {}
@@ -209,5 +210,5 @@ def leaks(documents: DataFrame, items: DataFrame, tolerance: int = 1, span: int
     if (own.agg(F.sum(F.octet_length(text))).first()[0] or 0) > max_bytes:
         return joined_leaks(docs, own, tolerance, span)
     rows = sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    seeds = documents.sparkSession.sparkContext.broadcast(Seeds([(i, words_of(t)) for i, t in rows], span, tolerance))
+    seeds = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Seeds([(i, words_of(t)) for i, t in rows], span, tolerance)))  # by value: workers need not have this package
     return docs.mapInArrow(_finder(seeds, tolerance), FOUND)
