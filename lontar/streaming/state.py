@@ -38,11 +38,12 @@ def profiles(events: DataFrame, k: int = 3) -> DataFrame:
 
 def refresh(old: DataFrame, events: DataFrame) -> DataFrame:
     """Profiles by a high-water mark: users without an event later than their last_ts keep the old profile; the others, and new users, are computed from the full log. refreshed tells which."""
-    newest = events.groupBy("user_id").agg(F.max("ts").alias("_n"))
-    mark = old.select("user_id", F.col("last_ts").alias("_m"))
-    stale = newest.join(mark, "user_id", "left").where("_m IS NULL OR _n > _m").select("user_id")
-    new = profiles(events.join(stale, "user_id", "left_semi")).withColumn("refreshed", F.lit(True))
-    return new.unionByName(old.join(stale, "user_id", "left_anti").withColumn("refreshed", F.lit(False)).select(new.columns))
+    kept = old.select("user_id", *[F.col(c).alias(f"_{c}") for c in ("top", "events", "last_ts")])
+    newest = events.where("user_id IS NOT NULL").groupBy("user_id").agg(F.max("ts").alias("_n"), F.lit(True).alias("_seen"))
+    m = newest.join(kept, "user_id", "full").withColumn("refreshed", F.expr("_seen IS NOT NULL AND (_last_ts IS NULL OR coalesce(_n > _last_ts, false))"))
+    new = profiles(events.join(m.where("refreshed").select("user_id"), "user_id", "left_semi"))
+    # one join, as a union of shuffled joins breaks off where Spark compares the partitionings of its sides
+    return m.join(new, "user_id", "left").select("user_id", *[F.when(F.col("refreshed"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("top", "events", "last_ts")], "refreshed")
 
 
 class EventLog:

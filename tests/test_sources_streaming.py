@@ -2,10 +2,13 @@
 
 import datetime as dt
 import json
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lontar import plans
 from lontar.sources import readers as R
 from lontar.sources import sinks as K
 from lontar.streaming import state as S
@@ -190,3 +193,27 @@ def test_windowed_counts(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == 200
+
+
+def test_profiles_by_shuffled_joins(spark, tmp_path):
+    """The refresh can be written where its joins are shuffled and their parts merged at run time, and is as the SQL has it."""
+    d = "/root/testdata/sf0.01"
+    if not Path(d).exists():
+        pytest.skip("no test data here")
+    conf = {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "40", "adaptive.advisoryPartitionSizeInBytes": "8k", "adaptive.coalescePartitions.minPartitionSize": "1k"}
+    was = {k: spark.conf.get(f"spark.sql.{k}") for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        plans.queries()["profile_high_water"](spark, d).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    columns = "user_id, top, events, last_ts, refreshed"
+    want = con.execute(f"SELECT {columns} FROM ({plans.oracle_sql()['profile_high_water']}) ORDER BY 1").fetchall()
+    assert len(want) == 150 and con.execute(f"SELECT {columns} FROM '{tmp_path}/out/*.parquet' ORDER BY 1").fetchall() == want
+    every = spark.createDataFrame(events(spark), EVENTS)
+    kept = {r.user_id: r for r in S.refresh(S.profiles(every), every.where("user_id > 3")).collect()}
+    assert len(kept) == 7 and not any(r.refreshed for r in kept.values())  # users whom the log lacks keep theirs
