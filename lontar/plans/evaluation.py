@@ -54,9 +54,8 @@ def probe_report(spark: SparkSession, d: str) -> DataFrame:
 def echo_anchored(spark: SparkSession, d: str) -> DataFrame:
     """Answers that echo a translation of a verse they cite or were given."""
     r = _answers(spark, d).where("prose IS NOT NULL").select(F.col("dump_id").alias("p_id"), F.col("prose").alias("text"), F.array_distinct(F.concat(F.coalesce("verse_refs", F.array().cast("array<string>")), T.refs(F.col("prose")))).alias("refs"))
-    t = table(spark, d, "translations").where("text IS NOT NULL AND lang = 'id'").select(F.col("tr_id").alias("t_id"), F.expr("substring(ayah_id, 6)").alias("ref"), "text").distinct()
-    pairs = r.select("p_id", F.explode("refs").alias("ref")).join(t.select("ref", "t_id"), "ref")
-    return S.anchored_echoes(r.select("p_id", "text"), pairs, t.select("t_id", "text"), (150, 12_472)).withColumn("run", F.col("run").cast("bigint")).withColumn("hit", F.col("hit").cast("bigint"))
+    t = table(spark, d, "translations").where("text IS NOT NULL AND lang = 'id'").select(F.col("tr_id").alias("t_id"), F.expr("substring(ayah_id, 6)").alias("ref"), "text")
+    return S.anchored_echoes(r, t, (150, 12_472))
 
 
 def rerank_documents(spark: SparkSession, d: str) -> DataFrame:
